@@ -17,6 +17,7 @@ from gaugeworks.functions.joins import attach
 from gaugeworks.functions.tails import chi2_p, f_p, t_p, z_p
 from gaugeworks.functions.text import measure
 from gaugeworks.operators import ordered
+from gaugeworks.session import ensure_checkpoint_dir
 
 TESTS = ("t-test", "mann-whitney", "anova", "kruskal-wallis")
 
@@ -227,6 +228,11 @@ def kruskal_pairs(df: DataFrame, value: str, group: str, by: Sequence[str] = (),
     sums, ties = _rank_sums(cells, by, slices)
     found = _kruskal(sums, ties, by).where(F.col("significant")).select(*by, "n_groups")
     pairs = attach(_label_pairs(sums, by, ("n",)), found, by).select(*by, "group1", "group2", "n_groups")
+    # A few rows that close the first pass over the data; without the cut every branch below
+    # would run that pass again.
+    ensure_checkpoint_dir(df.sparkSession)
+    pairs = pairs.checkpoint()
+    found = pairs.select(*by, "n_groups").distinct()
     sides = pairs.withColumn("group", F.explode(F.array("group1", "group2"))).drop("n_groups")
     both = attach(sides, cells, [*by, "group"])
     keys = [*by, "group1", "group2"]

@@ -69,17 +69,6 @@ def usage_statistics(
     return table.withColumn("std_dev", F.coalesce("std_dev", F.lit(0.0)))
 
 
-def usage_totals(
-    df: DataFrame, metric: str = "metric_name", value: str = "metric_value", by: Sequence[str] = ()
-) -> DataFrame:
-    """Counts, sums and means per metric with subtotals and a grand total (metric NULL)."""
-    data = df.select(*by, metric, measure(value).alias("_v"))
-    return data.rollup(*by, metric).agg(
-        F.count("_v").alias("n"), F.sum("_v").alias("total"), F.avg("_v").alias("mean"),
-        F.grouping(metric).cast("int").alias("is_total"),
-    )
-
-
 def category_counts(df: DataFrame, category: str = "category", by: Sequence[str] = ()) -> DataFrame:
     """Rows per category; missing and empty categories are left out."""
     kept = df.where(F.col(category).isNotNull() & (F.col(category) != ""))

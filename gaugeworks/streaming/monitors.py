@@ -74,6 +74,18 @@ def intake(
     )
 
 
+def finished(stream_of, events: DataFrame, ts: str, after: str = "2 days") -> DataFrame:
+    """The stream of a finished input plus one late marker row that closes its last windows.
+
+    ``stream_of(folder)`` opens a Parquet folder as a stream with the same schema; ``events``
+    is the input as a batch, from which only the last timestamp is taken. The marker's own
+    window stays open, so it never shows up in the result.
+    """
+    folder = scratch_path(events.sparkSession, "marker")
+    flush_marker(events, ts, after).write.parquet(folder)
+    return stream_of(folder)
+
+
 def operation_windows(
     events: DataFrame, operation: str = "event_type", duration: str | None = None, ts: str = "ts",
     window: str = "1 hour", delay: str = "10 minutes", errors: str | None = "error",
