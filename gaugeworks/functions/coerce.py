@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.text import as_column, measure
@@ -33,6 +33,11 @@ def to_day(value: Column | str, layouts: Sequence[str] = DATE_LAYOUTS) -> Column
     return to_timestamp(value, layouts).cast("date")
 
 
+def event_time(df: DataFrame, ts: str) -> DataFrame:
+    """The frame with ``ts`` as a timestamp; wall-clock times are read in the session's time zone."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")) if df.schema[ts].dataType.typeName() != "timestamp" else df
+
+
 def looks_like_period(name: str) -> bool:
     """Whether a column name is a month or a date, as the headings of wide period reports are."""
     import re

@@ -111,7 +111,7 @@ def repeated_attempts(
     """
     window_us = seconds * 1_000_000
     slice_us = window_us * spans
-    rows = attempts.select(F.col(user), F.col(key), F.col(ts), F.unix_micros(ts).alias("_us"))
+    rows = attempts.select(F.col(user), F.col(key), F.col(ts), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
     own = F.floor(F.col("_us") / F.lit(slice_us)).cast("long")
     spill = F.when((F.col("_us") + window_us) >= (own + 1) * slice_us, own + 1)
     spread = rows.withColumn("_own", own).withColumn("_slice", F.explode(F.array_compact(F.array(own, spill))))

@@ -47,7 +47,8 @@ def survey_passages(df: DataFrame) -> DataFrame:
 def metric_passages(df: DataFrame, dataset_type: str = "usage") -> DataFrame:
     """A sentence per metric row; transactions read as checkouts."""
     name = F.coalesce(F.when(F.col("metric_name") != "", F.col("metric_name")), F.lit("metric"))
-    value = F.coalesce("metric_value", F.lit(0.0)).cast("string")
+    # No value and zero both read 0.
+    value = F.when(F.coalesce("metric_value", F.lit(0.0)) == 0, "0").otherwise(F.col("metric_value").cast("string"))
     day = F.coalesce(F.col("date").cast("string"), F.lit(""))
     has_category = F.col("category").isNotNull() & (F.col("category") != "")
     if dataset_type == "circulation":

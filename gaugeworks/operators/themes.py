@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -32,7 +33,8 @@ class Themes:
 def tfidf(df: DataFrame, text: str, features: int = K.THEME_FEATURES) -> tuple[DataFrame, list[str]]:
     """Adds ``features``: L2-normalised tf times ln((1 + n) / (1 + df)) + 1 over words and word pairs.
 
-    The vocabulary is the most frequent terms of the corpus after English stop words.
+    The vocabulary is the most frequent terms of the corpus after English stop words, equal counts
+    in alphabetical order.
     """
     spark = df.sparkSession
     tokens = RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True)
@@ -40,22 +42,28 @@ def tfidf(df: DataFrame, text: str, features: int = K.THEME_FEATURES) -> tuple[D
     pairs = NGram(inputCol="_s", outputCol="_p", n=2)
     terms = pairs.transform(stops.transform(tokens.transform(df)))
     terms = terms.withColumn("_terms", F.concat("_s", "_p")).drop("_w", "_s", "_p")
-    counter = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=features).fit(terms)
+    frequent = terms.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary = [r["term"] for r in frequent.orderBy(F.desc("n"), "term").limit(features).collect()]
+    if not vocabulary:
+        raise ValueError("the texts hold no word outside the stop words")
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_terms", outputCol="_tf")
     counted = counter.transform(terms).drop("_terms")
-    # Two small vectors of the vocabulary's length.
+    # One row with a number per vocabulary term.
     n, present = counted.agg(F.count(F.lit(1)), Summarizer.numNonZeros(F.col("_tf"))).first()
     weights = [float(np.log((1 + n) / (1 + d)) + 1) for d in present.toArray()]
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_tf", outputCol="_x").transform(counted)
-    return Normalizer(p=2.0, inputCol="_x", outputCol="features").transform(scaled).drop("_tf", "_x"), counter.vocabulary
+    return Normalizer(p=2.0, inputCol="_x", outputCol="features").transform(scaled).drop("_tf", "_x"), vocabulary
 
 
 def _best_of(vectors: DataFrame, k: int, seed: int, restarts: int) -> KMeansModel:
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="features", predictionCol="_c").fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    """The restart with the lowest cost; the restarts share the cached vectors and run side by side."""
+
+    def fit(i: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="features", predictionCol="_c").fit(vectors)
+
+    with ThreadPoolExecutor(max_workers=restarts) as pool:
+        models = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts)))
+    return min(models, key=lambda model: model.summary.trainingCost)
 
 
 def extract_themes(
@@ -70,11 +78,12 @@ def extract_themes(
         empty = df.sparkSession.createDataFrame([], "theme_id int, theme_name string, keywords array<string>")
         return Themes(rows.withColumn("theme_id", F.lit(None).cast("int")), empty, [], status)
     vectors, vocabulary = tfidf(rows, text, features)
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    # Every iteration reads the vectors again; they are small next to the texts, which are not kept.
+    points = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = _best_of(vectors.select("features"), n_themes, seed, restarts)
+        model = _best_of(points, n_themes, seed, restarts)
     finally:
-        vectors.unpersist()
+        points.unpersist()
     assigned = model.transform(vectors).withColumn("theme_id", F.col("_c") + 1).drop("_c", "features")
     described = []
     for i, center in enumerate(model.clusterCenters()):

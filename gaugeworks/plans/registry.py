@@ -25,6 +25,9 @@ def _rounded(df: DataFrame, digits: Mapping[str, int]) -> DataFrame:
         column = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
             column = F.round(column, digits.get(f.name, 6)) + F.lit(0.0)
+        elif isinstance(f.dataType, T.TimestampType):
+            # The SQL side has wall-clock timestamps.
+            column = column.cast("timestamp_ntz")
         out.append(column.alias(f.name))
     return df.select(*out)
 

@@ -175,12 +175,12 @@ def _scored(spark, sf):
     return sentiment.lexicon_sentiment(_docs(spark, sf), "text", WORD_LIST)
 
 
-@query("lexicon_sentiment", SENTIMENT_SQL, "polarity subjectivity")
+@query("lexicon_sentiment", SENTIMENT_SQL, "polarity subjectivity", polarity=12, subjectivity=12)
 def lexicon_sentiment(spark, sf):
     return _scored(spark, sf).select("doc_id", "lang", "hits", "polarity", "subjectivity", "category")
 
 
-@query("lexicon_sentiment_table", SENTIMENT_SQL.replace("AS INTEGER", "AS BIGINT"), "polarity subjectivity")
+@query("lexicon_sentiment_table", SENTIMENT_SQL.replace("AS INTEGER", "AS BIGINT"), "polarity subjectivity", polarity=12, subjectivity=12)
 def lexicon_sentiment_table(spark, sf):
     entries = spark.createDataFrame([(w, p, s) for w, (p, s) in WORD_LIST.items()], "word string, polarity double, subjectivity double")
     rows = sentiment.lexicon_sentiment_table(_docs(spark, sf), "doc_id", "text", entries)
@@ -267,12 +267,12 @@ def passages_survey(spark, sf):
 def _metric_rows(spark, sf):
     return table(spark, sf, "events").select(
         F.lit(2).cast("long").alias("dataset_id"), F.col("event_id").alias("id"), F.to_date("ts").alias("date"),
-        F.col("event_type").alias("metric_name"), F.col("value").cast("decimal(12,2)").alias("metric_value"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("category"),
+        F.col("event_type").alias("metric_name"), F.col("value").alias("metric_value"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("category"),
     )
 
 
 @query("passages_metric", """
-    SELECT 'ds2_row' || event_id AS passage_id, event_type || ': ' || CAST(CAST(value AS DECIMAL(12, 2)) AS VARCHAR) || ' on ' || CAST(CAST(ts AS DATE) AS VARCHAR)
+    SELECT 'ds2_row' || event_id AS passage_id, event_type || ': ' || CASE WHEN value = 0 THEN '0' ELSE CAST(value AS VARCHAR) END || ' on ' || CAST(CAST(ts AS DATE) AS VARCHAR)
            || ' (Category: user ' || user_id || ')' AS text FROM events""")
 def passages_metric(spark, sf):
     rows = _metric_rows(spark, sf)
@@ -343,7 +343,7 @@ def knn_blocks(spark, sf):
 
 
 CONFIDENCE_SQL = f"""
-    SELECT e.vec_id AS question_id, coalesce(avg(greatest(0, least(1, 1 - distance / 1.45))), 0.0) AS confidence, count(distance) AS n_passages
+    SELECT e.vec_id AS question_id, coalesce(avg(CASE WHEN distance IS NOT NULL THEN greatest(0, least(1, 1 - distance / 1.45)) END), 0.0) AS confidence, count(distance) AS n_passages
     FROM embeddings e LEFT JOIN (SELECT * FROM ({NEAREST_SQL}) WHERE rank <= 5) n ON n.question_id = e.vec_id GROUP BY e.vec_id"""
 
 
@@ -390,7 +390,7 @@ def citations(spark, sf):
 @query("contexts", f"""
     SELECT question_id, tokens AS estimated_tokens, CASE WHEN n = 0 THEN 'no_relevant_data' WHEN tokens > 4000 THEN 'context_too_large' ELSE 'ready' END AS status FROM (
         SELECT q.question_id, count(c.rank) AS n,
-               CAST(floor((95 + 55 + 29 + length(coalesce(string_agg('Source ' || c.rank || ': ' || t, chr(10) || chr(10) ORDER BY c.rank), '')) + length(any_value(q.question))) / 4) AS BIGINT) AS tokens
+               CAST(floor(({len(retrieval.PROMPT_HEAD) + len(retrieval.PROMPT_TAIL)} + 29 + length(coalesce(string_agg('Source ' || c.rank || ': ' || t, chr(10) || chr(10) ORDER BY c.rank), '')) + length(any_value(q.question))) / 4) AS BIGINT) AS tokens
         FROM (SELECT vec_id AS question_id, 'label ' || label AS question FROM embeddings) q
         LEFT JOIN (SELECT x.question_id, x.rank, r.t FROM ({_CITED_SQL}) x JOIN ({NEAREST_SQL}) n USING (question_id, rank)
                    JOIN ({_redact_sql('documents', 'doc_id', 'text')}) r ON r.doc_id = n.passage_id) c USING (question_id)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugeworks import constants as K
+from gaugeworks.functions.coerce import event_time
 from gaugeworks.functions.pii import redact
 from gaugeworks.operators.questions import context_field
 from gaugeworks.session import scratch_path
@@ -86,12 +87,17 @@ def finished(stream_of, events: DataFrame, ts: str, after: str = "2 days") -> Da
     return stream_of(folder)
 
 
+def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    df = event_time(df, ts)
+    return df.withWatermark(ts, delay) if df.isStreaming else df
+
+
 def operation_windows(
     events: DataFrame, operation: str = "event_type", duration: str | None = None, ts: str = "ts",
     window: str = "1 hour", delay: str = "10 minutes", errors: str | None = "error",
 ) -> DataFrame:
     """Calls, mean and maximum duration and error count per tumbling window and operation."""
-    rows = events.withWatermark(ts, delay) if events.isStreaming else events
+    rows = _timed(events, ts, delay)
     ms = F.col(duration) if duration else F.lit(None).cast("double")
     failed = F.col(operation) == errors if errors else F.lit(False)
     stats = rows.groupBy(F.window(ts, window).alias("w"), F.col(operation).alias("operation")).agg(
@@ -117,7 +123,7 @@ def attempt_windows(
     It approximates the exact per-row window of the batch report: windows start every
     ``slide`` seconds. Each input row is counted map-side into its windows.
     """
-    rows = events.withWatermark(ts, delay) if events.isStreaming else events
+    rows = _timed(events, ts, delay)
     counts = rows.groupBy(F.window(ts, f"{seconds} seconds", f"{slide} seconds").alias("w"), F.col(user)).agg(
         F.count(F.lit(1)).alias("attempts")
     )
@@ -126,7 +132,7 @@ def attempt_windows(
 
 def session_activity(events: DataFrame, session: str = "user_id", ts: str = "ts", gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """Events per session, a session ending after a gap without events."""
-    rows = events.withWatermark(ts, delay) if events.isStreaming else events
+    rows = _timed(events, ts, delay)
     grouped = rows.groupBy(F.session_window(ts, gap).alias("w"), F.col(session)).agg(F.count(F.lit(1)).alias("n_events"))
     return grouped.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), session, "n_events")
 
@@ -139,7 +145,7 @@ def deduplicated_log(log: DataFrame, key: str = "idempotency_key", ts: str = "ts
         return distinct_queries(log, key)
     # Rows without a key get one of their own, so they neither drop nor gather in one task.
     own = F.coalesce(F.col(key), F.concat(F.lit("row:"), F.expr("uuid()")))
-    return log.withWatermark(ts, delay).withColumn("_k", own).dropDuplicatesWithinWatermark(["_k"]).drop("_k")
+    return _timed(log, ts, delay).withColumn("_k", own).dropDuplicatesWithinWatermark(["_k"]).drop("_k")
 
 
 def redacted_events(events: DataFrame, text: str, out: str = "redacted_text") -> DataFrame:
