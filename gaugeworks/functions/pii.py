@@ -20,25 +20,39 @@ def _placeholder(kind: str) -> Column:
     return F.lit("[" + kind.upper().replace("\\", "\\\\").replace("$", "\\$") + "]")
 
 
+def _possible(text: Column, pattern: str) -> Column:
+    """A cheap test that every match of the pattern passes; it spares most texts the search."""
+    if pattern == PII_PATTERNS["email"]:
+        return F.contains(text, F.lit("@"))
+    if pattern.startswith(r"\b\d"):
+        return F.regexp_like(text, F.lit(r"(?U)\d"))
+    return F.lit(True)
+
+
 def detect(text: Column | str, patterns: Mapping[str, str] = PII_PATTERNS) -> Column:
     """map<kind, matches>, holding only kinds that occur."""
     entries = []
     for kind, pattern in patterns.items():
-        entries += [F.lit(kind), F.regexp_extract_all(as_column(text), _jvm(pattern), F.lit(0))]
+        found = F.regexp_extract_all(as_column(text), _jvm(pattern), F.lit(0))
+        entries += [F.lit(kind), F.when(_possible(as_column(text), pattern), found)]
     return F.map_filter(F.create_map(*entries), lambda _, found: F.size(found) > 0)
 
 
 def kinds(text: Column | str, patterns: Mapping[str, str] = PII_PATTERNS) -> Column:
     """Kinds that occur, in pattern order."""
-    hits = [F.when(F.regexp_like(as_column(text), _jvm(p)), F.lit(kind)) for kind, p in patterns.items()]
+    hits = [F.when(_occurs(as_column(text), p), F.lit(kind)) for kind, p in patterns.items()]
     return F.array_compact(F.array(*hits))
 
 
+def _occurs(text: Column, pattern: str) -> Column:
+    return _possible(text, pattern) & F.regexp_like(text, _jvm(pattern))
+
+
 def is_clean(text: Column | str, patterns: Mapping[str, str] = PII_PATTERNS) -> Column:
     """True when no pattern occurs; NULL text is clean."""
     dirty = F.lit(False)
     for pattern in patterns.values():
-        dirty = dirty | F.coalesce(F.regexp_like(as_column(text), _jvm(pattern)), F.lit(False))
+        dirty = dirty | F.coalesce(_occurs(as_column(text), pattern), F.lit(False))
     return ~dirty
 
 
@@ -60,8 +74,10 @@ def redact(
     """
     df = df.withColumn(out, F.col(text))
     for kind, pattern in patterns.items():
-        df = df.withColumn(f"n_{kind}", F.coalesce(F.regexp_count(F.col(out), _jvm(pattern)), F.lit(0)))
-        df = df.withColumn(out, F.regexp_replace(F.col(out), _jvm(pattern), _placeholder(kind)))
+        n = F.when(_possible(F.col(out), pattern), F.regexp_count(F.col(out), _jvm(pattern)))
+        df = df.withColumn(f"n_{kind}", F.coalesce(n, F.lit(0)))
+        replaced = F.regexp_replace(F.col(out), _jvm(pattern), _placeholder(kind))
+        df = df.withColumn(out, F.when(F.col(f"n_{kind}") > 0, replaced).otherwise(F.col(out)))
     return df
 
 

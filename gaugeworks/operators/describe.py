@@ -35,29 +35,16 @@ def describe(
     Missing values are left out, and so is a group that has no value at all.
     """
     probs = {"median": 0.5} if probs is None else probs
-    data = df.select(*by, measure(value).alias("_v")).where(F.col("_v").isNotNull())
-    if inline is None:
-        inline = ordered.fits_inline(data, by)
-    basics = [
-        F.count("_v").alias("n"),
-        F.avg("_v").alias("mean"),
-        F.stddev_samp("_v").alias("std_dev"),
+    placed = ordered.placed_counts(df.select(*by, measure(value).alias("_v")), "_v", by, inline)
+    table = placed.groupBy(*by).agg(
+        F.max("n_all").alias("n"),
+        F.max("mean").alias("mean"),
+        *[ordered.quantile("_v", p).alias(name) for name, p in probs.items()],
+        ordered.sample_deviation("_v").alias("std_dev"),
         F.min("_v").alias("min"),
         F.max("_v").alias("max"),
-    ]
-    names = list(probs)
-    if inline:
-        exact = F.percentile("_v", F.array(*[F.lit(float(probs[n])) for n in names])).alias("_q")
-        table = data.groupBy(*by).agg(*basics, exact)
-    else:
-        table = data.groupBy(*by).agg(*basics)
-        picked = ordered.quantiles(data, "_v", [probs[n] for n in names], by, inline=False).withColumnRenamed("q", "_q")
-        table = attach(table, picked, by)
-    if not by:
-        table = table.where(F.col("n") > 0)
-    return table.select(
-        *by, "n", "mean", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "std_dev", "min", "max"
     )
+    return table if by else table.where(F.col("n").isNotNull())
 
 
 def usage_statistics(

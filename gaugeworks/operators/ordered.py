@@ -3,7 +3,7 @@
 Ranks, positions, running totals and exact quantiles all need a global order inside a
 group, and a group may hold a third of all rows. A window over the whole group would
 sort it in one task, and the built-in exact percentile would keep all of its distinct
-values in one map. Here the distinct values of each group are cut into slices: totals of
+values in one map. Groups of a checked size take the window. For larger ones the distinct values of each group are cut into slices: totals of
 the slices below come from a small table, and only the inside of a slice is sorted.
 
 The cut points are the values with the smallest hashes. That is a function of the data
@@ -23,8 +23,8 @@ from gaugeworks.functions.joins import attach
 SLICES = 512
 # Spark keeps at most this many rows per map task for a row_number filter.
 _SAMPLE_PER_STRATUM = 1000
-# Groups up to this many rows may keep their distinct values in one aggregation buffer.
-INLINE_ROWS = 2_000_000
+# Groups up to this many rows may be sorted by one task.
+INLINE_ROWS = 4_000_000
 _STRIDE = 32
 
 
@@ -82,12 +82,22 @@ def running_before(
     sums: Sequence[str],
     by: Sequence[str] = (),
     slices: int = SLICES,
+    inline: bool = False,
 ) -> DataFrame:
     """Adds ``<m>_before`` and ``<m>_all`` for each summed column m.
 
     ``<m>_before`` totals m over the smaller keys of the group, ``<m>_all`` over the group.
-    Needs one row per (by, key) and sums that are never negative.
+    Needs one row per (by, key) and sums that are never negative. ``inline`` sorts each group
+    in one task and is for groups of a checked size.
     """
+    if inline:
+        below = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        group = Window.partitionBy(*by)
+        return counts.select(
+            "*",
+            *[F.coalesce(F.sum(m).over(below), F.lit(0)).alias(f"{m}_before") for m in sums],
+            *[F.sum(m).over(group).alias(f"{m}_all") for m in sums],
+        )
     tagged = sliced(counts, key, by, sums, slices)
     totals = tagged.groupBy(*by, "_slice").agg(*[F.sum(m).alias(f"_t_{m}") for m in sums])
     lower = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,9 +116,11 @@ def running_before(
     return joined.drop("_slice", *[f"_b_{m}" for m in sums], *[f"_i_{m}" for m in sums])
 
 
-def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), slices: int = SLICES) -> DataFrame:
+def average_ranks(
+    df: DataFrame, value: str, by: Sequence[str] = (), slices: int = SLICES, inline: bool = False
+) -> DataFrame:
     """One row per (by, value): n, n_before, n_all and the average rank of the value."""
-    ranked = running_before(value_counts(df, value, by), value, ["n"], by, slices)
+    ranked = running_before(value_counts(df, value, by), value, ["n"], by, slices, inline)
     return ranked.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2.0)
 
 
@@ -119,6 +131,48 @@ def positions(df: DataFrame, key: str, by: Sequence[str] = (), out: str = "posit
     return placed.withColumn(out, F.col("_one_before") + 1).drop("_one", "_one_before", "_one_all")
 
 
+def placed_counts(
+    df: DataFrame, value: str, by: Sequence[str] = (), inline: bool | None = None, slices: int = SLICES
+) -> DataFrame:
+    """Distinct values with n, n_before, n_all and the mean of the group.
+
+    Statistics of a group are sums over these rows, so quantiles and central moments come
+    from one pass and the moments are taken around the exact mean.
+    """
+    data = df.select(*by, value).where(F.col(value).isNotNull())
+    if inline is None:
+        inline = fits_inline(data, by)
+    counts = value_counts(data, value, by)
+    placed = running_before(counts, value, ["n"], by, slices, inline)
+    if inline:
+        group = Window.partitionBy(*by)
+        return placed.withColumn("mean", F.sum(F.col("n") * F.col(value)).over(group) / F.col("n_all"))
+    means = counts.groupBy(*by).agg((F.sum(F.col("n") * F.col(value)) / F.sum("n")).alias("mean"))
+    return attach(placed, means, by)
+
+
+def moment(value: str, power: int) -> Column:
+    """Sum of the powers of the distances to the group mean, over ``placed_counts`` rows."""
+    return F.sum(F.col("n") * F.pow(F.col(value) - F.col("mean"), F.lit(float(power))))
+
+
+def sample_deviation(value: str) -> Column:
+    size = F.max("n_all")
+    return F.when(size > 1, F.sqrt(moment(value, 2) / (size - 1)))
+
+
+def quantile(value: str, p: float) -> Column:
+    """Aggregate over ``placed_counts`` rows: the quantile with linear interpolation.
+
+    A value covers the ranks n_before .. n_before + n - 1, counted from 0.
+    """
+    at = (F.col("n_all") - 1) * F.lit(float(p))
+    first, last = F.col("n_before"), F.col("n_before") + F.col("n")
+    low = F.max(F.when((F.floor(at) >= first) & (F.floor(at) < last), F.col(value)))
+    high = F.max(F.when((F.ceil(at) >= first) & (F.ceil(at) < last), F.col(value)))
+    return (low + (high - low) * F.max(at - F.floor(at))).cast("double")
+
+
 def quantiles(
     df: DataFrame,
     value: str,
@@ -128,30 +182,6 @@ def quantiles(
     slices: int = SLICES,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: by, and ``q`` as an array in the order of probs."""
-    data = df.select(*by, value).where(F.col(value).isNotNull())
-    if inline is None:
-        inline = fits_inline(data, by)
-    if inline:
-        exact = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
-        table = data.groupBy(*by).agg(exact.alias("q"))
-        return table.where(F.col("q").isNotNull())
-    placed = running_before(value_counts(data, value, by), value, ["n"], by, slices)
-    picks = []
-    for i, p in enumerate(probs):
-        # Ranks around the target, counted from 0; a value covers n_before .. n_before + n - 1.
-        at = (F.col("n_all") - 1) * F.lit(float(p))
-        first, last = F.col("n_before"), F.col("n_before") + F.col("n")
-        lower = (F.floor(at) >= first) & (F.floor(at) < last)
-        upper = (F.ceil(at) >= first) & (F.ceil(at) < last)
-        picks += [
-            F.max(F.when(lower, F.col(value))).alias(f"_lo{i}"),
-            F.max(F.when(upper, F.col(value))).alias(f"_hi{i}"),
-            F.max(at - F.floor(at)).alias(f"_w{i}"),
-        ]
-    wide = placed.groupBy(*by).agg(*picks)
-    if not by:
-        wide = wide.where(F.col("_lo0").isNotNull())
-    values = [
-        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}") for i in range(len(probs))
-    ]
-    return wide.select(*by, F.array(*[v.cast("double") for v in values]).alias("q"))
+    placed = placed_counts(df, value, by, inline, slices)
+    table = placed.groupBy(*by).agg(F.array(*[quantile(value, p) for p in probs]).alias("q"))
+    return table if by else table.where(F.col("q")[0].isNotNull())

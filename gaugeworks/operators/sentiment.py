@@ -83,7 +83,9 @@ def lexicon_sentiment_table(df: DataFrame, key: str, text: str, lexicon: DataFra
 
     Words are counted per text before the join, and texts without a hit come back by key.
     """
-    tokens = df.select(key, F.explode(words(text)).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    # The outer form, because for the inner one Spark adds a filter that tokenises every text again.
+    exploded = df.select(key, F.explode_outer(words(text)).alias("word")).where(F.col("word").isNotNull())
+    tokens = exploded.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
     hits = tokens.join(lexicon.select("word", "polarity", "subjectivity"), "word").groupBy(key).agg(
         F.sum("n").alias("hits"),
         (F.sum(F.col("n") * F.col("polarity")) / F.sum("n")).alias("polarity"),

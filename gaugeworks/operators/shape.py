@@ -22,27 +22,20 @@ def _values(df: DataFrame, value: str, by: Sequence[str], keep: Sequence[str] =
 
 def distribution(df: DataFrame, value: str, by: Sequence[str] = (), inline: bool | None = None) -> DataFrame:
     """Population skewness, excess kurtosis, quartiles and their range."""
-    data = _values(df, value, by)
-    if inline is None:
-        inline = ordered.fits_inline(data, by)
-    moments = [
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std_dev"),
-        F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"),
-    ]
-    probs = (0.25, 0.5, 0.75)
-    if inline:
-        table = data.groupBy(*by).agg(*moments, F.percentile("value", F.array(*map(F.lit, probs))).alias("_q"))
-    else:
-        picked = ordered.quantiles(data, "value", probs, by, inline=False).withColumnRenamed("q", "_q")
-        table = attach(data.groupBy(*by).agg(*moments), picked, by)
+    placed = ordered.placed_counts(_values(df, value, by), "value", by, inline)
+    size, m2 = F.max("n_all"), ordered.moment("value", 2)
+    variance = F.when(m2 > 0, m2 / size)
+    table = placed.groupBy(*by).agg(
+        size.alias("n"), F.max("mean").alias("mean"), ordered.sample_deviation("value").alias("std_dev"),
+        (ordered.moment("value", 3) / size / F.pow(variance, F.lit(1.5))).alias("skewness"),
+        (ordered.moment("value", 4) / size / (variance * variance) - 3).alias("kurtosis"),
+        *[ordered.quantile("value", p).alias(name) for name, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))],
+    )
     if not by:
-        table = table.where(F.col("n") > 0)
-    enough = F.col("n") >= K.MIN_ROWS_DISTRIBUTION
+        table = table.where(F.col("n").isNotNull())
     return table.select(
-        *by, "n", "mean", "std_dev", "skewness", "kurtosis",
-        *[F.col("_q")[i].alias(name) for i, name in enumerate(("q1", "q2", "q3"))],
-        (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"),
-        F.when(enough, "ok").otherwise("insufficient_data").alias("status"),
+        "*", (F.col("q3") - F.col("q1")).alias("iqr"),
+        F.when(F.col("n") >= K.MIN_ROWS_DISTRIBUTION, "ok").otherwise("insufficient_data").alias("status"),
     )
 
 
@@ -79,26 +72,28 @@ def outlier_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     keys = [*by, "column"]
     if inline is None:
         inline = ordered.fits_inline(df, by)
+    counts = ordered.value_counts(data, "value", keys)
     quartiles = ordered.quantiles(data, "value", (0.25, 0.75), keys, inline=inline)
     fences = quartiles.select(*keys, F.col("q")[0].alias("_a"), F.col("q")[1].alias("_b"))
     width = F.col("_b") - F.col("_a")
     out = (F.col("value") < F.col("_a") - K.IQR_FACTOR * width) | (F.col("value") > F.col("_b") + K.IQR_FACTOR * width)
-    table = attach(data, fences, keys).groupBy(*keys).agg(
-        F.count("value").alias("n"), F.count_if(out & (width != 0)).alias("outliers")
+    # Counted over the distinct values, whose shuffle the quartiles already needed.
+    table = attach(counts, fences, keys).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum(F.when(out & (width != 0), F.col("n")).otherwise(0)).alias("outliers")
     )
     return table.where(F.col("n") >= 4)
 
 
-def ks_normality(df: DataFrame, value: str, by: Sequence[str] = (), slices: int = ordered.SLICES) -> DataFrame:
+def ks_normality(
+    df: DataFrame, value: str, by: Sequence[str] = (), slices: int = ordered.SLICES, inline: bool | None = None
+) -> DataFrame:
     """Kolmogorov-Smirnov distance to the normal with the sample mean and deviation.
 
     Mean and deviation come from the same data, so the p-value is conservative.
     """
-    data = _values(df, value, by)
-    stats = data.groupBy(*by).agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
-    placed = ordered.running_before(ordered.value_counts(data, "value", by), "value", ["n"], by, slices)
-    rows = attach(placed, stats, by)
-    z = F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.col("_s"))
+    placed = ordered.placed_counts(_values(df, value, by), "value", by, inline, slices)
+    rows = attach(placed, placed.groupBy(*by).agg(ordered.sample_deviation("value").alias("_s")), by)
+    z = F.when(F.col("_s") > 0, (F.col("value") - F.col("mean")) / F.col("_s"))
     rows = rows.withColumn("_phi", phi(z))
     total = F.col("n_all")
     gap = F.greatest((F.col("n_before") + F.col("n")) / total - F.col("_phi"), F.col("_phi") - F.col("n_before") / total)

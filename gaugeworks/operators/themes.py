@@ -30,11 +30,12 @@ class Themes:
     status: str
 
 
-def tfidf(df: DataFrame, text: str, features: int = K.THEME_FEATURES) -> tuple[DataFrame, list[str]]:
+def _tfidf(df: DataFrame, text: str, features: int, keep: tuple[str, ...]):
     """Adds ``features``: L2-normalised tf times ln((1 + n) / (1 + df)) + 1 over words and word pairs.
 
     The vocabulary is the most frequent terms of the corpus after English stop words, equal counts
-    in alphabetical order.
+    in alphabetical order. Returns the frame, the persisted counts with the kept columns, the step
+    that turns counts into features, and the vocabulary.
     """
     spark = df.sparkSession
     tokens = RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True)
@@ -42,17 +43,23 @@ def tfidf(df: DataFrame, text: str, features: int = K.THEME_FEATURES) -> tuple[D
     pairs = NGram(inputCol="_s", outputCol="_p", n=2)
     terms = pairs.transform(stops.transform(tokens.transform(df)))
     terms = terms.withColumn("_terms", F.concat("_s", "_p")).drop("_w", "_s", "_p")
-    frequent = terms.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # The outer form, because for the inner one Spark adds a filter that tokenises every text again.
+    exploded = terms.select(F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
+    frequent = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     vocabulary = [r["term"] for r in frequent.orderBy(F.desc("n"), "term").limit(features).collect()]
     if not vocabulary:
         raise ValueError("the texts hold no word outside the stop words")
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_terms", outputCol="_tf")
     counted = counter.transform(terms).drop("_terms")
+    # The term counts are small next to the texts; keeping them spares a second tokenisation.
+    points = counted.select(*keep, "_tf").persist(StorageLevel.MEMORY_AND_DISK)
     # One row with a number per vocabulary term.
-    n, present = counted.agg(F.count(F.lit(1)), Summarizer.numNonZeros(F.col("_tf"))).first()
+    n, present = points.agg(F.count(F.lit(1)), Summarizer.numNonZeros(F.col("_tf"))).first()
     weights = [float(np.log((1 + n) / (1 + d)) + 1) for d in present.toArray()]
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_tf", outputCol="_x").transform(counted)
-    return Normalizer(p=2.0, inputCol="_x", outputCol="features").transform(scaled).drop("_tf", "_x"), vocabulary
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_tf", outputCol="_x")
+    unit = Normalizer(p=2.0, inputCol="_x", outputCol="features")
+    finish = lambda frame: unit.transform(scale.transform(frame)).drop("_tf", "_x")
+    return finish(counted), points, finish, vocabulary
 
 
 def _best_of(vectors: DataFrame, k: int, seed: int, restarts: int) -> KMeansModel:
@@ -77,20 +84,23 @@ def extract_themes(
         status = "insufficient_data" if n < K.MIN_RESPONSES else "fewer_responses_than_themes"
         empty = df.sparkSession.createDataFrame([], "theme_id int, theme_name string, keywords array<string>")
         return Themes(rows.withColumn("theme_id", F.lit(None).cast("int")), empty, [], status)
-    vectors, vocabulary = tfidf(rows, text, features)
-    # Every iteration reads the vectors again; they are small next to the texts, which are not kept.
-    points = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    keep = (sentiment,) if sentiment else ()
+    vectors, counts, finish, vocabulary = _tfidf(rows, text, features, keep)
+    points = finish(counts)
     try:
         model = _best_of(points, n_themes, seed, restarts)
+        shares = theme_shares(model.transform(points).withColumn("theme_id", F.col("_c") + 1), sentiment)
+        # One row per theme, brought here so that the counts can be let go.
+        shares = df.sparkSession.createDataFrame(shares.collect(), shares.schema)
     finally:
-        points.unpersist()
+        counts.unpersist()
     assigned = model.transform(vectors).withColumn("theme_id", F.col("_c") + 1).drop("_c", "features")
     described = []
     for i, center in enumerate(model.clusterCenters()):
         top = [vocabulary[j] for j in np.argsort(-np.asarray(center), kind="stable")[:5]]
         described.append((i + 1, f"Theme {i + 1}: {top[0]}", top))
     names = df.sparkSession.createDataFrame(described, "theme_id int, theme_name string, keywords array<string>")
-    table = names.join(theme_shares(assigned, sentiment), "theme_id").join(
+    table = names.join(shares, "theme_id").join(
         quotes_by_theme(assigned, names, key, text), "theme_id", "left"
     )
     return Themes(assigned, table, vocabulary, "ok")

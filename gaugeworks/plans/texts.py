@@ -10,13 +10,13 @@ from gaugeworks.functions import pii
 from gaugeworks.functions.text import normalized_key
 from gaugeworks.operators import describe, evaluation, questions, retrieval, sentiment, themes
 from gaugeworks.plans.numbers import REGISTRY_SQL, registry_frame
-from gaugeworks.plans.registry import query, table
+from gaugeworks.plans.registry import query, spread, table
 
 P = K.PII_PATTERNS
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _quoted(text: str) -> str:
