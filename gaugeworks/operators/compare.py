@@ -183,7 +183,7 @@ def _mann_whitney_columns(df: DataFrame) -> DataFrame:
     n = n1 + n2
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
     largest = F.greatest(u1, n1 * n2 - u1)
-    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
+    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
     z = F.when(sigma > 0, (largest - n1 * n2 / 2 - 0.5) / sigma)
     return df.withColumn("u_statistic", u1).withColumn("_z", F.greatest(z, F.lit(0.0)))
 
@@ -216,7 +216,7 @@ def _kruskal(sums: DataFrame, ties: DataFrame, by: Sequence[str]) -> DataFrame:
         F.sum(F.col("r") * F.col("r") / F.col("n")).alias("_rr"),
     )
     n = F.col("n_observations").cast("double")
-    correction = 1 - F.col("_ties") / (n * n * n - n)
+    correction = 1 - F.try_divide(F.col("_ties"), n * n * n - n)
     h = F.when(correction > 0, (12 / (n * (n + 1)) * F.col("_rr") - 3 * (n + 1)) / correction)
     table = attach(table, ties, by).withColumn("test_statistic", h).withColumn("status", _status("kruskal-wallis"))
     table = table.withColumn("p_value", chi2_p(F.col("test_statistic"), (F.col("n_groups") - 1).cast("double")))

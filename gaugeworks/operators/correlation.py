@@ -34,7 +34,9 @@ def _finish(pairs: DataFrame, by: Sequence[str], p_value: Column) -> DataFrame:
 
 def _moments(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str]) -> DataFrame:
     """One aggregate over the rows for every pair, then one row per pair."""
-    cells = [F.struct(F.lit(a).alias("variable1"), F.lit(b).alias("variable2"), F.corr(a, b).alias("correlation")) for a, b in pairs]
+    # Written out, because corr fails on a constant column where ANSI arithmetic is on.
+    r = lambda a, b: F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+    cells = [F.struct(F.lit(a).alias("variable1"), F.lit(b).alias("variable2"), r(a, b).alias("correlation")) for a, b in pairs]
     wide = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*cells).alias("_p"))
     return wide.select(*by, "n", F.inline("_p"))
 
@@ -195,7 +197,7 @@ def kendall(
             2 * F.col("_s") / F.sqrt((all_pairs - F.col("_t2x")) * (all_pairs - F.col("_t2y"))),
         )
         base = (n * (n - 1) * (2 * n + 5) - F.col("_tvx") - F.col("_tvy")) / 18
-        mixed = F.col("_t2x") * F.col("_t2y") / (2 * n * (n - 1))
+        mixed = F.when(n > 1, F.col("_t2x") * F.col("_t2y") / (2 * n * (n - 1)))
         third = F.when(n > 2, F.col("_t3x") * F.col("_t3y") / (9 * n * (n - 1) * (n - 2))).otherwise(0.0)
         variance = base + mixed + third
         part = part.select(

@@ -86,13 +86,14 @@ def extract_themes(
         return Themes(rows.withColumn("theme_id", F.lit(None).cast("int")), empty, [], status)
     keep = (sentiment,) if sentiment else ()
     vectors, counts, finish, vocabulary = _tfidf(rows, text, features, keep)
-    points = finish(counts)
+    points = finish(counts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = _best_of(points, n_themes, seed, restarts)
         shares = theme_shares(model.transform(points).withColumn("theme_id", F.col("_c") + 1), sentiment)
         # One row per theme, brought here so that the counts can be let go.
         shares = df.sparkSession.createDataFrame(shares.collect(), shares.schema)
     finally:
+        points.unpersist()
         counts.unpersist()
     assigned = model.transform(vectors).withColumn("theme_id", F.col("_c") + 1).drop("_c", "features")
     described = []

@@ -82,6 +82,7 @@ def tables_equivalent(left: DataFrame, right: DataFrame, keys: Sequence[str] = (
 
 def round_trips(df: DataFrame, path: str, tolerance: float = 1e-9) -> bool:
     """Writes the frame as CSV, reads it back with its schema and compares the two."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
-    back = df.sparkSession.read.schema(df.schema).option("header", True).option("multiLine", True).csv(path)
+    exact = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(quoteAll=True, **exact).csv(path)
+    back = df.sparkSession.read.schema(df.schema).options(multiLine=True, **exact).csv(path)
     return tables_equivalent(df, back, tolerance=tolerance)
