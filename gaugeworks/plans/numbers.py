@@ -327,7 +327,7 @@ def survey_stats(spark, sf):
 @query("column_stats", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, count({c}) AS n, avg({c}) AS mean, quantile_cont({c}, 0.5) AS median, "
     f"stddev_samp({c}) AS std_dev, min({c}) AS min, max({c}) AS max FROM lineitem" for c in LINE_NUMBERS
-), STAT_COLUMNS)
+), STAT_COLUMNS, mean=9)
 def column_stats(spark, sf):
     return describe.column_statistics(table(spark, sf, "lineitem"), LINE_NUMBERS)
 
@@ -799,7 +799,7 @@ def recommended_comparison(spark, sf):
     FROM (SELECT *, row_number() OVER (ORDER BY abs(correlation) DESC, variable1, variable2) AS r FROM ({_corr_sql('lineitem', LINE_NUMBERS)})) WHERE r <= 3
     UNION ALL SELECT 'trend', event_type, slope, 'Trend slope: ' || {DIRECTION} FROM ({FIT})
     UNION ALL SELECT 'group_statistic', o_orderpriority, avg(o_totalprice), 'Mean for ' || o_orderpriority FROM orders GROUP BY o_orderpriority""",
-    "value")
+    "value", value=9)
 def data_points(spark, sf):
     lines = table(spark, sf, "lineitem")
     groups = describe.group_statistics(table(spark, sf, "orders"), "o_totalprice", "o_orderpriority")
