@@ -154,28 +154,20 @@ def merge_summaries(
 def benchmark_ranking(
     df: DataFrame, institution: str, value: str, by: Sequence[str] = (), slices: int = ordered.SLICES
 ) -> DataFrame:
-    """Rank and percentile of every row by value, best first; rows without a number are dropped.
+    """Rank and percentile of every institution by value, best first; rows without a number are dropped.
 
-    Equal values are ordered by institution name, so ranks are 1..n without gaps.
+    Equal values are ordered by institution name. Repeated rows of an institution with the
+    same value are one row with their number in ``copies``; they still take up ranks.
     """
     data = df.withColumn("metric_value", measure(value)).where(F.col("metric_value").isNotNull())
-    # Ties beyond the name fall back to a row number inside equal keys, which are exact duplicates.
     keyed = data.withColumn("_key", F.struct((-F.col("metric_value")).alias("v"), F.col(institution).cast("string").alias("i")))
     distinct = keyed.groupBy(*by, "_key").agg(F.count(F.lit(1)).alias("n"))
     placed = ordered.running_before(distinct, "_key", ["n"], by, slices)
-    ranked = placed.select(
-        *by,
-        F.col("_key.i").alias("institution"),
-        (-F.col("_key.v")).alias("metric_value"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_k"),
-        "n_before",
-        "n_all",
-    )
-    rank = F.col("n_before") + F.col("_k")
+    rank = F.col("n_before") + 1
     top = F.greatest(F.col("n_all") - 1, F.lit(1))
-    return ranked.select(
-        *by, "institution", "metric_value", rank.alias("rank"),
-        F.round((1 - (rank - 1) / top) * 100, 1).alias("percentile"),
+    return placed.select(
+        *by, F.col("_key.i").alias("institution"), (-F.col("_key.v")).alias("metric_value"), F.col("n").alias("copies"),
+        rank.alias("rank"), F.round((1 - (rank - 1) / top) * 100, 1).alias("percentile"),
     )
 
 

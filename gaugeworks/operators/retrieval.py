@@ -185,7 +185,8 @@ def _by_task(q: DataFrame, p: DataFrame, k: int, limit: float | None) -> DataFra
         for start, (d, i) in best.items():
             yield _emit(ids[start:start + step], d, i, limit)
 
-    return p.mapInPandas(search, schema)
+    # Each task sends k rows per question, so very many small splits are joined without a shuffle.
+    return p.coalesce(8 * q.sparkSession.sparkContext.defaultParallelism).mapInPandas(search, schema)
 
 
 def _by_block(q: DataFrame, p: DataFrame, k: int, limit: float | None, n: int, chunk_rows: int, block_rows: int) -> DataFrame:

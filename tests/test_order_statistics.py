@@ -90,8 +90,8 @@ def test_benchmark(spark):
 
 def test_benchmark_ties_and_copies(spark):
     df = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("a", 1.0), ("c", 2.0)], "i string, v double")
-    got = [(r["institution"], r["rank"]) for r in describe.benchmark_ranking(df, "i", "v").orderBy("rank").collect()]
-    assert got == [("c", 1), ("a", 2), ("a", 3), ("b", 4)]
+    got = [(r["institution"], r["rank"], r["copies"]) for r in describe.benchmark_ranking(df, "i", "v").orderBy("rank").collect()]
+    assert got == [("c", 1, 1), ("a", 2, 2), ("b", 4, 1)]
 
 
 def test_sentiment_distribution(spark):
