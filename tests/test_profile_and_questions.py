@@ -93,3 +93,10 @@ def test_text_helpers(spark):
     df = spark.createDataFrame([("  A\t b  C ", "A" * 1000), (None, None)], "t string, u string")
     rows = df.select(normalized_key("t").alias("k"), token_estimate("u").alias("n")).collect()
     assert [tuple(r) for r in rows] == [("a b c", 250), ("", None)]
+
+
+def test_edge_cases(spark):
+    df = spark.createDataFrame([(f"2024-01-{i + 1:02d}", float(i) if i else float("nan"), 1.0 if i else None) for i in range(9)] + [("2024-02-01", 500.0, 1.0)], "date string, x double, flat double")
+    rows = {r["column"]: r for r in profile.numeric_edge_cases(df).collect()}
+    assert (rows["x"]["outliers"], rows["x"]["missing_pct"]) == (1, 10.0) and rows["flat"]["outliers"] == 0
+    assert rows["date"]["outliers"] is None and rows["date"]["trend_ready"] and rows["date"]["position"] == 0
