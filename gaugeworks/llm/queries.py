@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import substrings
+from gaugeworks.llm import jaccard, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    return jaccard.near_duplicates(_table(spark, sf, "documents"))
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Words left of every document and how many were removed as repeats."""
