@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, jaccard, substrings
+from gaugeworks.llm import bpe, jaccard, language, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,20 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def _fold(id: str = "doc_id", folds: int = 4) -> Column:
+    """Remainder that tells held-out rows."""
+    return F.pmod(F.crc32(F.col(id).cast("string")), F.lit(folds))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = _table(spark, sf, "documents")
+    model = language.fit(docs.filter((_fold() != 2) & F.col("lang").isNotNull()))
+    found = language.label(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (_fold("id") == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score", F.size("starts").alias("n_spans"))
+
+
 @query
 def op3_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Shingle count and near-duplicate component of every document."""
@@ -42,6 +56,21 @@ def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encoded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """Texts with a label; of several labels of a document the largest counts."""
+    labels = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    return docs.select("doc_id", "text").join(labels, "doc_id")
+
+
+@query
+def op7_line_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document, learned from those that are not held out."""
+    docs = _table(spark, sf, "documents")
+    labels = _table(spark, sf, "labels").filter(_fold() != 2)
+    found = quality.score(docs, quality.fit(_labelled(docs, labels, "quality")))
+    return found.select(F.col("id").alias("doc_id"), (_fold("id") == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "good_share")
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Words left of every document and how many were removed as repeats."""
