@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, jaccard, language, quality, substrings
+from gaugeworks.llm import bpe, jaccard, language, quality, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,15 @@ def op7_line_quality(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (_fold("id") == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "good_share")
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document, learned from those that are not held out."""
+    docs = _table(spark, sf, "documents")
+    labels = _table(spark, sf, "labels").filter(_fold(folds=5) != 0)
+    found = toxicity.score(docs, toxicity.fit(_labelled(docs, labels, "toxic")))
+    return found.select(F.col("id").alias("doc_id"), (_fold("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Words left of every document and how many were removed as repeats."""
