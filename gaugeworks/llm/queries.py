@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, jaccard, language, quality, substrings, toxicity
+from gaugeworks.llm import bpe, decontaminate, jaccard, language, neighbours, quality, sharding, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,13 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (_fold("id") == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score", F.size("starts").alias("n_spans"))
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of documents that hold a benchmark item, with their edit distance."""
+    found = decontaminate.matches(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op3_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Shingle count and near-duplicate component of every document."""
@@ -62,6 +69,19 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return docs.select("doc_id", "text").join(labels, "doc_id")
 
 
+@query
+def op5_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return neighbours.search(_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """What reading the archives of all pages gives."""
+    found = warc.round_trip(_table(spark, sf, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op7_line_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality score of every document, learned from those that are not held out."""
@@ -85,3 +105,13 @@ def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Words left of every document and how many were removed as repeats."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     return substrings.repeated_words(docs).select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SHARDS = tuple(f"shard-{i:02d}" for i in range(16))
+
+
+@query
+def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """Shard of every document, with the bytes that it brings there."""
+    docs = _table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("text_bytes"))
+    return sharding.place(docs, "doc_id", SHARDS)
