@@ -140,3 +140,11 @@ PINNED_LIMIT = 20
 RATE_LIMIT_ATTEMPTS = 5
 RATE_LIMIT_SECONDS = 60
 RATE_LIMIT_BACKOFF_MAX = 16
+
+# Name hints of the roles of a metric table, in the order in which roles are given out.
+METRIC_ROLE_HINTS = {
+    "metric_value": ("value", "count", "total", "number", "visits", "sessions"),
+    "metric_name": ("metric", "measure", "indicator", "title", "room", "event"),
+    "date": ("date", "time", "period", "month", "year"),
+    "category": ("category", "type", "group", "audience", "department"),
+}

@@ -160,14 +160,10 @@ def _cells(df: DataFrame, value: str, group: str, by: Sequence[str]) -> DataFram
     return _rows(df, value, group, by).groupBy(*by, "group", "_v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _inline(df: DataFrame, by: Sequence[str], inline: bool | None) -> bool:
-    return ordered.fits_inline(df, by) if inline is None else inline
-
-
-def _rank_sums(cells: DataFrame, by: Sequence[str], slices: int, inline: bool) -> tuple[DataFrame, DataFrame]:
+def _rank_sums(cells: DataFrame, by: Sequence[str], per_slice: int) -> tuple[DataFrame, DataFrame]:
     """Rank sum and size per group, and the tie term and size per analysis."""
     values = cells.groupBy(*by, "_v").agg(F.sum("n").alias("t"))
-    placed = ordered.running_before(values, "_v", ["t"], by, slices, inline)
+    placed = ordered.running_before(values, "_v", ["t"], by, per_slice)
     ranks = placed.select(*by, "_v", (F.col("t_before") + (F.col("t") + 1) / 2.0).alias("_rank"))
     sums = attach(cells, ranks, [*by, "_v"]).groupBy(*by, "group").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("_rank")).alias("r")
@@ -188,9 +184,9 @@ def _mann_whitney_columns(df: DataFrame) -> DataFrame:
     return df.withColumn("u_statistic", u1).withColumn("_z", F.greatest(z, F.lit(0.0)))
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = (), slices: int = ordered.SLICES, inline: bool | None = None) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = (), per_slice: int = ordered.PER_SLICE) -> DataFrame:
     """Two-sided rank-sum test, always with the normal approximation; reports U of the first group."""
-    sums, ties = _rank_sums(_cells(df, value, group, by), by, slices, _inline(df, by, inline))
+    sums, ties = _rank_sums(_cells(df, value, group, by), by, per_slice)
     stats = F.struct("n", "r")
     pair = sums.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_observations"),
@@ -205,9 +201,9 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = (),
     return _result(table.withColumn("p_value", z_p(F.col("_z"))), by, "mann-whitney")
 
 
-def kruskal_wallis(df: DataFrame, value: str, group: str, by: Sequence[str] = (), slices: int = ordered.SLICES, inline: bool | None = None) -> DataFrame:
+def kruskal_wallis(df: DataFrame, value: str, group: str, by: Sequence[str] = (), per_slice: int = ordered.PER_SLICE) -> DataFrame:
     """Rank-based analysis of variance, corrected for ties."""
-    return _kruskal(*_rank_sums(_cells(df, value, group, by), by, slices, _inline(df, by, inline)), by)
+    return _kruskal(*_rank_sums(_cells(df, value, group, by), by, per_slice), by)
 
 
 def _kruskal(sums: DataFrame, ties: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -223,14 +219,13 @@ def _kruskal(sums: DataFrame, ties: DataFrame, by: Sequence[str]) -> DataFrame:
     return _result(table, by, "kruskal-wallis")
 
 
-def kruskal_pairs(df: DataFrame, value: str, group: str, by: Sequence[str] = (), slices: int = ordered.SLICES, inline: bool | None = None) -> DataFrame:
+def kruskal_pairs(df: DataFrame, value: str, group: str, by: Sequence[str] = (), per_slice: int = ordered.PER_SLICE) -> DataFrame:
     """Pairwise Mann-Whitney tests with Bonferroni correction, for analyses Kruskal-Wallis finds significant.
 
     Ranks are taken anew inside each pair, over distinct values rather than rows.
     """
     cells = _cells(df, value, group, by)
-    inline = _inline(df, by, inline)
-    sums, ties = _rank_sums(cells, by, slices, inline)
+    sums, ties = _rank_sums(cells, by, per_slice)
     found = _kruskal(sums, ties, by).where(F.col("significant")).select(*by, "n_groups")
     pairs = attach(_label_pairs(sums, by, ("n",)), found, by).select(*by, "group1", "group2", "n_groups")
     # A few rows that close the first pass over the data; without the cut every branch below
@@ -241,7 +236,7 @@ def kruskal_pairs(df: DataFrame, value: str, group: str, by: Sequence[str] = (),
     sides = pairs.withColumn("group", F.explode(F.array("group1", "group2"))).drop("n_groups")
     both = attach(sides, cells, [*by, "group"])
     keys = [*by, "group1", "group2"]
-    pair_sums, pair_ties = _rank_sums(both, keys, slices, inline)
+    pair_sums, pair_ties = _rank_sums(both, keys, per_slice)
     first = F.col("group") == F.col("group1")
     wide = pair_sums.groupBy(*keys).agg(
         F.sum(F.when(first, F.col("n"))).alias("n1"), F.sum(F.when(first, F.col("r"))).alias("r1"),

@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,30 +53,29 @@ def pearson(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
 
 
 def ranked_columns(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), slices: int = ordered.SLICES, inline: bool | None = None
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), per_slice: int = ordered.PER_SLICE
 ) -> DataFrame:
     """Complete rows with each value replaced by its average rank within the group."""
     rows = _complete(df, columns, by)
-    inline = ordered.fits_inline(df, by) if inline is None else inline
     out = rows
     for column in columns:
-        ranks = ordered.average_ranks(rows, column, by, slices, inline).select(*by, column, "avg_rank")
+        ranks = ordered.average_ranks(rows, column, by, per_slice).select(*by, column, "avg_rank")
         out = attach(out, ranks, [*by, column]).withColumn(column, F.col("avg_rank")).drop("avg_rank")
     return out
 
 
 def spearman(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), slices: int = ordered.SLICES, inline: bool | None = None
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), per_slice: int = ordered.PER_SLICE
 ) -> DataFrame:
     """Pearson correlation of average ranks with the t approximation of its p-value."""
     pairs = list(combinations(columns, 2))
-    return _finish(_moments(ranked_columns(df, columns, by, slices, inline), pairs, by), by, _student_p())
+    return _finish(_moments(ranked_columns(df, columns, by, per_slice), pairs, by), by, _student_p())
 
 
-def _dense(rows: DataFrame, column: str, by: Sequence[str], name: str, slices: int) -> DataFrame:
+def _dense(rows: DataFrame, column: str, by: Sequence[str], name: str, per_slice: int) -> DataFrame:
     """(by, column): 0-based dense rank, number of distinct values and rows per value."""
     distinct = ordered.value_counts(rows, column, by).withColumn("_one", F.least(F.col("n"), F.lit(1)))
-    placed = ordered.running_before(distinct, column, ["_one"], by, slices)
+    placed = ordered.running_before(distinct, column, ["_one"], by, per_slice)
     return placed.select(*by, column, F.col("_one_before").alias(name), F.col("_one_all").alias(f"{name}_d"), "n")
 
 
@@ -92,7 +89,7 @@ def _ties(dense: DataFrame, by: Sequence[str], tag: str) -> DataFrame:
     )
 
 
-def _kendall_pair(rows: DataFrame, a: str, b: str, by: Sequence[str], slices: int) -> DataFrame:
+def _kendall_pair(rows: DataFrame, a: str, b: str, by: Sequence[str], per_slice: int) -> DataFrame:
     """Concordant minus discordant pairs without forming a pair.
 
     Two rows with different y ranks differ in a highest bit. At each bit level, rows that
@@ -102,7 +99,7 @@ def _kendall_pair(rows: DataFrame, a: str, b: str, by: Sequence[str], slices: in
     about sqrt(D) runs of as many distinct values, so neither window grows beyond that.
     """
     points = rows.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("w"))
-    x_rank, y_rank = _dense(rows, a, by, "_x", slices), _dense(rows, b, by, "_y", slices)
+    x_rank, y_rank = _dense(rows, a, by, "_x", per_slice), _dense(rows, b, by, "_y", per_slice)
     points = attach(points, x_rank.drop("n"), [*by, a])
     points = attach(points, y_rank.drop("n"), [*by, b])
     top_bit = F.greatest(F.ceil(F.log2(F.col("_y_d").cast("double"))) - 1, F.lit(0)).cast("int")
@@ -139,57 +136,14 @@ def _kendall_pair(rows: DataFrame, a: str, b: str, by: Sequence[str], slices: in
     return attach(ties, score, by)
 
 
-def _score(x: np.ndarray, y: np.ndarray) -> float:
-    """Concordant minus discordant pairs of one group, by the same bit levels as below."""
-    order = np.lexsort((y, x))
-    x = np.unique(x[order], return_inverse=True)[1]
-    y = np.unique(y[order], return_inverse=True)[1]
-    total = 0.0
-    for level in range(max(1, int(y.max()).bit_length())):
-        block = y >> (level + 1)
-        by_block = np.argsort(block, kind="stable")
-        b, one, run = block[by_block], (y[by_block] >> level) & 1, x[by_block]
-        new_block = np.r_[True, b[1:] != b[:-1]]
-        new_run = new_block | np.r_[True, run[1:] != run[:-1]]
-        index = np.arange(len(b))
-        block_start = np.maximum.accumulate(np.where(new_block, index, 0))
-        run_start = np.maximum.accumulate(np.where(new_run, index, 0))
-        ones = np.r_[0, np.cumsum(one)]
-        ones_below = ones[run_start] - ones[block_start]
-        zeros_below = (run_start - block_start) - ones_below
-        total += float(np.sum(np.where(one == 1, zeros_below, -ones_below).astype(float)))
-    return total
-
-
-def _kendall_small(rows: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
-    """Score and tie terms for groups of a checked size, each handled by one task."""
-    keys = list(by) or ["_all"]
-    data = rows.select(*by, a, b) if by else rows.select(F.lit(1).alias("_all"), a, b)
-    head = ", ".join(f"`{k}` {data.schema[k].dataType.simpleString()}" for k in keys)
-    names = [f"_{t}{s}" for s in "xy" for t in ("n", "t2", "tv", "t3")]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group[a].to_numpy(), group[b].to_numpy()
-        out = {k: [group[k].iloc[0]] for k in keys} | {"_s": [_score(x, y)]}
-        for side, values in (("x", x), ("y", y)):
-            t = np.unique(values, return_counts=True)[1].astype(float)
-            terms = (t.sum(), (t * (t - 1)).sum(), (t * (t - 1) * (2 * t + 5)).sum(), (t * (t - 1) * (t - 2)).sum())
-            out |= {f"_{name}{side}": [float(v)] for name, v in zip(("n", "t2", "tv", "t3"), terms)}
-        return pd.DataFrame(out)
-
-    schema = f"{head}, _s double, " + ", ".join(f"{n} double" for n in names)
-    return data.groupBy(*keys).applyInPandas(run, schema).select(*by, "_s", *names)
-
-
 def kendall(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), slices: int = ordered.SLICES, inline: bool | None = None
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), per_slice: int = ordered.PER_SLICE
 ) -> DataFrame:
     """tau-b with the normal approximation of its p-value."""
     rows = _complete(df, columns, by)
-    inline = ordered.fits_inline(df, by) if inline is None else inline
     parts = []
     for a, b in combinations(columns, 2):
-        part = _kendall_small(rows, a, b, by) if inline else _kendall_pair(rows, a, b, by, slices)
+        part = _kendall_pair(rows, a, b, by, per_slice)
         n = F.col("_nx")
         all_pairs = n * (n - 1)
         tau = F.when(

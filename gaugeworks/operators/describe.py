@@ -28,14 +28,13 @@ def describe(
     value: str,
     by: Sequence[str] = (),
     probs: Mapping[str, float] | None = None,
-    inline: bool | None = None,
 ) -> DataFrame:
     """n, mean, std_dev (sample, NULL for one row), min, max and the named exact quantiles.
 
     Missing values are left out, and so is a group that has no value at all.
     """
     probs = {"median": 0.5} if probs is None else probs
-    placed = ordered.placed_counts(df.select(*by, measure(value).alias("_v")), "_v", by, inline)
+    placed = ordered.placed_counts(df.select(*by, measure(value).alias("_v")), "_v", by)
     table = placed.groupBy(*by).agg(
         F.max("n_all").alias("n"),
         F.max("mean").alias("mean"),
@@ -49,10 +48,9 @@ def describe(
 
 def usage_statistics(
     df: DataFrame, metric: str = "metric_name", value: str = "metric_value", by: Sequence[str] = (),
-    inline: bool | None = None,
 ) -> DataFrame:
     """Per-metric statistics; the deviation of a single value is 0."""
-    table = describe(df, value, [*by, metric], inline=inline)
+    table = describe(df, value, [*by, metric])
     return table.withColumn("std_dev", F.coalesce("std_dev", F.lit(0.0)))
 
 
@@ -64,7 +62,6 @@ def category_counts(df: DataFrame, category: str = "category", by: Sequence[str]
 
 def survey_statistics(
     df: DataFrame, text: str = "response_text", score: str | None = None, by: Sequence[str] = (),
-    inline: bool | None = None,
 ) -> DataFrame:
     """Statistics of response length and, where a column is given, of the sentiment score."""
     length = F.when(F.col(text) != "", F.char_length(text).cast("double"))
@@ -72,27 +69,24 @@ def survey_statistics(
         *by, length.alias("response_length"), *([measure(score).alias("sentiment_score")] if score else [])
     )
     names = ["response_length"] + (["sentiment_score"] if score else [])
-    table = describe(wide.unpivot(list(by), names, "measure", "_x"), "_x", [*by, "measure"], inline=inline)
+    table = describe(wide.unpivot(list(by), names, "measure", "_x"), "_x", [*by, "measure"])
     return table.withColumn("std_dev", F.coalesce("std_dev", F.lit(0.0)))
 
 
 def column_statistics(
-    df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), inline: bool | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Mean, median, deviation, range and missing count of each numeric column."""
     columns = list(columns or numeric_columns(df))
     data = long_form(df, columns, by)
-    if inline is None:
-        # Every column holds the rows of its group, so the wide frame answers the size question.
-        inline = ordered.fits_inline(df, by)
     keys = [*by, "column"]
     missing = data.groupBy(*keys).agg(F.count_if(F.col("value").isNull()).alias("missing"))
-    return attach(missing, describe(data, "value", keys, inline=inline), keys, "left")
+    return attach(missing, describe(data, "value", keys), keys, "left")
 
 
-def group_statistics(df: DataFrame, value: str, group: str, by: Sequence[str] = (), inline: bool | None = None) -> DataFrame:
+def group_statistics(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
     """n, mean, sample deviation (NULL for one row), median, min and max per group."""
-    return describe(df.where(F.col(group).isNotNull()), value, [*by, group], inline=inline)
+    return describe(df.where(F.col(group).isNotNull()), value, [*by, group])
 
 
 def sentiment_distribution(df: DataFrame, category: str = "category", by: Sequence[str] = ()) -> DataFrame:
@@ -152,7 +146,7 @@ def merge_summaries(
 
 
 def benchmark_ranking(
-    df: DataFrame, institution: str, value: str, by: Sequence[str] = (), slices: int = ordered.SLICES
+    df: DataFrame, institution: str, value: str, by: Sequence[str] = (), per_slice: int = ordered.PER_SLICE
 ) -> DataFrame:
     """Rank and percentile of every institution by value, best first; rows without a number are dropped.
 
@@ -162,7 +156,7 @@ def benchmark_ranking(
     data = df.withColumn("metric_value", measure(value)).where(F.col("metric_value").isNotNull())
     keyed = data.withColumn("_key", F.struct((-F.col("metric_value")).alias("v"), F.col(institution).cast("string").alias("i")))
     distinct = keyed.groupBy(*by, "_key").agg(F.count(F.lit(1)).alias("n"))
-    placed = ordered.running_before(distinct, "_key", ["n"], by, slices)
+    placed = ordered.running_before(distinct, "_key", ["n"], by, per_slice)
     rank = F.col("n_before") + 1
     top = F.greatest(F.col("n_all") - 1, F.lit(1))
     return placed.select(
@@ -173,10 +167,9 @@ def benchmark_ranking(
 
 def benchmark_summary(
     df: DataFrame, institution: str, value: str, target: str | None = None, by: Sequence[str] = (),
-    inline: bool | None = None,
 ) -> DataFrame:
     """Count, mean, median, min and max, and the place of the target institution (name match ignores case)."""
-    table = describe(df, value, by, inline=inline).drop("std_dev")
+    table = describe(df, value, by).drop("std_dev")
     if target is None:
         return table
     ranked = benchmark_ranking(df, institution, value, by).where(F.lower("institution") == target.lower())

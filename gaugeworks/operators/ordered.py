@@ -3,16 +3,16 @@
 Ranks, positions, running totals and exact quantiles all need a global order inside a
 group, and a group may hold a third of all rows. A window over the whole group would
 sort it in one task, and the built-in exact percentile would keep all of its distinct
-values in one map. Groups of a checked size take the window. For larger ones the distinct values of each group are cut into slices: totals of
-the slices below come from a small table, and only the inside of a slice is sorted.
+values in one map. The distinct values of each group are cut into slices: totals of the
+slices below come from a small table, and only the inside of a slice is sorted.
 
-The cut points are the values with the smallest hashes. That is a function of the data
-alone, so every evaluation and every retried task sees the same slices.
+The cut points are the values whose hash falls into one of ``PER_SLICE`` remainders. That is a
+function of the data alone, so every evaluation and every retried task sees the same slices,
+and a group has as many of them as it has distinct values for; a small one has a single slice.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,21 +20,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.joins import attach
 
-SLICES = 512
-# Spark keeps at most this many rows per map task for a row_number filter.
-_SAMPLE_PER_STRATUM = 1000
-# Groups up to this many rows may be sorted by one task.
-INLINE_ROWS = 4_000_000
-_STRIDE = 32
-
-
-def fits_inline(df: DataFrame, by: Sequence[str] = (), limit: int = INLINE_ROWS) -> bool:
-    """Whether the largest group stays within the limit; brings one number to the driver."""
-    if limit <= 0:
-        return False
-    if not by:
-        return df.count() <= limit
-    return (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= limit
+# Distinct values that a slice holds on average.
+PER_SLICE = 100_000
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), count: str = "n") -> DataFrame:
@@ -42,38 +29,30 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), count: str =
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias(count))
 
 
-def _cuts(counts: DataFrame, key: str, by: Sequence[str], sums: Sequence[str], slices: int) -> DataFrame:
-    strata = max(1, math.ceil(slices / _SAMPLE_PER_STRATUM))
-    each = math.ceil(slices / strata)
-    hashed = (
-        # Always true for counts and weights. Reading the sums here keeps this branch's shuffle
-        # equal to that of the other branches, so that Spark reuses it.
-        counts.where(F.least(F.lit(0), *[F.col(m) for m in sums]) >= 0)
-        .select(*by, key)
-        .withColumn("_h", F.xxhash64(key))
-        .withColumn("_s", F.pmod("_h", F.lit(strata)))
-    )
-    window = Window.partitionBy(*by, "_s").orderBy("_h", key)
-    sample = hashed.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= each)
-    cuts = sample.groupBy(*by).agg(F.sort_array(F.collect_list(key)).alias("_cut"))
-    heads = F.filter("_cut", lambda c, i: i % _STRIDE == 0)
-    return cuts.withColumn("_head", heads)
+def _cuts(counts: DataFrame, key: str, by: Sequence[str], sums: Sequence[str], per_slice: int) -> DataFrame:
+    """Sorted cut points of each group that has any, and how many of them make a block of the search."""
+    # The first test is always true for counts and weights. Reading the sums here keeps this branch's
+    # shuffle equal to that of the other branches, so that Spark reuses it.
+    chosen = counts.where(F.least(F.lit(0), *[F.col(m) for m in sums]) >= 0).where(F.pmod(F.xxhash64(key), F.lit(per_slice)) == 0)
+    cuts = chosen.groupBy(*by).agg(F.sort_array(F.collect_list(key)).alias("_cut"))
+    cuts = cuts.withColumn("_block", F.greatest(F.ceil(F.sqrt(F.size("_cut").cast("double"))), F.lit(1)).cast("int"))
+    return cuts.withColumn("_head", F.filter("_cut", lambda c, i: i % F.col("_block") == 0))
 
 
 def _slot(key: Column) -> Column:
+    """Number of cut points up to the key: first among the heads of blocks, then inside the block."""
     head = F.size(F.filter("_head", lambda c: c <= key))
-    block = F.slice("_cut", (head - 1) * _STRIDE + 1, _STRIDE)
+    block = F.slice("_cut", (head - 1) * F.col("_block") + 1, F.col("_block"))
     inside = F.size(F.filter(block, lambda c: c <= key))
-    return F.when(head == 0, F.lit(0)).otherwise((head - 1) * _STRIDE + inside)
+    return F.when(F.col("_cut").isNull() | (head == 0), F.lit(0)).otherwise((head - 1) * F.col("_block") + inside)
 
 
 def sliced(
-    counts: DataFrame, key: str, by: Sequence[str] = (), sums: Sequence[str] = ("n",), slices: int = SLICES
+    counts: DataFrame, key: str, by: Sequence[str] = (), sums: Sequence[str] = ("n",), per_slice: int = PER_SLICE
 ) -> DataFrame:
     """Adds ``_slice``: slices follow the order of the key, which is distinct within each group."""
-    # Without ``by`` the cuts are one row of at most ``slices`` values.
-    tagged = attach(counts, _cuts(counts, key, by, sums, slices), by)
-    return tagged.withColumn("_slice", _slot(F.col(key))).drop("_cut", "_head")
+    tagged = attach(counts, _cuts(counts, key, by, sums, per_slice), by, "left")
+    return tagged.withColumn("_slice", _slot(F.col(key))).drop("_cut", "_head", "_block")
 
 
 def running_before(
@@ -81,24 +60,14 @@ def running_before(
     key: str,
     sums: Sequence[str],
     by: Sequence[str] = (),
-    slices: int = SLICES,
-    inline: bool = False,
+    per_slice: int = PER_SLICE,
 ) -> DataFrame:
     """Adds ``<m>_before`` and ``<m>_all`` for each summed column m.
 
     ``<m>_before`` totals m over the smaller keys of the group, ``<m>_all`` over the group.
-    Needs one row per (by, key) and sums that are never negative. ``inline`` sorts each group
-    in one task and is for groups of a checked size.
+    Needs one row per (by, key) and sums that are never negative.
     """
-    if inline:
-        below = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        group = Window.partitionBy(*by)
-        return counts.select(
-            "*",
-            *[F.coalesce(F.sum(m).over(below), F.lit(0)).alias(f"{m}_before") for m in sums],
-            *[F.sum(m).over(group).alias(f"{m}_all") for m in sums],
-        )
-    tagged = sliced(counts, key, by, sums, slices)
+    tagged = sliced(counts, key, by, sums, per_slice)
     totals = tagged.groupBy(*by, "_slice").agg(*[F.sum(m).alias(f"_t_{m}") for m in sums])
     lower = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -117,22 +86,22 @@ def running_before(
 
 
 def average_ranks(
-    df: DataFrame, value: str, by: Sequence[str] = (), slices: int = SLICES, inline: bool = False
+    df: DataFrame, value: str, by: Sequence[str] = (), per_slice: int = PER_SLICE
 ) -> DataFrame:
     """One row per (by, value): n, n_before, n_all and the average rank of the value."""
-    ranked = running_before(value_counts(df, value, by), value, ["n"], by, slices, inline)
+    ranked = running_before(value_counts(df, value, by), value, ["n"], by, per_slice)
     return ranked.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2.0)
 
 
-def positions(df: DataFrame, key: str, by: Sequence[str] = (), out: str = "position", slices: int = SLICES) -> DataFrame:
+def positions(df: DataFrame, key: str, by: Sequence[str] = (), out: str = "position", per_slice: int = PER_SLICE) -> DataFrame:
     """Adds the 1-based position of each row by a key that is unique within its group."""
     one = df.withColumn("_one", F.lit(1).cast("long") + F.when(F.col(key).isNull(), 0).otherwise(0))
-    placed = running_before(one, key, ["_one"], by, slices)
+    placed = running_before(one, key, ["_one"], by, per_slice)
     return placed.withColumn(out, F.col("_one_before") + 1).drop("_one", "_one_before", "_one_all")
 
 
 def placed_counts(
-    df: DataFrame, value: str, by: Sequence[str] = (), inline: bool | None = None, slices: int = SLICES
+    df: DataFrame, value: str, by: Sequence[str] = (), per_slice: int = PER_SLICE
 ) -> DataFrame:
     """Distinct values with n, n_before, n_all and the mean of the group.
 
@@ -140,13 +109,8 @@ def placed_counts(
     from one pass and the moments are taken around the exact mean.
     """
     data = df.select(*by, value).where(F.col(value).isNotNull())
-    if inline is None:
-        inline = fits_inline(data, by)
     counts = value_counts(data, value, by)
-    placed = running_before(counts, value, ["n"], by, slices, inline)
-    if inline:
-        group = Window.partitionBy(*by)
-        return placed.withColumn("mean", F.sum(F.col("n") * F.col(value)).over(group) / F.col("n_all"))
+    placed = running_before(counts, value, ["n"], by, per_slice)
     means = counts.groupBy(*by).agg((F.sum(F.col("n") * F.col(value)) / F.sum("n")).alias("mean"))
     return attach(placed, means, by)
 
@@ -178,10 +142,9 @@ def quantiles(
     value: str,
     probs: Sequence[float],
     by: Sequence[str] = (),
-    inline: bool | None = None,
-    slices: int = SLICES,
+    per_slice: int = PER_SLICE,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: by, and ``q`` as an array in the order of probs."""
-    placed = placed_counts(df, value, by, inline, slices)
+    placed = placed_counts(df, value, by, per_slice)
     table = placed.groupBy(*by).agg(F.array(*[quantile(value, p) for p in probs]).alias("q"))
     return table if by else table.where(F.col("q")[0].isNotNull())

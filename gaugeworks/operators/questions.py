@@ -11,9 +11,6 @@ from gaugeworks import constants as K
 from gaugeworks.functions.joins import union_all
 from gaugeworks.functions.text import contains_any, first_rule
 
-# Registries up to this many profiles are matched as one array per question.
-PROFILES_INLINE = 5_000
-
 
 def intent(question: Column | str) -> Column:
     text = F.lower(F.col(question) if isinstance(question, str) else question)
@@ -35,46 +32,29 @@ def _capable(intent_col: Column, has_text: Column, has_numeric: Column) -> Colum
     )
 
 
-def target_datasets(df: DataFrame, profiles: DataFrame, key: str, question: str = "text", inline: int = PROFILES_INLINE) -> DataFrame:
+def target_datasets(df: DataFrame, profiles: DataFrame, key: str, question: str = "text") -> DataFrame:
     """(key, intent, dataset_name): the datasets a question should look into.
 
     ``profiles`` has name, dataset_type, has_text and has_numeric. A dataset is a target when
-    the question names it or its type, or when it can serve the intent. Small registries, by
-    count, travel as one array. Beyond that the names are found by an equi-join with the
-    question's substrings of the lengths that names have.
+    the question names it or its type, or when it can serve the intent. Names and types are found by
+    an equi-join with the question's substrings of the lengths that they have. All datasets that can
+    serve an intent belong to the result of every question with that intent, so it is as large.
     """
     asked = classify_questions(df.select(key, F.col(question).alias("_q")), "_q").withColumn("_t", F.lower("_q"))
-    if profiles.count() <= inline:
-        entries = profiles.agg(F.collect_set(F.struct(
-            "name", "has_text", "has_numeric", F.lower("name").alias("_n"), F.lower("dataset_type").alias("_k")
-        )).alias("_p"))
-        rows = asked.crossJoin(F.broadcast(entries))
-        hits = F.filter("_p", lambda p: (
-            F.col("_t").contains(p["_n"]) | F.col("_t").contains(p["_k"])
-            | _capable(F.col("intent"), p["has_text"], p["has_numeric"])
-        ))
-        names = F.array_distinct(F.transform(hits, lambda p: p["name"]))
-        return rows.select(key, "intent", F.explode(names).alias("dataset_name"))
-    kinds = F.array_compact(F.array(*[F.when(F.col("_t").contains(k), F.lit(k)) for k in K.DATASET_TYPES]))
-    by_type = asked.select(key, "intent", F.explode(kinds).alias("_k")).join(
-        profiles.select(F.lower("dataset_type").alias("_k"), F.col("name").alias("dataset_name")), "_k"
-    )
-    lengths = profiles.agg(F.collect_set(F.char_length("name")).alias("_l"))
+    named = profiles.select("name", F.explode(F.array(F.lower("name"), F.lower("dataset_type"))).alias("_n")).where(F.col("_n").isNotNull())
+    # Distinct lengths of names are few, whatever the registry.
+    lengths = named.agg(F.collect_set(F.char_length("_n")).alias("_l"))
     starts = asked.crossJoin(F.broadcast(lengths)).select(key, "intent", "_t", F.explode("_l").alias("_len"))
     starts = starts.where(F.char_length("_t") >= F.col("_len")).select(
         key, "intent", "_t", "_len", F.explode(F.sequence(F.lit(1), F.char_length("_t") - F.col("_len") + 1)).alias("_i")
     )
     pieces = starts.select(key, "intent", F.expr("substring(_t, _i, _len)").alias("_n")).distinct()
-    by_name = pieces.join(profiles.select(F.lower("name").alias("_n"), F.col("name").alias("dataset_name")), "_n")
-    intents = df.sparkSession.createDataFrame(
-        [(i,) for i in [*[name for name, _ in K.INTENT_HINTS], K.DEFAULT_INTENT]], "intent string"
-    )
-    served = profiles.select(F.col("name").alias("dataset_name"), "has_text", "has_numeric", F.explode(
-        F.array(*[F.lit(i) for i, _ in K.INTENT_HINTS], F.lit(K.DEFAULT_INTENT))).alias("intent"))
+    by_name = pieces.join(named, "_n").select(key, "intent", F.col("name").alias("dataset_name"))
+    intents = F.explode(F.array(*[F.lit(i) for i, _ in K.INTENT_HINTS], F.lit(K.DEFAULT_INTENT)))
+    served = profiles.select(F.col("name").alias("dataset_name"), "has_text", "has_numeric", intents.alias("intent"))
     served = served.where(_capable(F.col("intent"), F.col("has_text"), F.col("has_numeric")))
-    by_intent = asked.select(key, "intent").join(intents, "intent").join(served.select("intent", "dataset_name"), "intent")
-    shape = [key, "intent", "dataset_name"]
-    return union_all([by_type.select(*shape), by_name.select(*shape), by_intent.select(*shape)]).distinct()
+    by_intent = asked.select(key, "intent").join(served.select("intent", "dataset_name"), "intent")
+    return union_all([by_name, by_intent.select(key, "intent", "dataset_name")]).distinct()
 
 
 def evidence_label(confidence: Column, citations: Column, intent_col: Column | None = None) -> Column:

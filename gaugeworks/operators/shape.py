@@ -20,9 +20,9 @@ def _values(df: DataFrame, value: str, by: Sequence[str], keep: Sequence[str] =
     return data.where(F.col("value").isNotNull())
 
 
-def distribution(df: DataFrame, value: str, by: Sequence[str] = (), inline: bool | None = None) -> DataFrame:
+def distribution(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Population skewness, excess kurtosis, quartiles and their range."""
-    placed = ordered.placed_counts(_values(df, value, by), "value", by, inline)
+    placed = ordered.placed_counts(_values(df, value, by), "value", by)
     size, m2 = F.max("n_all"), ordered.moment("value", 2)
     variance = F.when(m2 > 0, m2 / size)
     table = placed.groupBy(*by).agg(
@@ -40,10 +40,10 @@ def distribution(df: DataFrame, value: str, by: Sequence[str] = (), inline: bool
 
 
 def iqr_outliers(
-    df: DataFrame, value: str, key: str, by: Sequence[str] = (), inline: bool | None = None, factor: float = K.IQR_FACTOR
+    df: DataFrame, value: str, key: str, by: Sequence[str] = (), factor: float = K.IQR_FACTOR
 ) -> DataFrame:
     """Rows outside the quartile fences with their distance in units of the quartile range (0 if that is 0)."""
-    stats = distribution(df, value, by, inline).where(F.col("status") == "ok")
+    stats = distribution(df, value, by).where(F.col("status") == "ok")
     fences = stats.select(
         *by, "iqr", (F.col("q1") - factor * F.col("iqr")).alias("lower"), (F.col("q3") + factor * F.col("iqr")).alias("upper")
     )
@@ -64,16 +64,14 @@ def z_outliers(df: DataFrame, value: str, key: str, by: Sequence[str] = (), limi
     return rows.where(F.col("severity") > limit).select(*by, key, "value", "severity")
 
 
-def outlier_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), inline: bool | None = None) -> DataFrame:
+def outlier_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Values outside the quartile fences per column; 0 where the quartile range is 0, none below 4 values."""
     from gaugeworks.operators.describe import long_form
 
     data = long_form(df, columns, by).where(F.col("value").isNotNull())
     keys = [*by, "column"]
-    if inline is None:
-        inline = ordered.fits_inline(df, by)
     counts = ordered.value_counts(data, "value", keys)
-    quartiles = ordered.quantiles(data, "value", (0.25, 0.75), keys, inline=inline)
+    quartiles = ordered.quantiles(data, "value", (0.25, 0.75), keys)
     fences = quartiles.select(*keys, F.col("q")[0].alias("_a"), F.col("q")[1].alias("_b"))
     width = F.col("_b") - F.col("_a")
     out = (F.col("value") < F.col("_a") - K.IQR_FACTOR * width) | (F.col("value") > F.col("_b") + K.IQR_FACTOR * width)
@@ -85,13 +83,13 @@ def outlier_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 
 
 def ks_normality(
-    df: DataFrame, value: str, by: Sequence[str] = (), slices: int = ordered.SLICES, inline: bool | None = None
+    df: DataFrame, value: str, by: Sequence[str] = (), per_slice: int = ordered.PER_SLICE
 ) -> DataFrame:
     """Kolmogorov-Smirnov distance to the normal with the sample mean and deviation.
 
     Mean and deviation come from the same data, so the p-value is conservative.
     """
-    placed = ordered.placed_counts(_values(df, value, by), "value", by, inline, slices)
+    placed = ordered.placed_counts(_values(df, value, by), "value", by, per_slice)
     rows = attach(placed, placed.groupBy(*by).agg(ordered.sample_deviation("value").alias("_s")), by)
     z = F.when(F.col("_s") > 0, (F.col("value") - F.col("mean")) / F.col("_s"))
     rows = rows.withColumn("_phi", phi(z))
@@ -121,12 +119,12 @@ def shapiro_normality(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     return out.select(*by, "n", "statistic", "p_value")
 
 
-def normality(df: DataFrame, value: str, by: Sequence[str] = (), slices: int = ordered.SLICES) -> DataFrame:
+def normality(df: DataFrame, value: str, by: Sequence[str] = (), per_slice: int = ordered.PER_SLICE) -> DataFrame:
     """Shapiro-Wilk up to 5000 values, Kolmogorov-Smirnov beyond; normal when p exceeds 0.05."""
     data = _values(df, value, by)
     sizes = data.groupBy(*by).agg(F.count("value").alias("_n"))
     large = attach(data, sizes.where(F.col("_n") > K.SHAPIRO_MAX_ROWS), by).drop("_n")
-    ks = ks_normality(large, "value", by, slices)
+    ks = ks_normality(large, "value", by, per_slice)
     if not by:
         ks = ks.where(F.col("n") > 0)
     both = union_all([

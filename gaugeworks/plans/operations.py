@@ -40,7 +40,7 @@ def dedupe_by_hash(spark, sf):
 
 
 @query("operation_keys", """
-    SELECT doc_id, 'store_dataset:' || sha256('{"operation":"store_dataset","parts":["' || lower(source) || '","' || lower(lang) || '"]}') AS operation_key FROM documents""")
+    SELECT doc_id, 'store_dataset:' || sha256('13:store_dataset' || length(source) || ':' || lower(source) || length(lang) || ':' || lower(lang)) AS operation_key FROM documents""")
 def operation_keys(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ledger.operation_key_column("store_dataset", "source", "lang").alias("operation_key"))
 

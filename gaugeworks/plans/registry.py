@@ -18,15 +18,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer splits than there are cores, as of a file with one row group, dealt out evenly.
-
-    A scan with enough splits, as of any large table, stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _rounded(df: DataFrame, digits: Mapping[str, int]) -> DataFrame:
     """Doubles rounded (6 digits unless named) and without a negative zero."""
     out = []

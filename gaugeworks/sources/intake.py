@@ -77,7 +77,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
     df = reader.option("multiLine", not lines).json(path)
     if lines:
         return flatten(df)
-    first = next((r["value"].lstrip("﻿").strip() for r in spark.read.text(path).take(20) if r["value"].strip()), "")
+    filled = spark.read.text(path).where(F.regexp_like("value", F.lit(r"[^\s\ufeff]"))).first()
+    first = filled["value"].lstrip("﻿").strip() if filled else ""
     lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     if first.startswith("[") or not lists:
         return flatten(df)

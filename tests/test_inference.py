@@ -38,19 +38,17 @@ def test_pearson(numbers):
         assert got[a, b]["n"] == len(frame)
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_rank_correlations(numbers, inline):
+def test_rank_correlations(numbers):
     frame, df = numbers
-    rho = pairs(correlation.spearman(df, ["x", "y"], slices=8, inline=inline))["x", "y"]
+    rho = pairs(correlation.spearman(df, ["x", "y"], per_slice=16))["x", "y"]
     assert rho["correlation"] == pytest.approx(np.corrcoef(frame["x"].rank(), frame["y"].rank())[0, 1])
-    tau = pairs(correlation.kendall(df, ["x", "y"], slices=8, inline=inline))["x", "y"]
+    tau = pairs(correlation.kendall(df, ["x", "y"], per_slice=16))["x", "y"]
     assert tau["correlation"] == pytest.approx(tau_b(frame["x"].to_numpy(), frame["y"].to_numpy()))
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_kendall_by_group_equals_single_runs(numbers, inline):
+def test_kendall_by_group_equals_single_runs(numbers):
     frame, df = numbers
-    rows = correlation.kendall(df, ["x", "y"], ["g"], slices=8, inline=inline).collect()
+    rows = correlation.kendall(df, ["x", "y"], ["g"], per_slice=16).collect()
     for r in rows:
         part = frame[frame["g"] == r["g"]]
         assert r["correlation"] == pytest.approx(tau_b(part["x"].to_numpy(), part["y"].to_numpy()))
@@ -144,25 +142,23 @@ def test_anova_example(spark):
     assert not post["b", "c"]["significant"]
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_rank_tests_against_direct_counts(numbers, inline):
+def test_rank_tests_against_direct_counts(numbers):
     frame, df = numbers
     two = df.where(F.col("g").isin("a", "b"))
-    row = compare.mann_whitney(two, "y", "g", slices=4, inline=inline).first()
+    row = compare.mann_whitney(two, "y", "g", per_slice=20).first()
     a, b = (frame.loc[frame["g"] == g, "y"].to_numpy() for g in "ab")
     u = (a[:, None] > b[None, :]).sum() + 0.5 * (a[:, None] == b[None, :]).sum()
     assert row["test_statistic"] == pytest.approx(u)
-    h = compare.kruskal_wallis(df, "z", "g", slices=4, inline=inline).first()
+    h = compare.kruskal_wallis(df, "z", "g", per_slice=20).first()
     ranks = frame["z"].rank()
     n = len(frame)
     want = 12 / (n * (n + 1)) * sum(r.sum() ** 2 / len(r) for _, r in ranks.groupby(frame["g"])) - 3 * (n + 1)
     assert h["test_statistic"] == pytest.approx(want) and h["significant"]
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_post_hoc_ranks_inside_each_pair(numbers, inline):
+def test_post_hoc_ranks_inside_each_pair(numbers):
     frame, df = numbers
-    rows = compare.kruskal_pairs(df, "z", "g", slices=4, inline=inline).collect()
+    rows = compare.kruskal_pairs(df, "z", "g", per_slice=20).collect()
     assert len(rows) == 6
     for r in rows:
         a, b = (frame.loc[frame["g"] == r[k], "z"].to_numpy() for k in ("group1", "group2"))

@@ -19,49 +19,48 @@ def skewed(spark):
     return frame, spark.createDataFrame(frame).repartition(8).cache()
 
 
-@pytest.mark.parametrize("inline", [True, False])
-@pytest.mark.parametrize("slices", [5, 64, 2500])
-def test_quantiles_match_numpy(skewed, inline, slices):
+@pytest.mark.parametrize("per_slice", [3, 60, 100_000])
+def test_quantiles_match_numpy(skewed, per_slice):
     frame, df = skewed
-    got = {r["g"]: r["q"] for r in ordered.quantiles(df, "v", PROBS, ["g"], inline, slices).collect()}
+    got = {r["g"]: r["q"] for r in ordered.quantiles(df, "v", PROBS, ["g"], per_slice).collect()}
     for g, part in frame.groupby("g"):
         assert np.allclose(got[g], np.quantile(part["v"], PROBS))
-    whole = ordered.quantiles(df, "v", PROBS, (), inline, slices).first()["q"]
+    whole = ordered.quantiles(df, "v", PROBS, (), per_slice).first()["q"]
     assert np.allclose(whole, np.quantile(frame["v"], PROBS))
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_average_ranks_match_pandas(skewed, inline):
+def test_average_ranks_match_pandas(skewed):
     frame, df = skewed
-    got = ordered.average_ranks(df, "v", ["g"], 16, inline).toPandas().set_index(["g", "v"])["avg_rank"]
+    got = ordered.average_ranks(df, "v", ["g"], 40).toPandas().set_index(["g", "v"])["avg_rank"]
     want = frame.assign(r=frame.groupby("g")["v"].rank()).drop_duplicates(["g", "v"]).set_index(["g", "v"])["r"]
     assert np.allclose(got.sort_index(), want.sort_index())
 
 
 def test_positions_are_complete(spark):
     df = spark.range(0, 1000).withColumn("k", F.col("id") * 3)
-    got = ordered.positions(df, "k", slices=10).orderBy("k").collect()
+    got = ordered.positions(df, "k", per_slice=50).orderBy("k").collect()
     assert [r["position"] for r in got] == list(range(1, 1001))
 
 
 def test_null_groups_are_kept(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
-    for inline in (True, False):
-        got = {r["g"]: r["q"][0] for r in ordered.quantiles(df, "v", [0.5], ["g"], inline).collect()}
+    for per_slice in (1, 100):
+        got = {r["g"]: r["q"][0] for r in ordered.quantiles(df, "v", [0.5], ["g"], per_slice).collect()}
         assert got == {None: 2.0, "a": 5.0}
 
 
-def test_sliced_description_equals_inline(skewed):
+def test_running_totals_do_not_depend_on_slices(skewed):
     _, df = skewed
-    one = describe.describe(df, "v", ["g"], inline=True).toPandas().sort_values("g").reset_index(drop=True)
-    two = describe.describe(df, "v", ["g"], inline=False).toPandas().sort_values("g").reset_index(drop=True)
-    pd.testing.assert_frame_equal(one, two)
+    counts = ordered.value_counts(df, "v", ["g"])
+    tables = [ordered.running_before(counts, "v", ["n"], ["g"], k).toPandas().sort_values(["g", "v"]).reset_index(drop=True) for k in (1, 7, 100_000)]
+    for table in tables[1:]:
+        pd.testing.assert_frame_equal(tables[0], table[tables[0].columns])
 
 
-def test_size_check(spark):
-    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "g string, v int")
-    assert ordered.fits_inline(df, ["g"], 2) and not ordered.fits_inline(df, ["g"], 1)
-    assert ordered.fits_inline(df, (), 3) and not ordered.fits_inline(df, (), 2)
+def test_large_groups_are_not_sorted_by_one_task(skewed):
+    _, df = skewed
+    slices = ordered.sliced(ordered.value_counts(df, "v"), "v", per_slice=50).groupBy("_slice").count().toPandas()
+    assert len(slices) > 30 and slices["count"].max() < 600
 
 
 def test_metric_summary(spark):

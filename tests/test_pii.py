@@ -65,3 +65,10 @@ def test_matches_python_patterns(spark, texts):
         assert got[i]["redacted_text"] == text
     again = pii.redact(spark.createDataFrame([(r["redacted_text"],) for r in got.values()], "t string"), "t")
     assert again.where(F.col("t") != F.col("redacted_text")).count() == 0
+
+
+def test_patterns_of_the_caller_are_not_guessed(spark):
+    df = spark.createDataFrame([("my passport is lost",), ("nr 123456789",), ("none",)], "t string")
+    own = {"document": r"\b\d{9}\b|passport"}
+    rows = pii.redact(df, "t", own).select("redacted_text", "n_document", pii.is_clean("t", own).alias("clean"), F.size(pii.detect("t", own)).alias("kinds")).collect()
+    assert [tuple(r) for r in rows] == [("my [DOCUMENT] is lost", 1, False, 1), ("nr [DOCUMENT]", 1, False, 1), ("none", 0, True, 0)]

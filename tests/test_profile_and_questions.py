@@ -74,15 +74,27 @@ def test_intents(spark):
     assert questions.classify_questions(df).where(F.col("intent") != F.col("want")).count() == 0
 
 
-@pytest.mark.parametrize("inline", [0, 100])
-def test_targets(spark, inline):
+def test_targets(spark):
     profiles = spark.createDataFrame([("Gate Counts", "spaces", False, True), ("Comments", "survey", True, False)], "name string, dataset_type string, has_text boolean, has_numeric boolean")
     asked = spark.createDataFrame([(1, "themes in gate counts"), (2, "total loans"), (3, "sentiment"), (4, "hi")], "id long, text string")
-    rows = questions.target_datasets(asked, profiles, "id", inline=inline).collect()
+    rows = questions.target_datasets(asked, profiles, "id").collect()
     assert {(r["id"], r["dataset_name"]) for r in rows} == {(1, "Gate Counts"), (1, "Comments"), (2, "Gate Counts"), (3, "Comments"), (4, "Gate Counts"), (4, "Comments")}
     assert len(rows) == 6
 
 
+def test_targets_of_unknown_types_and_names_that_change_length(spark):
+    profiles = spark.createDataFrame([("İdare", "robotics", False, False), ("Plain", None, False, False)], "name string, dataset_type string, has_text boolean, has_numeric boolean")
+    asked = spark.createDataFrame([(1, "themes in robotics"), (2, "themes of İdare"), (3, "themes")], "id long, text string")
+    rows = questions.target_datasets(asked, profiles, "id").where(F.col("intent") == "qualitative").collect()
+    assert {(r["id"], r["dataset_name"]) for r in rows} == {(1, "İdare"), (2, "İdare")}
+
+
+def test_values_are_tested_beyond_their_heads(spark):
+    long = "x" * 100
+    facts = profile.column_facts(spark.createDataFrame([(f"{long} 2024-05-01",), (f"{long} 3/4",), (long,), ("0" * 90 + "7",)], "v string")).first()
+    assert (facts["dateish_count"], facts["number_count"], facts["n_rows"]) == (2, 1, 4)
+
+
 def test_evidence(spark):
     df = spark.createDataFrame([(0.7, 3, "retrieval", "q"), (0.7, 2, "retrieval", "overview"), (0.1, 5, "retrieval", "q"), (0.0, 0, "data_quality", "q")], "confidence double, citations int, intent string, question string")
     rows = questions.assess_evidence(df).collect()
