@@ -148,3 +148,63 @@ METRIC_ROLE_HINTS = {
     "date": ("date", "time", "period", "month", "year"),
     "category": ("category", "type", "group", "audience", "department"),
 }
+
+# Sentences of profiles, in the order in which they are given.
+STRENGTH_TEXTS = (
+    ("text_columns", "Ready for qualitative themes and sentiment questions."),
+    ("numeric_columns", "Ready for numeric summaries and comparisons."),
+    ("date_columns", "Ready for time-based trend questions."),
+    ("languages", "Contains language metadata for subgroup comparisons."),
+    ("sentiment_labels", "Contains sentiment or label fields for validation/comparison."),
+)
+WARNING_TEXTS = {
+    "no_text": "No obvious text response column was detected.",
+    "no_metric": "No obvious numeric metric column was detected.",
+    "missing": "Empty or fully missing columns detected: {}.",
+    "coded": "Coded missing values appear in: {}.",
+    "small": "This dataset is small, so patterns may be anecdotal.",
+}
+WARNING_COLUMNS = 4
+# Reasons of the capability matrix.
+CAPABILITY_TEXTS = {
+    "text_type": "Dataset type is '{}' — qualitative analysis requires survey/text data.",
+    "text_none": "No text columns detected.",
+    "text_few": "Only {} rows — need at least 10 for meaningful analysis.",
+    "text_ready": "Ready: {} text responses across {} text column(s).",
+    "correlation_ready": "Ready: {} numeric columns with sufficient data.",
+    "correlation_few": "Need ≥2 numeric columns with ≥10 values. Found {} usable.",
+    "correlation_type": "Correlation requires numeric usage/circulation data.",
+    "trend_ready": "Ready: date column '{}' + {} numeric metric(s).",
+    "trend_none": "No date column detected — trend analysis requires time series data.",
+    "trend_type": "Trend requires numeric usage/circulation data.",
+    "comparative_ready": "Ready: can compare across '{}' ({} groups).",
+    "comparative_few": "Need a categorical grouping column (≤20 unique values). Found {}.",
+    "comparative_type": "Comparative analysis requires usage/circulation data.",
+    "distribution_ready": "Ready: {} numeric column(s) available.",
+    "distribution_few": "Distribution analysis requires at least one numeric column.",
+    "distribution_type": "Distribution analysis requires usage/circulation data.",
+    "query_ready": "Ready: {} rows will be indexed for natural language queries.",
+}
+# Sentences of suggested descriptions.
+DESCRIPTION_TEXTS = {
+    "size": "{} dataset with {} records and {} fields.",
+    "dates": "Includes date/time fields ({}).",
+    "dated": "Includes date/time fields ({}) covering {}.",
+    "measures": "Contains numeric measures such as {}.",
+    "texts": "Contains qualitative text fields such as {}.",
+}
+# Sentences of patterns and of evidence labels.
+PATTERN_TEXTS = {
+    "strong": "Strong correlations detected between {} variable pairs",
+    "trend": "{} trend detected",
+    "seasonal": "Seasonal pattern detected in time series",
+    "groups": "Statistically significant differences between groups",
+    "outliers": "Outliers detected: {} ({}% of data)",
+    "skewed": "Non-normal distribution detected",
+}
+EVIDENCE_TEXTS = {
+    "High": "Retrieved source rows closely matched the question.",
+    "Medium": "Retrieved source rows were relevant but not tightly matched.",
+    "Low": "Retrieved source rows were only loosely matched.",
+    "broad": " Broad or metadata-style questions often score lower with vector retrieval.",
+}

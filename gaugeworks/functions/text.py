@@ -41,10 +41,6 @@ def token_estimate(text: Column | str) -> Column:
     return F.floor(F.char_length(as_column(text)) / 4)
 
 
-def within_budget(text: Column | str, limit: int) -> Column:
-    return token_estimate(text) <= F.lit(limit)
-
-
 def words(text: Column | str, min_length: int = 1) -> Column:
     """Lower-cased word tokens of the text."""
     return F.regexp_extract_all(
@@ -55,3 +51,12 @@ def words(text: Column | str, min_length: int = 1) -> Column:
 def measure(value: Column | str) -> Column:
     """Value as double with NaN taken as missing and anything unparsable as NULL."""
     return F.nanvl(as_column(value).try_cast("double"), F.lit(None).cast("double"))
+
+
+def filled(template: str, *values: Column | str) -> Column:
+    """A fixed sentence with its ``{}`` replaced by values; plain strings are taken as they are."""
+    parts = template.split("{}")
+    out = [F.lit(parts[0])]
+    for value, rest in zip(values, parts[1:], strict=True):
+        out += [F.lit(value) if isinstance(value, str) else value.cast("string"), F.lit(rest)]
+    return F.concat(*out)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks import constants as K
 from gaugeworks.functions.joins import union_all
+from gaugeworks.functions.text import filled
 from gaugeworks.operators.correlation import top_correlations
 
 
@@ -57,26 +59,26 @@ def patterns(
         strong = correlations.agg(F.count_if(F.abs("correlation") > 0.7).alias("_k")).where(F.col("_k") > 0)
         parts.append(strong.select(
             F.lit("correlation").alias("subject"),
-            F.concat(F.lit("Strong correlations detected between "), F.col("_k").cast("string"), F.lit(" variable pairs")).alias("pattern"),
+            filled(K.PATTERN_TEXTS["strong"], F.col("_k")).alias("pattern"),
         ))
     if trends is not None:
         moving = trends.where(F.col("direction") != "stable")
-        parts.append(moving.select(F.col("metric").alias("subject"), F.concat(F.initcap("direction"), F.lit(" trend detected")).alias("pattern")))
+        parts.append(moving.select(F.col("metric").alias("subject"), filled(K.PATTERN_TEXTS["trend"], F.initcap("direction")).alias("pattern")))
         parts.append(trends.where(F.col("seasonal_pattern")).select(
-            F.col("metric").alias("subject"), F.lit("Seasonal pattern detected in time series").alias("pattern")
+            F.col("metric").alias("subject"), F.lit(K.PATTERN_TEXTS["seasonal"]).alias("pattern")
         ))
     if comparisons is not None:
         parts.append(comparisons.where(F.col("significant")).select(
-            "subject", F.lit("Statistically significant differences between groups").alias("pattern")
+            "subject", F.lit(K.PATTERN_TEXTS["groups"]).alias("pattern")
         ))
     if outliers is not None:
         share = F.when(F.col("n_observations") > 0, F.col("n_outliers") / F.col("n_observations") * 100).otherwise(0.0)
         parts.append(outliers.where(F.col("n_outliers") > 0).select(
             "subject",
-            F.concat(F.lit("Outliers detected: "), F.col("n_outliers").cast("string"), F.format_string(" (%.1f%% of data)", share)).alias("pattern"),
+            filled(K.PATTERN_TEXTS["outliers"], F.col("n_outliers"), F.format_string("%.1f", share)).alias("pattern"),
         ))
     if normality is not None:
-        parts.append(normality.where(~F.col("is_normal")).select("subject", F.lit("Non-normal distribution detected").alias("pattern")))
+        parts.append(normality.where(~F.col("is_normal")).select("subject", F.lit(K.PATTERN_TEXTS["skewed"]).alias("pattern")))
     return union_all(parts)
 
 

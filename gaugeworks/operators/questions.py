@@ -72,14 +72,14 @@ def assess_evidence(df: DataFrame, confidence: str = "confidence", citations: st
     label = evidence_label(F.col(confidence), F.col(citations), F.col("intent"))
     reason = (
         F.when(profiled, "Answered from dataset profiles, not vector retrieval.")
-        .when(label == "High", "Retrieved source rows closely matched the question.")
-        .when(label == "Medium", "Retrieved source rows were relevant but not tightly matched.")
-        .otherwise("Retrieved source rows were only loosely matched.")
+        .when(label == "High", K.EVIDENCE_TEXTS["High"])
+        .when(label == "Medium", K.EVIDENCE_TEXTS["Medium"])
+        .otherwise(K.EVIDENCE_TEXTS["Low"])
     )
     broad = contains_any(F.lower(question), K.BROAD_TERMS)
     hint = F.when(
         ~profiled & broad & (label != "High"),
-        " Broad or metadata-style questions often score lower with vector retrieval.",
+        K.EVIDENCE_TEXTS["broad"],
     ).otherwise("")
     return df.select(
         "*", label.alias("label"), F.when(profiled, F.lit(1.0)).otherwise(F.col(confidence)).alias("score"),
