@@ -1,7 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR names the data folder, BENCH_CPUS the number of local cores, BENCH_RUNS the
-timed runs per query (the median counts; a slow query gets fewer), BENCH_QUERIES a comma-separated choice or "all".
+timed runs per query (the median counts; a slow query gets fewer, and "runs" says how many each had), BENCH_QUERIES a comma-separated choice or "all".
 Each query runs once beforehand, so that class loading and code generation are not timed.
 """
 
@@ -45,17 +45,18 @@ def main() -> None:
     names = list(QUERIES) if chosen == "all" else [n for n in chosen.split(",") if n] or list(HEADLINE)
     spark = local_session(cores, shuffle_partitions=8)
     times: dict[str, float] = {}
+    counts: dict[str, int] = {}
     for name in names:
         run(spark, name, folder)
         taken: list[float] = []
         while len(taken) < runs and sum(taken) < BUDGET:
             taken.append(run(spark, name, folder))
-        times[name] = round(statistics.median(taken), 4)
+        times[name], counts[name] = round(statistics.median(taken), 4), len(taken)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
     scale = folder.rsplit("sf", 1)[-1]
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-        "sf": float(scale) if scale.replace(".", "", 1).isdigit() else folder, "cpus": cores, "runs": runs,
+        "sf": float(scale) if scale.replace(".", "", 1).isdigit() else folder, "cpus": cores, "runs": counts,
     }))
     spark.stop()
 
