@@ -260,10 +260,10 @@ def search(rows: DataFrame, is_query: Column, k: int, id: str = "vec_id", vector
     right = right.select(*[F.col(c).alias(f"m_{c}") for c in ("table", "bucket", "part", "piece")], F.col("rep").alias("rep"), F.col("vector").alias("vector"))
     right = right.select("m_table", "m_bucket", "m_part", "m_piece", *[F.col(c).alias(c) for c in ("rep", "vector")])
     visited = left.groupBy("table", "bucket", "part", "piece").cogroup(right.groupBy("m_table", "m_bucket", "m_part", "m_piece")).applyInArrow(_visited(k + 1), NEAR)
-    # At most k + 1 candidates of each visited bucket part meet here.
-    merged = visited.groupBy("query").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
-    shown = merged.select("query", F.explode("near").alias("near")).select("query", (-F.col("near.worse")).alias("score"), F.col("near.rep").alias("rep")).join(classes.select("rep", "ids"), "rep")
-    shown = shown.select("query", "score", F.explode("ids").alias("vec_id"))
+    # At most k + 1 candidates of each visited bucket part meet here. An entry is found once per table at most.
+    merged = visited.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, TABLES * (k + 1)).alias("near"))
+    shown = merged.select("query", F.inline("near")).groupBy("query", "rep").agg((-F.min("worse")).alias("score"))
+    shown = shown.join(classes.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     shown = shown.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
     lists = shown.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("list"))
