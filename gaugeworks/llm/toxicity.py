@@ -23,6 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.llm import blocks as B
 from gaugeworks.llm.components import stored
@@ -207,11 +208,24 @@ def fit(docs: DataFrame, label: str = "label", text: str = "text", id: str = "do
     return Model(lexicon, [r.entry for r in found], model, curve)
 
 
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with a column ``values``, with ``margin`` and ``score`` added."""
+    kept = rows.columns
+    found = model.trees.transform(rows.withColumn("features", array_to_vector("values"))).withColumn("margin", vector_to_array("probability")[1])
+    if model.curve is None:
+        return found.select(*kept, "margin", F.col("margin").alias("score"))
+    return model.curve.setPredictionCol("score").transform(found.select(*kept, "margin"))
+
+
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``score`` (calibrated), ``margin`` (of the trees) and the ``values`` of ``FEATURES`` of every row."""
     slim = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    values = slim.mapInArrow(_features(model.lexicon), "id long, values array<double>").withColumn("features", array_to_vector("values"))
-    found = model.trees.transform(values).withColumn("margin", vector_to_array("probability")[1])
-    if model.curve is None:
-        return found.select("id", F.col("margin").alias("score"), "margin", "values")
-    return model.curve.setPredictionCol("score").transform(found.select("id", "margin", "values")).select("id", "score", "margin", "values")
+    rows = slim.mapInArrow(_features(model.lexicon), "id long, values array<double>")
+    return _scored(rows, model).select("id", "score", "margin", "values")
+
+
+def accepted(docs: DataFrame, model: Model, below: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is lower than ``below``."""
+    rows = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("values", T.ArrayType(T.DoubleType()))])
+    return _scored(rows.mapInArrow(_features(model.lexicon), schema), model).filter(F.col("score") < below).select("row.*")
