@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE = 0.06
+RATE = 0.08
 SLICE_BYTES = 16 << 20
 _WORD = re.compile(r"[^\W_]+")
 FOUND = "id long, item_id long, distance int, start int, end int, piece_hits int"
