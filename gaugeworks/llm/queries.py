@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import bpe, decontaminate, jaccard, language, neighbours, quality, sharding, substrings, toxicity, warc
+from gaugeworks.llm.sampling import bounded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,10 +64,13 @@ def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encoded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Texts with a label; of several labels of a document the largest counts."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
+    """Texts of about ``sample`` documents per label; of several labels of a document the largest counts.
+
+    The sample is drawn from the labels, which bounds it before texts are read, so it is sent to them.
+    """
     labels = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(bounded(labels, "label", "doc_id", sample)), "doc_id")
 
 
 @query
@@ -87,7 +91,7 @@ def op7_line_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality score of every document, learned from those that are not held out."""
     docs = _table(spark, sf, "documents")
     labels = _table(spark, sf, "labels").filter(_fold() != 2)
-    found = quality.score(docs, quality.fit(_labelled(docs, labels, "quality")))
+    found = quality.score(docs, quality.fit(labelled(docs, labels, "quality", quality.SAMPLE)))
     return found.select(F.col("id").alias("doc_id"), (_fold("id") == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "good_share")
 
 
@@ -96,7 +100,7 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity score of every document, learned from those that are not held out."""
     docs = _table(spark, sf, "documents")
     labels = _table(spark, sf, "labels").filter(_fold(folds=5) != 0)
-    found = toxicity.score(docs, toxicity.fit(_labelled(docs, labels, "toxic")))
+    found = toxicity.score(docs, toxicity.fit(labelled(docs, labels, "toxic", toxicity.SAMPLE)))
     return found.select(F.col("id").alias("doc_id"), (_fold("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
