@@ -6,27 +6,29 @@ Documents are sets of shingles. Two documents link when ``100 * common >= percen
    document whose repeated shingles are fewer than ``percent`` of its set cannot link and ends here.
    Equal sets within a block are reported as copies at once, and a shingle that ``HOT`` documents of a
    block share leaves the block once, with its count.
-2. Equal sets are collapsed to one representative.
-3. Representatives with the same smallest hashed shingle form groups; greedy leaders cut each into
-   classes of documents that link to a leader. Large groups are cut into salted parts whose leaders meet
-   again in the next round.
-4. The matrix: groups are parts of a class, at most ``MEMBERS`` documents. Its columns are the shingles
+2. Documents with the same smallest hashed shingle meet, and greedy leaders cut them into classes of
+   documents that link to a leader. Large meetings are cut into salted parts.
+3. The matrix: groups are parts of a class with about ``MEMBERS`` documents. Its columns are the shingles
    of the prefixes, without which no link is possible; columns that belong to one class are dropped.
-   Every query finds the groups of other classes that it shares a column with.
-5. A group's token union bounds the overlap with each of its queries, and only groups that can hold a
+   Documents of a class query the groups of larger classes. They find those with a common column behind
+   which both sides still have as many shingles as a link between their sizes needs.
+4. A group's token union bounds the overlap with each of its queries, and only groups that can hold a
    partner are opened. All members are one class already, so the first link found is enough.
+5. Matrix and opening run first with a few queries and columns of each class, which joins most classes
+   that belong together, then with all queries and columns of the classes that are left apart.
 6. Components of all links.
 
 Defined cases: a null or wordless text has an empty set and no links; a text shorter than the shingle
-width is one shingle; a row with a null id gets a null component; rows with equal ids are one document
-in the links; an empty table gives an empty result. Other columns play no part.
+width is one shingle; a row with a null id has no links and a null component; rows with equal ids and
+different texts are documents of their own; repeated rows are copies; an empty table gives an empty
+result. Other columns play no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import blocks as B
@@ -39,6 +41,12 @@ HOT = 64
 PART = 256
 MEMBERS = 64
 QUERIES = 512
+# Queries and columns per class in the first of the two passes.
+FIRST = 3
+# Blocks are smaller than elsewhere, since sets take more room than words.
+BLOCK_BYTES = 2 << 20
+# Up to this many queries and members are sent to the sets; more are joined.
+SENT_ROWS = 300_000
 
 
 def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +92,7 @@ def _least_among_equal(first: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -
 
 def _sets_to_buckets(width: int, buckets: int, groups: int):
     def run(batches):
-        for block in B.blocks(batches):
+        for block in B.blocks(batches, size=BLOCK_BYTES):
             block = block.filter(block.column("id").is_valid())
             if not block.num_rows:
                 continue
@@ -95,8 +103,9 @@ def _sets_to_buckets(width: int, buckets: int, groups: int):
             rows = []
             group_of = (keys % np.uint64(groups)).astype(np.int64)
             copies = np.flatnonzero(same != np.arange(len(same)))
+            copies = copies[keys[copies] != keys[same[copies]]]
             for group, part in B.split(group_of[copies]):
-                rows.append((buckets + group, B.pack({"key": keys[copies[part]], "copy_of": ids[same[copies[part]]]})))
+                rows.append((buckets + group, B.pack({"key": keys[copies[part]], "copy_of": keys[same[copies[part]]].view(np.int64)})))
             counts = np.diff(first)
             doc = np.repeat(np.arange(len(counts)), counts)
             place = (np.arange(len(hashes)) - first[:-1][doc]).astype(np.int32)
@@ -168,7 +177,7 @@ def _rows_to_groups(groups: int):
     return run
 
 
-SETS = "id long, n long, copy_of long, repeated long, tokens binary, prefix array<long>, least long"
+SETS = "key long, id long, n long, copy_of long, repeated long, tokens binary, least long"
 
 
 def _candidates(width: int, percent: int):
@@ -194,24 +203,23 @@ def _candidates(width: int, percent: int):
             hashes, first = shingle_sets(batch.column("text"), width)
             for i, (key, ident) in enumerate(zip(batch.column("key").to_pylist(), batch.column("id").to_pylist(), strict=True)):
                 n = int(first[i + 1] - first[i])
-                row = [ident, n, copy_of.get(key), 0, None, None, None]
+                row = [key - (1 << 64) if key >> 63 else key, ident, n, copy_of.get(key), 0, None, None]
                 out.append(row)
-                if ident is None or row[2] is not None or key not in place_of:
+                if ident is None or row[3] is not None or key not in place_of:
                     continue
                 places, counts = place_of[key]
                 # A row that is in the table several times is answered several times.
                 places, once = np.unique(places, return_index=True)
-                row[3] = len(places)
+                row[4] = len(places)
                 if 100 * len(places) < percent * n:
                     continue
                 tokens = hashes[first[i] + places]
                 tokens = tokens[np.lexsort((tokens, counts[once]))]
-                row[4] = tokens.tobytes()
-                row[5] = tokens[: len(places) - -(-percent * n // 100) + 1].view(np.int64)
-                row[6] = int(np.sort(B.mix(tokens, 0x1B873593))[:1].view(np.int64)[0])
+                row[5] = tokens.tobytes()
+                row[6] = int(B.mix(tokens, 0x1B873593).min().view(np.int64))
         columns = list(zip(*out, strict=True)) if out else [[]] * 7
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "n", "copy_of", "repeated", "tokens", "prefix", "least"])
+        types = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "id", "n", "copy_of", "repeated", "tokens", "least"])
 
     return run
 
@@ -237,11 +245,12 @@ def _links(a: np.ndarray, n: int, b: np.ndarray, m: int, percent: int) -> bool:
 
 def _leaders(percent: int):
     def run(table):
-        table = table.sort_by([("n", "ascending"), ("id", "ascending")])
+        table = table.sort_by([("n", "ascending"), ("key", "ascending")])
         leaders: list[tuple] = []
-        chosen = []
-        ids = table.column("id").to_pylist()
-        for ident, n, blob in zip(ids, table.column("n").to_pylist(), table.column("tokens").to_pylist(), strict=True):
+        chosen: dict[int, int] = {}
+        for key, n, blob in zip(*(table.column(c).to_pylist() for c in ("key", "n", "tokens")), strict=True):
+            if key in chosen:
+                continue
             tokens, leader = _sorted_tokens(blob), None
             # Leaders come by size, so the first that is too small ends the search.
             for other, m, theirs in reversed(leaders):
@@ -251,68 +260,103 @@ def _leaders(percent: int):
                     leader = other
                     break
             if leader is None:
-                leaders.append((ident, n, tokens))
-            chosen.append(ident if leader is None else leader)
-        return pa.table({"id": pa.array(ids, pa.int64()), "leader": pa.array(chosen, pa.int64())})
+                leaders.append((key, n, tokens))
+            chosen[key] = key if leader is None else leader
+        return pa.table({"key": pa.array(list(chosen), pa.int64()), "leader": pa.array(list(chosen.values()), pa.int64())})
+
+    return run
+
+
+def _prefixes(percent: int, some: int | None):
+    """Shingles of which a partner must hold one: as many of a set's first as may be missing, and one (at most ``some``).
+
+    Each comes with the number of shingles from it on; those that no other document holds come before all.
+    """
+
+    def run(batches):
+        for batch in batches:
+            prefix = []
+            for n, blob in zip(batch.column("n").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                tokens = np.frombuffer(blob, np.int64)
+                first = tokens[: len(tokens) - -(-percent * n // 100) + 1][:some]
+                prefix.append([{"token": t, "rest": len(tokens) - i} for i, t in enumerate(first.tolist())])
+            kind = pa.list_(pa.struct([("token", pa.int64()), ("rest", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(prefix, kind)], names=["key", "n", "prefix"])
 
     return run
 
 
 def _opened(percent: int):
-    def run(queries, members):
-        texts = [(i, n, _sorted_tokens(t)) for i, n, t in zip(*(members.column(c).to_pylist() for c in ("id", "n", "tokens")), strict=True)]
-        union = np.unique(np.concatenate([t for _, _, t in texts])) if texts else np.zeros(0, np.uint64)
-        found = []
-        for i, n, blob in zip(*(queries.column(c).to_pylist() for c in ("id", "n", "tokens")), strict=True):
-            tokens = _sorted_tokens(blob)
-            if 100 * _common(tokens, union) < percent * n:
+    """The links of one part of a cell: its queries (with their class) and its members (without)."""
+
+    def run(key, table):
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("class", "n", "tokens")), strict=True))
+        texts = [(n, _sorted_tokens(t)) for c, n, t in rows if c is None]
+        union = np.unique(np.concatenate([t for _, t in texts])) if texts else np.zeros(0, np.uint64)
+        found = set()
+        for c, n, blob in rows:
+            if c is None or c in found:
                 continue
-            hit = next((j for j, m, theirs in texts if _links(tokens, n, theirs, m, percent)), None)
-            if hit is not None:
-                found.append((i, hit))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+            tokens = _sorted_tokens(blob)
+            if 100 * _common(tokens, union) >= percent * n and any(_links(tokens, n, theirs, m, percent) for m, theirs in texts):
+                found.add(c)
+        return pa.table({"a": pa.array(sorted(found), pa.int64()), "b": pa.array([key[0].as_py()] * len(found), pa.int64())})
 
     return run
 
 
-def _salted(rows: DataFrame, by: str, size: int) -> DataFrame:
+def _salted(rows: DataFrame, by: list[str], size: int) -> DataFrame:
     """``rows`` with a ``part`` that cuts each value of ``by`` into parts of about ``size`` rows."""
-    pieces = rows.groupBy(by).agg(F.ceil(F.count("*") / size).alias("pieces"))
-    return rows.join(pieces, by).withColumn("part", F.pmod(F.xxhash64("id", F.lit(by)), "pieces"))
+    large = stored(rows.groupBy(*by).agg(F.ceil(F.count("*") / size).alias("pieces")).filter("pieces > 1"), "large")
+    return rows.join(large, by, "left").withColumn("part", F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("key", F.lit("part")), "pieces")))
 
 
 def _classes(sets: DataFrame, percent: int) -> DataFrame:
-    """``id`` and ``class`` of every representative: those in a class are linked through leaders."""
-    spark = sets.sparkSession
-    links = spark.createDataFrame([], "id long, class long")
-    level = sets
-    while True:
-        cut = _salted(level.select("id", "n", "tokens", "least"), "least", PART)
-        chosen = stored(cut.groupBy("least", "part").applyInArrow(_leaders(percent), "id long, leader long"), "leaders")
-        links = chosen.select("id", F.col("leader").alias("class")).union(
-            links.join(chosen.select(F.col("id").alias("class"), "leader"), "class", "left").select("id", F.coalesce("leader", "class").alias("class"))
-        )
-        # Leaders of keys that were cut meet again.
-        split_keys = cut.filter("pieces > 1").select("least").distinct()
-        heads = chosen.filter("id = leader").select("id").distinct()
-        following = stored(level.join(split_keys, "least", "left_semi").join(heads, "id", "left_semi"), "level")
-        left, before = following.count(), level.count()
-        if left == 0 or 2 * left > before and left > PART:
-            break
-        level = following
-    first = links.filter("id <> class")
-    own = sets.select("id").distinct().join(first.select("id").distinct(), "id", "left_anti")
-    return stored(first.distinct().union(own.select("id", F.col("id").alias("class"))), "classes")
-
-
-def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All rows as ``id`` and ``n`` (set size), and links ``a``, ``b`` with the same components as all links.
-
-    Every link joins two documents that meet the threshold, or equal sets.
-    """
+    """``key`` and ``class`` of every set; those in a class are linked through leaders."""
+    met = _salted(sets, ["least"], PART).groupBy("least", "part").applyInArrow(_leaders(percent), "key long, leader long")
+    return stored(met.select("key", F.col("leader").alias("class")), "classes")
+
+
+def _links_between(sets: DataFrame, classes: DataFrame, percent: int, some: int | None) -> DataFrame:
+    """Links ``a``, ``b`` between classes. ``some`` limits the queries of a class per column and the columns of a set."""
+    sizes = classes.groupBy("class").agg(F.count("*").alias("size"))
+    member = _salted(classes.join(sizes, "class"), ["class"], MEMBERS)
+    member = stored(member.select("key", F.struct("size", "class").alias("class"), "part"), "members")
+    prefixes = sets.mapInArrow(_prefixes(percent, some), "key long, n long, prefix array<struct<token:long,rest:long>>")
+    cells = prefixes.join(member, "key").select("key", "n", "class", "part", F.inline("prefix"))
+    if some is not None:
+        place = F.row_number().over(Window.partitionBy("token", "class").orderBy("key"))
+        cells = cells.withColumn("place", place).filter(F.col("place") <= some).drop("place")
+    spread = stored(cells.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("token"), "columns")
+    cells = stored(cells.join(spread, "token", "left_semi"), "cells")
+    matrix = cells.groupBy("token", F.col("class").alias("cell"), "part").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest"))
+    # A link has common >= percent / (100 + percent) of both sizes, none of it before the first common column.
+    fits = F.expr(f"class < cell AND {percent} * n <= 100 * most_n AND {percent} * least_n <= 100 * n AND {100 + percent} * least(rest, most_rest) >= {percent} * (n + least_n)")
+    asked = cells.select("token", "rest", "key", "n", "class").join(matrix, "token").filter(fits)
+    asked = stored(asked.select("key", F.col("class.class").alias("class"), F.col("cell.class").alias("cell"), "part").distinct(), "queries")
+    # Many queries of a cell are cut into pieces, each with all members of the cell.
+    pieces = stored(asked.groupBy("cell", "part").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("pieces")), "parts")
+    queries = asked.join(pieces, ["cell", "part"]).select("key", "class", "cell", "part", F.pmod(F.xxhash64("key"), "pieces").alias("piece"))
+    held = member if some is None else member.join(cells.select("key").distinct(), "key", "left_semi")
+    held = held.select("key", F.col("class.class").alias("cell"), "part").join(pieces, ["cell", "part"]).select(
+        "key", F.lit(None).cast("long").alias("class"), "cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"),
+    )
+    wanted = stored(queries.union(held), "opened")
+    near = F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted
+    return sets.select("key", "n", "tokens").join(near, "key").groupBy("cell", "part", "piece").applyInArrow(_opened(percent), "a long, b long")
+
+
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` with the smallest class that links reach."""
+    found = components(links).select(F.col("id").alias("class"), "component")
+    return stored(classes.join(found, "class", "left").select("key", F.coalesce("component", "class").alias("class")), "joined")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links, of every row."""
     slim = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     total = B.text_bytes(slim)
-    buckets, groups = B.parts(docs, total, B.BUCKET_BYTES), B.parts(docs, total, B.GROUP_BYTES)
+    buckets, groups = B.parts(docs, total, B.BUCKET_BYTES // 2), B.parts(docs, total, B.GROUP_BYTES)
     answers = (
         slim.mapInArrow(_sets_to_buckets(width, buckets, groups), "bucket long, blob binary")
         .groupBy("bucket").applyInArrow(_bucket_answers(buckets, groups), "group long, blob binary")
@@ -320,42 +364,25 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id: str
     shipped = slim.mapInArrow(_rows_to_groups(groups), "group long, blob binary")
     rows = stored(shipped.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_candidates(width, percent), SETS), "sets")
 
-    # Equal sets: only sets of repeated shingles alone can have an equal elsewhere.
-    live = rows.filter("tokens IS NOT NULL").withColumn(
-        "form", F.when(F.col("repeated") == F.col("n"), F.md5("tokens")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string"), F.md5("tokens"))),
-    )
-    forms = live.groupBy("form").agg(F.min("id").alias("rep"))
-    equal = live.select("id", "form").join(forms, "form").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    sets = live.join(forms.select(F.col("rep").alias("id"), "form"), ["id", "form"], "left_semi").select("id", "n", "tokens", "prefix", "least").dropDuplicates(["id", "tokens"])
-    sets = stored(sets, "representatives")
-
+    sets = rows.filter("tokens IS NOT NULL").select("key", "n", "tokens", "least")
     classes = _classes(sets, percent)
-    # The matrix, in columns of prefix shingles.
-    member = _salted(classes, "class", MEMBERS).select("id", "class", F.struct("class", "part").alias("cell"))
-    cells = sets.select("id", F.explode("prefix").alias("token")).join(member, "id")
-    spread = cells.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("token")
-    cells = cells.join(spread, "token", "left_semi")
-    matrix = cells.select("token", F.col("class").alias("other"), "cell").distinct()
-    pairs = stored(cells.select("token", "id", "class").join(matrix, "token").filter("class < other").select("id", "cell").distinct(), "queries")
-    tokens = sets.select("id", "n", "tokens")
-    pairs = _salted(pairs, "cell", QUERIES)
-    parts = pairs.select("cell", "part").distinct()
-    queries = pairs.select("id", "cell", "part").join(tokens, "id")
-    held = member.select("id", "cell").join(tokens, "id").join(parts, "cell")
-    # New names keep the two sides of the same tables apart.
-    held = held.select("id", "n", "tokens", F.col("cell").alias("of_cell"), F.col("part").alias("of_part")).select(*[F.col(c).alias(c) for c in ("id", "n", "tokens", "of_cell", "of_part")])
-    opened = queries.groupBy("cell", "part").cogroup(held.groupBy("of_cell", "of_part")).applyInArrow(_opened(percent), "a long, b long")
-    links = (
-        rows.filter("copy_of IS NOT NULL").select(F.col("id").alias("a"), F.col("copy_of").alias("b"))
-        .union(equal).union(classes.select(F.col("id").alias("a"), F.col("class").alias("b"))).union(opened)
+    for some in (FIRST, None):
+        classes = _joined(classes, _links_between(sets, classes, percent, some))
+
+    # From rows to copies in their block and to classes; a class is named by its smallest id.
+    placed = rows.select("id", "n", F.coalesce("copy_of", "key").alias("key")).join(classes, "key", "left")
+    placed = placed.select("id", "n", F.coalesce("class", "key").alias("root"))
+    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    return placed.join(least, "root").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
-    return rows.select("id", "n"), links.filter("a <> b")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links, of every row."""
-    rows, links = linked(docs, width, percent, id, text)
-    found = components(links)
-    return rows.join(found, "id", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
-    )
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of every component the document with the smallest id stays.
+
+    Rows with a null id stay. Rows that are repeated under one id stay or go together.
+    """
+    found = near_duplicates(docs, width, percent, id, text)
+    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, F.col("`" + id.replace("`", "``") + "`") == F.col("_gone"), "left_anti")
