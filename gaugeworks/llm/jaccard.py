@@ -5,7 +5,8 @@ Documents are sets of shingles. Two documents link when ``100 * common >= percen
 1. Shingle hashes go to buckets, which answer how many documents hold each (counted up to ``HOT``). A
    document whose repeated shingles are fewer than ``percent`` of its set cannot link and ends here.
    Equal sets within a block are reported as copies at once, and a shingle that ``HOT`` documents of a
-   block share leaves the block once, with its count.
+   block share leaves the block once, with its count. A row that is repeated in several blocks may be a
+   copy of one row and have copies itself; such chains are components too.
 2. Documents with the same smallest hashed shingle meet, and greedy leaders cut them into classes of
    documents that link to a leader. Large meetings are cut into salted parts.
 3. The matrix: groups are parts of a class with about ``MEMBERS`` documents. Its columns are the shingles
@@ -16,7 +17,7 @@ Documents are sets of shingles. Two documents link when ``100 * common >= percen
    partner are opened. All members are one class already, so the first link found is enough.
 5. Matrix and opening run first with a few queries and columns of each class, which joins most classes
    that belong together, then with all queries and columns of the classes that are left apart.
-6. Components of all links.
+6. Components of all links and chains of copies.
 
 Defined cases: a null or wordless text has an empty set and no links; a text shorter than the shingle
 width is one shingle; a row with a null id has no links and a null component; rows with equal ids and
@@ -71,8 +72,11 @@ def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(doc, np.arange(len(text) + 1))
 
 
-def _least_among_equal(first: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For every text the index of the text with an equal set and the smallest id."""
+def _least_among_equal(first: np.ndarray, hashes: np.ndarray, ids: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """For every text the index of the text with an equal set and the smallest id, of equal ids the smallest name.
+
+    The order is the same in every block, so that copies of copies never lead back to where they began.
+    """
     counts = np.diff(first)
     owner = np.repeat(np.arange(len(counts)), counts)
     sums = np.zeros((len(counts), 2), np.uint64)
@@ -85,7 +89,7 @@ def _least_among_equal(first: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -
     best: dict[tuple, int] = {}
     keys = list(zip(counts.tolist(), sums[:, 0].tolist(), sums[:, 1].tolist(), strict=True))
     for i, key in enumerate(keys):
-        if key not in best or ids[i] < ids[best[key]]:
+        if key not in best or (ids[i], names[i]) < (ids[best[key]], names[best[key]]):
             best[key] = i
     return np.array([best[k] if k[0] else i for i, k in enumerate(keys)], np.int64)
 
@@ -99,7 +103,7 @@ def _sets_to_buckets(width: int, buckets: int, groups: int):
             ids, text = np.asarray(block.column("id")), block.column("text")
             keys = B.row_keys(ids, text)
             hashes, first = shingle_sets(text, width)
-            same = _least_among_equal(first, hashes, ids)
+            same = _least_among_equal(first, hashes, ids, keys)
             rows = []
             group_of = (keys % np.uint64(groups)).astype(np.int64)
             copies = np.flatnonzero(same != np.arange(len(same)))
@@ -177,16 +181,17 @@ def _rows_to_groups(groups: int):
     return run
 
 
-SETS = "key long, id long, n long, copy_of long, repeated long, tokens binary, least long"
+SETS = "key long, id long, n long, copy_of array<long>, repeated long, tokens binary, least long"
 
 
 def _candidates(width: int, percent: int):
     def run(rows, answers):
         place_of: dict[int, list] = {}
-        copy_of: dict[int, int] = {}
+        copy_of: dict[int, set[int]] = {}
         found = [B.unpack(x) for x in answers.column("blob")]
         for part in (p for p in found if "copy_of" in p.schema.names):
-            copy_of |= dict(zip(part.column("key").to_pylist(), part.column("copy_of").to_pylist(), strict=True))
+            for key, other in zip(part.column("key").to_pylist(), part.column("copy_of").to_pylist(), strict=True):
+                copy_of.setdefault(key, set()).add(other)
         found = [p for p in found if "step" in p.schema.names]
         if found:
             keys = np.concatenate([np.asarray(p.column("key")) for p in found])
@@ -203,7 +208,7 @@ def _candidates(width: int, percent: int):
             hashes, first = shingle_sets(batch.column("text"), width)
             for i, (key, ident) in enumerate(zip(batch.column("key").to_pylist(), batch.column("id").to_pylist(), strict=True)):
                 n = int(first[i + 1] - first[i])
-                row = [key - (1 << 64) if key >> 63 else key, ident, n, copy_of.get(key), 0, None, None]
+                row = [key - (1 << 64) if key >> 63 else key, ident, n, sorted(copy_of[key]) if key in copy_of else None, 0, None, None]
                 out.append(row)
                 if ident is None or row[3] is not None or key not in place_of:
                     continue
@@ -218,7 +223,7 @@ def _candidates(width: int, percent: int):
                 row[5] = tokens.tobytes()
                 row[6] = int(B.mix(tokens, 0x1B873593).min().view(np.int64))
         columns = list(zip(*out, strict=True)) if out else [[]] * 7
-        types = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
+        types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int64()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "id", "n", "copy_of", "repeated", "tokens", "least"])
 
     return run
@@ -352,6 +357,20 @@ def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     return stored(classes.join(found, "class", "left").select("key", F.coalesce("component", "class").alias("class")), "joined")
 
 
+def _chains(copies: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id`` and ``component`` of the keys and classes that repeated rows join, from ``key`` and its ``copy_of``.
+
+    Most copies hang on one key that is no copy, which needs no edge; left are those of several keys and those with
+    copies of their own.
+    """
+    several = copies.filter(F.size("copy_of") > 1).select(F.col("copy_of")[0].alias("a"), F.explode("copy_of").alias("b"))
+    targets = copies.select(F.explode("copy_of").alias("key")).distinct()
+    between = copies.join(targets, "key", "left_semi").select(F.col("key").alias("a"), F.col("copy_of")[0].alias("b"))
+    edges = stored(several.union(between).distinct(), "chains")
+    ends = edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct()
+    return components(edges.union(classes.join(ends, "key", "left_semi").select("key", "class")))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links, of every row."""
     slim = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -369,9 +388,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     for some in (FIRST, None):
         classes = _joined(classes, _links_between(sets, classes, percent, some))
 
-    # From rows to copies in their block and to classes; a class is named by its smallest id.
-    placed = rows.select("id", "n", F.coalesce("copy_of", "key").alias("key")).join(classes, "key", "left")
-    placed = placed.select("id", "n", F.coalesce("class", "key").alias("root"))
+    # From rows to copies in their block, to classes and along chains of copies; a class is named by its smallest id.
+    chains = _chains(rows.filter("copy_of IS NOT NULL").select("key", "copy_of"), classes)
+    placed = rows.select("id", "n", F.coalesce(F.col("copy_of")[0], "key").alias("key")).join(classes, "key", "left")
+    placed = placed.select("id", "n", F.coalesce("class", "key").alias("class"))
+    placed = placed.join(chains.withColumnRenamed("id", "class"), "class", "left").select("id", "n", F.coalesce("component", "class").alias("root"))
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     return placed.join(least, "root").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),

@@ -71,6 +71,29 @@ def test_chains_of_links_and_hot_shingles(spark, monkeypatch):
     assert got == {i: found for (i, _), found in zip(rows, brute.near_components(rows), strict=True)}
 
 
+def in_blocks(spark, parts):
+    """One frame with a partition, so a block, per list of rows."""
+    return spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(list), "doc_id long, text string")
+
+
+def test_rows_repeated_in_several_blocks_chain_their_copies(spark):
+    words = [f"v{i}" for i in range(300)]
+    text = lambda k: " ".join(words[k * 60:k * 60 + 60])
+    near = text(2) + " other end"
+    parts = [
+        # Row 3 has a copy in one block and is a copy in the next, and so on down to 1.
+        [(3, text(0)), (5, text(0)), (10, text(1)), (20, near)], [(2, text(0)), (3, text(0))], [(1, text(0)), (2, text(0))],
+        # Row 14 is a copy of two rows that never meet.
+        [(12, text(1)), (14, text(1))], [(11, text(1)), (14, text(1))],
+        # Equal ids and sets, different texts, in both orders, beside a near copy.
+        [(30, text(2)), (30, text(2).upper())], [(30, text(2).upper()), (30, text(2))],
+    ]
+    rows = [r for part in parts for r in part]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(in_blocks(spark, parts)).collect())
+    assert got == sorted((i, n, c) for (i, _), (n, c) in zip(rows, brute.near_components(rows), strict=True))
+    assert {i: c for i, _, c in got} == {1: 1, 2: 1, 3: 1, 5: 1, 10: 10, 11: 10, 12: 10, 14: 10, 20: 20, 30: 20}
+
+
 def test_one_of_each_and_empty_table(spark):
     text = " ".join(f"p{i}" for i in range(50))
     docs = spark.createDataFrame([(5, text, 1), (3, text + " q", 2), (9, "other words", 3), (None, text, 4)], "doc_id long, text string, _gone int").withColumnRenamed("_gone", "gone")
