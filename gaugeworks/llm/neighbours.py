@@ -8,7 +8,8 @@ ranked by exact inner products in double precision.
 
 The number of directions grows with the logarithm of the number of vectors. ``fit`` measures on about
 ``SAMPLE`` queries, whose true neighbours one pass over all vectors finds, how many buckets a query must
-visit for ``RECALL``; with too many, it takes a direction less. Every vector is in the index.
+visit for ``RECALL``; with too many, it takes a direction less. Every vector is in the index. A query that met
+fewer than ``k`` others, though there are more, is compared with all vectors.
 
 Equal vectors are one entry with their ``k + 1`` smallest ids, which is all that a result can show of them.
 Buckets with many members or queries are cut into parts, members times queries, so none is dropped.
@@ -224,6 +225,32 @@ def fit(vectors: DataFrame, k: int, seed: int = 7) -> Index:
     return index
 
 
+def _met(asking: DataFrame, probes: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The nearest entries of every query among the members of the buckets that it visits."""
+    cut = lambda name: F.ceil(F.count("*") / PART).cast("long").alias(name)
+    sizes = members.groupBy("table", "bucket").agg(cut("parts")).join(probes.groupBy("table", "bucket").agg(cut("pieces")), ["table", "bucket"])
+    sizes = stored(sizes, "sizes")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep", F.lit("part")), F.col(n))
+    left = probes.join(asking, "rep").join(sizes, ["table", "bucket"]).select("table", "bucket", own("pieces").alias("piece"), every("parts").alias("part"), "rep", "vector")
+    right = members.join(sizes, ["table", "bucket"]).select("table", "bucket", own("parts").alias("part"), every("pieces").alias("piece"), "rep", "vector")
+    right = right.select(*[F.col(c).alias(f"m_{c}") for c in ("table", "bucket", "part", "piece")], F.col("rep").alias("rep"), F.col("vector").alias("vector"))
+    right = right.select("m_table", "m_bucket", "m_part", "m_piece", *[F.col(c).alias(c) for c in ("rep", "vector")])
+    visited = left.groupBy("table", "bucket", "part", "piece").cogroup(right.groupBy("m_table", "m_bucket", "m_part", "m_piece")).applyInArrow(_visited(k + 1), NEAR)
+    # At most k + 1 candidates of each visited bucket part meet here. An entry is found once per table at most.
+    return visited.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, TABLES * (k + 1)).alias("near"))
+
+
+def _listed(met: DataFrame, classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id``, ``query`` and the ``list`` of its ``k`` nearest ids, null if it met nothing."""
+    shown = met.select("query", F.inline("near")).groupBy("query", "rep").agg((-F.min("worse")).alias("score"))
+    shown = shown.join(classes.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    shown = shown.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
+    lists = shown.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("list"))
+    return queries.join(lists, "query", "left").select("query_id", "query", F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("list"))
+
+
 def search(rows: DataFrame, is_query: Column, k: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the ``k`` nearest found of every query row."""
     sound = (
@@ -250,22 +277,15 @@ def search(rows: DataFrame, is_query: Column, k: int, id: str = "vec_id", vector
     members = stored(vectors.mapInArrow(_members(index), "table int, bucket long, rep long, vector array<float>"), "members")
     asking = vectors.join(queries.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi")
     probes = stored(asking.mapInArrow(_probes(index), "table int, bucket long, rep long").join(members.select("table", "bucket").distinct(), ["table", "bucket"], "left_semi"), "probes")
-    cut = lambda name: F.ceil(F.count("*") / PART).cast("long").alias(name)
-    sizes = members.groupBy("table", "bucket").agg(cut("parts")).join(probes.groupBy("table", "bucket").agg(cut("pieces")), ["table", "bucket"])
-    sizes = stored(sizes, "sizes")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("rep", F.lit("part")), F.col(n))
-    left = probes.join(asking, "rep").join(sizes, ["table", "bucket"]).select("table", "bucket", own("pieces").alias("piece"), every("parts").alias("part"), "rep", "vector")
-    right = members.join(sizes, ["table", "bucket"]).select("table", "bucket", own("parts").alias("part"), every("pieces").alias("piece"), "rep", "vector")
-    right = right.select(*[F.col(c).alias(f"m_{c}") for c in ("table", "bucket", "part", "piece")], F.col("rep").alias("rep"), F.col("vector").alias("vector"))
-    right = right.select("m_table", "m_bucket", "m_part", "m_piece", *[F.col(c).alias(c) for c in ("rep", "vector")])
-    visited = left.groupBy("table", "bucket", "part", "piece").cogroup(right.groupBy("m_table", "m_bucket", "m_part", "m_piece")).applyInArrow(_visited(k + 1), NEAR)
-    # At most k + 1 candidates of each visited bucket part meet here. An entry is found once per table at most.
-    merged = visited.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, TABLES * (k + 1)).alias("near"))
-    shown = merged.select("query", F.inline("near")).groupBy("query", "rep").agg((-F.min("worse")).alias("score"))
-    shown = shown.join(classes.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    shown = shown.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
-    lists = shown.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("list"))
-    answers = queries.join(lists, "query").select("query_id", F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("list"))
+    answers = stored(_listed(_met(asking, probes, members, k), classes, queries, k), "answers")
+    # What a query can find at least; classes of more than k + 1 ids count as k + 1.
+    least = min(k, classes.agg(F.sum(F.size("ids"))).first()[0] - 1)
+    found = F.coalesce(F.size("list"), F.lit(0))
+    short = stored(answers.filter(found < least).select("query_id", "query"), "short")
+    if not short.isEmpty():
+        asking = vectors.join(short.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi")
+        blocks = -(-2 * index.count // PART)
+        members = vectors.select(F.lit(0).alias("table"), F.pmod(F.xxhash64("rep", F.lit("block")), F.lit(blocks)).cast("long").alias("bucket"), "rep", "vector")
+        probes = asking.select(F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bucket"), "rep")
+        answers = answers.filter(found >= least).union(_listed(_met(asking, probes, members, k), classes, short, k))
     return answers.select("query_id", F.posexplode("list").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

@@ -135,6 +135,20 @@ def test_many_vectors_in_cut_buckets(spark, monkeypatch):
     assert got[300][:3] == [(i, pytest.approx(got[300][0][1])) for i in (0, 3, 6)]
 
 
+def test_outliers_of_dense_clusters_find_all_that_they_can(spark, monkeypatch):
+    # Small buckets, so that outliers share theirs with few others.
+    for name, value in (("OCCUPANCY", 4), ("WIDTH", 0.3), ("PART", 100)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 24))
+    x = np.concatenate((centres[np.arange(980) % 20] + 0.02 * rng.normal(size=(980, 24)), rng.normal(size=(20, 24))))
+    vectors = {i: v for i, v in enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).tolist())}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").repartition(4)
+    chosen = lambda i: (i >= 980) | (i % 100 == 0)
+    got, want = answers(neighbours.search(df, chosen(F.col("vec_id")), 20)), exact(vectors, chosen, 20)
+    assert set(got) == set(want) and all(len(near) == 20 for near in got.values()) and recall(got, want) >= 0.9
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (21, [2.0, 0.0]), (22, None), (23, []), (24, [0.0, -0.0]), (25, [nan, 1.0]), (26, [inf, 1.0]), (27, [None, 1.0]), (28, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (40, None), (21, [2.0, 0.0]), (30, [1.0, 0.0]), (60, [-1.0, 0.0])]
