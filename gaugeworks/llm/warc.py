@@ -37,8 +37,6 @@ RANGE_BYTES = 8 << 20
 _CHUNK = 1 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.\d\r\n")
-# A header block is longer only if damaged.
-_HEADER_BYTES = 1 << 16
 RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, path string, offset long"
 
 
@@ -141,11 +139,10 @@ def _headers(block: bytes) -> dict[str, str] | None:
 def member_at(window: _Window, start: int) -> tuple[dict[str, str], bytes, int] | None:
     """Headers, content and end of the record whose gzip member begins at ``start``, if one does."""
     opener = zlib.decompressobj(31)
-    parts, held, at, headers, need = [], 0, start, None, None
-    head = b""
+    held, at, headers, need = bytearray(), start, None, None
     while not opener.eof:
         # The first look is short: most candidates are none.
-        step = 4096 if headers is None else 1 << 18
+        step = 1 << 18 if held else 4096
         window.upto(at + step)
         piece = window.data[at - window.start:at - window.start + step]
         if not piece:
@@ -155,23 +152,22 @@ def member_at(window: _Window, start: int) -> tuple[dict[str, str], bytes, int]
         except zlib.error:
             return None
         at += len(piece)
-        parts.append(out)
-        held += len(out)
+        seen = max(0, len(held) - 3)
+        held += out
         if headers is None:
-            head += out
-            end = head.find(b"\r\n\r\n")
+            # A header block has no limit, since a url has none.
+            end = held.find(b"\r\n\r\n", seen)
             if end < 0:
-                if len(head) > _HEADER_BYTES or not b"WARC/1.".startswith(head[:7]):
+                if not b"WARC/1.".startswith(held[:7]):
                     return None
                 continue
-            headers = _headers(head[:end])
+            headers = _headers(bytes(held[:end]))
             if headers is None:
                 return None
             need = end + 4 + int(headers["content-length"])
-    if headers is None or held != need + 4:
+    if headers is None or len(held) != need + 4:
         return None
-    body = b"".join(parts)
-    return headers, body[need - int(headers["content-length"]):need], at - len(opener.unused_data)
+    return headers, bytes(memoryview(held)[need - int(headers["content-length"]):need]), at - len(opener.unused_data)
 
 
 def records_in(window: _Window, start: int, stop: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -238,5 +234,10 @@ def read(archives: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """All rows written to new archives below the shared folder and read back."""
-    return read(write(pages, scratch_path(pages.sparkSession, "warc")))
+    """All rows written to new archives below the shared folder and read back; an error if a record is missing."""
+    archives = write(pages, scratch_path(pages.sparkSession, "warc"))
+    found = stored(read(archives), "records")
+    wrote, got = archives.agg(F.sum("records")).first()[0] or 0, found.count()
+    if wrote != got:
+        raise ValueError(f"{wrote} records were written, {got} read")
+    return found

@@ -77,6 +77,21 @@ def test_damage_and_false_magic_cost_only_their_record():
     assert all(ids(size) == ["1", "2", "4"] for size in (50, 333, 100_000))
 
 
+def test_urls_of_any_length_come_back(spark):
+    rnd = random.Random(2)
+    rows = [(i, "data:" + "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=k)), f"page {i}") for i, k in enumerate((10, 1 << 16, 200_000, 3_000_000))]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()
+    assert sorted((r.page_id, r.url, r.payload.decode()) for r in got) == rows
+
+
+def test_a_record_lost_on_reading_is_an_error(spark, pages, monkeypatch):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    read = warc.read
+    monkeypatch.setattr(warc, "read", lambda archives: read(archives).filter("page_id <> 300"))
+    with pytest.raises(ValueError):
+        warc.round_trip(df)
+
+
 def test_archives_of_no_page(spark, pages):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").limit(0)
     assert warc.round_trip(df).count() == 0
