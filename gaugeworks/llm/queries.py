@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontaminate, jaccard, language, neighbours, quality, sharding, substrings, toxicity, warc
+from gaugeworks.llm import bpe, centroids, conversations, decontaminate, jaccard, language, mixing, neighbours, quality, sharding, substrings, toxicity, warc
 from gaugeworks.llm.sampling import bounded
+from gaugeworks.llm.statements import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -119,3 +121,43 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """Shard of every document, with the bytes that it brings there."""
     docs = _table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("text_bytes"))
     return sharding.place(docs, "doc_id", SHARDS)
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster of every vector after three rounds, with the inertia and a digest of its centroid."""
+    assigned, found = centroids.cluster(_table(spark, sf, "embeddings"), k=16, rounds=3)
+    return centroids.described(assigned, found).withColumnRenamed("id", "vec_id").drop("n_exact")
+
+
+@query
+def op12_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that a mix of one and a half times all words takes of every document."""
+    laid, slots = mixing.planned(_table(spark, sf, "documents"))
+    taken = mixing.mix(laid, slots).groupBy("number", "start").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
+    some = laid.filter("size > 0").join(taken, ["number", "start"], "left")
+    found = some.unionByName(laid.filter("size = 0"), allowMissingColumns=True)
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Turns damaged by a checksum of conversation and turn: dropped, emptied, without ends of sentences, repeated, or made the user's."""
+    whole = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(whole("conv_id"), F.lit(":"), whole("turn"))) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate(whole("text"), ".!?", "")).otherwise(whole("text"))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("kind", kind).filter("kind <> 0")
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(whole("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults of every damaged conversation, and cost, edits and digest of its cheapest repair."""
+    rows = _table(spark, sf, "conversations")
+    hurt = damaged(rows)
+    repaired = conversations.repair(hurt)
+    digests = conversations.digests(conversations.turns(hurt, repaired)).withColumnRenamed("id", "of")
+    ids = rows.select("conv_id").distinct()
+    found = ids.join(repaired, F.col("conv_id").eqNullSafe(F.col("id")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
