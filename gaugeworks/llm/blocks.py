@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +36,19 @@ def parts(docs: DataFrame, total: int, unit: int) -> int:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut into slices of about ``size`` bytes of text; null texts become empty."""
+    """Batches cut into slices of about ``size`` bytes of text; null texts become empty. Only a slice is ever copied."""
     for batch in batches:
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(text)
-        column = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
-        batch = pa.RecordBatch.from_arrays(
-            [column if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names,
-        )
-        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
-            yield batch.slice(start, stop - start)
+            part = batch.slice(start, stop - start)
+            column = pc.fill_null(part.column(at).cast(pa.large_string()), "")
+            yield pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
             start = stop
 
 
@@ -155,6 +154,19 @@ def unpack(blob: bytes | pa.Scalar) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_next_batch()
 
 
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Byte arrays as one compressed blob, with few bytes beside them; most blobs are small."""
+    arrays = [np.ascontiguousarray(a).ravel() for a in arrays]
+    sizes = np.array([len(a) for a in arrays], np.uint32)
+    return bytes([len(arrays)]) + sizes.tobytes() + zstandard.compress(b"".join(a.tobytes() for a in arrays), 3)
+
+
+def unpack_arrays(blob: bytes) -> list[np.ndarray]:
+    ends = np.cumsum(np.frombuffer(blob, np.uint32, blob[0], 1), dtype=np.int64)
+    data = np.frombuffer(zstandard.decompress(blob[1 + 4 * blob[0]:]), np.uint8)
+    return np.split(data, ends[:-1])
+
+
 def split(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For every value of ``groups``: the value and the indices that have it, in order."""
     if not len(groups):

@@ -15,6 +15,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+# Rows of a key that share a copy of its answer, and how many keys may have more than that at most.
+SHARED = 500
+FREQUENT = 50_000
+
+
+def answered(rows: DataFrame, answers: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``answers`` (one row per ``key``), null where there is none.
+
+    A frequent key would meet its answer in one task. Its rows are cut by a hash of ``spread`` into shares, each with a copy of the
+    answer. At most ``FREQUENT`` keys are that frequent, so their list can be sent to all tasks. ``rows`` are read twice, so they
+    should be a stored table.
+    """
+    size = max(SHARED, -(-rows.count() // FREQUENT))
+    many = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > size).select(key, F.ceil(F.col("_n") / size).cast("long").alias("_copies"))
+    many = F.broadcast(stored(many, "frequent"))
+    share = F.coalesce(F.pmod(F.xxhash64(spread, F.lit("share")), "_copies"), F.lit(0)).alias("_share")
+    left = rows.join(many, key, "left").select(*rows.columns, share)
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("_copies", F.lit(1)) - 1)
+    right = answers.join(many, key, "left").select(*answers.columns, F.explode(copies).alias("_share"))
+    return left.join(right, [key, "_share"], "left").drop("_share")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id`` and ``component`` (smallest id reachable) of every id in the edges ``a``, ``b``.
 

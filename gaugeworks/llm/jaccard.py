@@ -29,11 +29,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import blocks as B
-from gaugeworks.llm.components import components, stored
+from gaugeworks.llm.components import answered, components, stored
 
 WIDTH = 5
 PERCENT = 75
@@ -44,10 +45,11 @@ MEMBERS = 64
 QUERIES = 512
 # Queries and columns per class in the first of the two passes.
 FIRST = 3
+# At most so many rounds of leaders, and of links to the next class, come before the full pass.
+ROUNDS = 6
+LAST = (1 << 63) - 1
 # Blocks are smaller than elsewhere, since sets take more room than words.
 BLOCK_BYTES = 2 << 20
-# Up to this many queries and members are sent to the sets; more are joined.
-SENT_ROWS = 300_000
 
 
 def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,137 +96,101 @@ def _least_among_equal(first: np.ndarray, hashes: np.ndarray, ids: np.ndarray, n
     return np.array([best[k] if k[0] else i for i, k in enumerate(keys)], np.int64)
 
 
-def _sets_to_buckets(width: int, buckets: int, groups: int):
-    def run(batches):
-        for block in B.blocks(batches, size=BLOCK_BYTES):
-            block = block.filter(block.column("id").is_valid())
-            if not block.num_rows:
-                continue
-            ids, text = np.asarray(block.column("id")), block.column("text")
-            keys = B.row_keys(ids, text)
-            hashes, first = shingle_sets(text, width)
-            same = _least_among_equal(first, hashes, ids, keys)
-            rows = []
-            group_of = (keys % np.uint64(groups)).astype(np.int64)
-            copies = np.flatnonzero(same != np.arange(len(same)))
-            copies = copies[keys[copies] != keys[same[copies]]]
-            for group, part in B.split(group_of[copies]):
-                rows.append((buckets + group, B.pack({"key": keys[copies[part]], "copy_of": keys[same[copies[part]]].view(np.int64)})))
-            counts = np.diff(first)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            place = (np.arange(len(hashes)) - first[:-1][doc]).astype(np.int32)
-            keep = np.repeat(same == np.arange(len(same)), counts)
-            hashes, doc, place = hashes[keep], doc[keep], place[keep]
-            if len(hashes):
-                order = np.argsort(hashes)
-                heads = np.flatnonzero(np.concatenate(([True], np.diff(hashes[order]) != 0)))
-                number = np.diff(np.append(heads, len(hashes)))
-                here = np.empty(len(hashes), np.int64)
-                here[order] = np.repeat(number, number)
-                hot = here >= HOT
-                for group, part in B.split(group_of[doc[hot]]):
-                    part = np.flatnonzero(hot)[part]
-                    rows.append((buckets + group, B.pack({"key": keys[doc[part]], "step": np.diff(place[part], prepend=np.int32(0)), "count": np.full(len(part), HOT, np.uint8)})))
-                shared = order[heads[number >= HOT]]
-                send = np.concatenate((np.flatnonzero(~hot), shared))
-                weight = np.where(hot[send], here[send], 1).astype(np.int32)
-                bucket = (B.mix(hashes[send], 0x2545F4914F6CDD1D) % np.uint64(buckets)).astype(np.int64)
-                for number_of, part in B.split(bucket):
-                    each = send[part]
-                    rows.append((number_of, B.pack({
-                        "key": keys[doc[each]], "step": np.diff(place[each], prepend=np.int32(0)), "weight": weight[part],
-                        "high": (hashes[each] >> np.uint64(32)).astype(np.uint32), "low": ((hashes[each] >> np.uint64(24)) & np.uint64(255)).astype(np.uint8),
-                    })))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+def _block_sets(block: pa.RecordBatch, width: int):
+    """Set hashes of a block, where each text's begin, the row with an equal set that stands for each, and the distinct hashes of those rows."""
+    keys = np.asarray(block.column("key"))
+    hashes, first = shingle_sets(block.column("text"), width)
+    same = _least_among_equal(first, hashes, np.asarray(block.column("id")), keys)
+    keep = np.repeat(same == np.arange(len(same)), np.diff(first))
+    return keys, hashes, first, same, np.unique(hashes[keep], return_counts=True)
 
-    return run
 
+def _by_bucket(distinct: np.ndarray, buckets: int):
+    """Of every bucket: its number, the places of its hashes in order of their codes, and the codes (32 bits)."""
+    mixed = B.mix(distinct, 0x2545F4914F6CDD1D)
+    codes = (mixed >> np.uint64(32)).astype(np.uint32)
+    order = np.argsort(codes, kind="stable")
+    for number, part in B.split((mixed[order] % np.uint64(buckets)).astype(np.int64)):
+        yield number, order[part], codes[order[part]]
 
-def _bucket_answers(buckets: int, groups: int):
-    def run(key, table):
-        number = key[0].as_py()
-        blobs = table.column("blob")
-        if number >= buckets:
-            return pa.table({"group": pa.array([number - buckets] * len(blobs), pa.int64()), "blob": blobs})
-        parts = [B.unpack(x) for x in blobs]
-        place = np.concatenate([np.cumsum(np.asarray(p.column("step")), dtype=np.int32) for p in parts])
-        keys, weight, high, low = (np.concatenate([np.asarray(p.column(c)) for p in parts]) for c in ("key", "weight", "high", "low"))
-        del parts
-        hashes = (high.astype(np.uint64) << np.uint64(8)) | low
-        del high, low
-        order = np.argsort(hashes)
-        heads = np.flatnonzero(np.concatenate(([True], np.diff(hashes[order]) != 0)))
-        total = np.add.reduceat(weight[order], heads)
-        count = np.empty(len(hashes), np.uint8)
-        count[order] = np.repeat(np.minimum(total, HOT), np.diff(np.append(heads, len(hashes))))
-        told = np.flatnonzero((count > 1) & (weight == 1))
-        rows = []
-        for group, part in B.split((keys[told] % np.uint64(groups)).astype(np.int64)):
-            part = told[part]
-            rows.append((group, B.pack({"key": keys[part], "step": np.diff(place[part], prepend=np.int32(0)), "count": count[part]})))
-        return pa.table({"group": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-    return run
+def _sound(batches, size: int):
+    for block in B.blocks(batches, size=size):
+        block = block.filter(block.column("id").is_valid())
+        if block.num_rows:
+            yield block, xxhash.xxh3_64_intdigest(np.asarray(block.column("key")).tobytes()) >> 1
 
 
-def _rows_to_groups(groups: int):
+def _hashes_to_buckets(width: int, buckets: int):
     def run(batches):
-        for block in B.blocks(batches):
-            ids = np.asarray(block.column("id").cast(pa.int64()).fill_null(0))
-            keys = B.row_keys(ids, block.column("text"))
-            rows = [
-                (group, B.pack({"key": keys[part], "id": block.column("id").take(pa.array(part)), "text": block.column("text").take(pa.array(part))}))
-                for group, part in B.split((keys % np.uint64(groups)).astype(np.int64))
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["group", "blob"])
+        for block, name in _sound(batches, BLOCK_BYTES):
+            _, _, _, _, (distinct, counts) = _block_sets(block, width)
+            rows = [(number, B.pack_arrays(np.diff(codes, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T, np.minimum(counts[places], HOT).astype(np.uint8))) for number, places, codes in _by_bucket(distinct, buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([name] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block", "blob"])
 
     return run
 
 
-SETS = "key long, id long, n long, copy_of array<long>, repeated long, tokens binary, least long"
-
-
-def _candidates(width: int, percent: int):
-    def run(rows, answers):
-        place_of: dict[int, list] = {}
-        copy_of: dict[int, set[int]] = {}
-        found = [B.unpack(x) for x in answers.column("blob")]
-        for part in (p for p in found if "copy_of" in p.schema.names):
-            for key, other in zip(part.column("key").to_pylist(), part.column("copy_of").to_pylist(), strict=True):
-                copy_of.setdefault(key, set()).add(other)
-        found = [p for p in found if "step" in p.schema.names]
-        if found:
-            keys = np.concatenate([np.asarray(p.column("key")) for p in found])
-            place = np.concatenate([np.cumsum(np.asarray(p.column("step")), dtype=np.int32) for p in found])
-            count = np.concatenate([np.asarray(p.column("count")) for p in found])
-            order = np.argsort(keys)
-            keys, place, count = keys[order], place[order], count[order]
-            heads = np.flatnonzero(np.concatenate(([True], np.diff(keys) != 0)))
-            ends = np.append(heads[1:], len(keys))
-            place_of = {k: (place[a:b], count[a:b]) for k, a, b in zip(keys[heads].tolist(), heads, ends, strict=True)}
+def _bucket_answers(key, table):
+    """For every block which of its hashes other sets hold, as bits, and how many sets hold those."""
+    parts = [B.unpack_arrays(x) for x in table.column("blob").to_pylist()]
+    codes = np.concatenate([np.cumsum(np.ascontiguousarray(p[0].reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32) for p in parts])
+    weight = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    ends = np.cumsum([len(p[1]) for p in parts])
+    del parts
+    order = np.argsort(codes)
+    heads = np.flatnonzero(np.concatenate(([True], np.diff(codes[order]) != 0)))
+    total = np.minimum(np.add.reduceat(weight[order], heads), HOT).astype(np.uint8)
+    count = np.empty(len(codes), np.uint8)
+    count[order] = np.repeat(total, np.diff(np.append(heads, len(codes))))
+    rows = []
+    for name, stop, start in zip(table.column("block").to_pylist(), ends, [0, *ends[:-1]], strict=True):
+        told = count[start:stop]
+        if (told > 1).any():
+            rows.append((name, key[0].as_py(), B.pack_arrays(np.packbits(told > 1), told[told > 1])))
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["block", "bucket", "blob"])
+
+
+def _blocks_kept(batches):
+    for block, name in _sound(batches, BLOCK_BYTES):
+        blob = B.pack({c: block.column(c) for c in ("key", "id", "text")})
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
+
+
+SETS = "key long, id long, n long, copy_of long, tokens binary, least long"
+
+
+def _candidates(width: int, percent: int, buckets: int):
+    """The rows of a block; those that can have a partner in another set with their repeated hashes, rarest first."""
+
+    def run(texts, answers):
+        told = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
         out = []
-        for blob in rows.column("blob"):
-            batch = B.unpack(blob)
-            hashes, first = shingle_sets(batch.column("text"), width)
-            for i, (key, ident) in enumerate(zip(batch.column("key").to_pylist(), batch.column("id").to_pylist(), strict=True)):
-                n = int(first[i + 1] - first[i])
-                row = [key - (1 << 64) if key >> 63 else key, ident, n, sorted(copy_of[key]) if key in copy_of else None, 0, None, None]
+        for blob in texts.column("blob"):
+            block = B.unpack(blob)
+            keys, hashes, first, same, (distinct, _) = _block_sets(block, width)
+            count = np.zeros(len(distinct), np.uint8)
+            for number, places, _ in _by_bucket(distinct, buckets):
+                if number in told:
+                    bits, counts = B.unpack_arrays(told[number])
+                    count[places[np.flatnonzero(np.unpackbits(bits, count=len(places)))]] = counts
+            for i, (key, id) in enumerate(zip(keys.tolist(), block.column("id").to_pylist(), strict=True)):
+                n, stands = int(first[i + 1] - first[i]), int(same[i])
+                row = [key, id, n, None, None, None]
                 out.append(row)
-                if ident is None or row[3] is not None or key not in place_of:
+                if stands != i:
+                    # Repeated rows have one key, and the row that stands for them has the tokens.
+                    row[3] = int(keys[stands]) if keys[stands] != key else None
                     continue
-                places, counts = place_of[key]
-                # A row that is in the table several times is answered several times.
-                places, once = np.unique(places, return_index=True)
-                row[4] = len(places)
-                if 100 * len(places) < percent * n:
+                tokens = hashes[first[i]:first[i + 1]]
+                held = count[np.searchsorted(distinct, tokens)]
+                tokens, held = tokens[held > 1], held[held > 1]
+                if not len(tokens) or 100 * len(tokens) < percent * n:
                     continue
-                tokens = hashes[first[i] + places]
-                tokens = tokens[np.lexsort((tokens, counts[once]))]
-                row[5] = tokens.tobytes()
-                row[6] = int(B.mix(tokens, 0x1B873593).min().view(np.int64))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 7
-        types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int64()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "id", "n", "copy_of", "repeated", "tokens", "least"])
+                row[4] = tokens[np.lexsort((tokens, held))].tobytes()
+                row[5] = int(B.mix(tokens, 0x1B873593).min().view(np.int64))
+        types = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 6, types, strict=True)], names=["key", "id", "n", "copy_of", "tokens", "least"])
 
     return run
 
@@ -310,20 +276,50 @@ def _opened(percent: int):
     return run
 
 
-def _salted(rows: DataFrame, by: list[str], size: int) -> DataFrame:
+def _salted(rows: DataFrame, by: list[str], size: int, salt: int = 0) -> DataFrame:
     """``rows`` with a ``part`` that cuts each value of ``by`` into parts of about ``size`` rows."""
     large = stored(rows.groupBy(*by).agg(F.ceil(F.count("*") / size).alias("pieces")).filter("pieces > 1"), "large")
-    return rows.join(large, by, "left").withColumn("part", F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("key", F.lit("part")), "pieces")))
+    return rows.join(large, by, "left").withColumn("part", F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("key", F.lit("part"), F.lit(salt)), "pieces")))
 
 
 def _classes(sets: DataFrame, percent: int) -> DataFrame:
-    """``key`` and ``class`` of every set; those in a class are linked through leaders."""
-    met = _salted(sets, ["least"], PART).groupBy("least", "part").applyInArrow(_leaders(percent), "key long, leader long")
-    return stored(met.select("key", F.col("leader").alias("class")), "classes")
+    """``key`` and ``class`` of every set; those in a class are linked through leaders.
+
+    Sets of one ``least`` that are cut into parts have leaders in each. The leaders meet again, in other parts, until
+    one part is left or few of them merge.
+    """
+    lead = lambda rows, salt: _salted(rows, ["least"], PART, salt).groupBy("least", "part").applyInArrow(_leaders(percent), "key long, leader long")
+    classes = stored(lead(sets, 0).select("key", F.col("leader").alias("class")), "classes")
+    large = stored(sets.groupBy("least").agg(F.count("*").alias("n")).filter(F.col("n") > PART).select("least"), "cut")
+    heads = stored(sets.join(large, "least", "left_semi").join(classes.filter("key = class").select("key"), "key", "left_semi").dropDuplicates(["key"]), "leaders")
+    count = heads.count()
+    for salt in range(1, ROUNDS):
+        if not count:
+            break
+        merged = stored(lead(heads, salt).filter("key <> leader").select(F.col("key").alias("class"), "leader"), "merged")
+        few = merged.count() < 0.1 * count
+        classes = stored(classes.join(merged, "class", "left").select("key", F.coalesce("leader", "class").alias("class")), "classes")
+        heads = heads.join(merged.select(F.col("class").alias("key")), "key", "left_anti")
+        large = heads.groupBy("least").agg(F.count("*").alias("n")).filter("n > 1").select("least")
+        heads = stored(heads.join(large, "least", "left_semi"), "leaders")
+        count = 0 if few else heads.count()
+    return classes
+
+
+def _neighbours_in_columns(matrix: DataFrame) -> DataFrame:
+    """Per column and class the next larger class, with its first part, in slices of the column of about ``PART`` classes."""
+    cells = matrix.groupBy("token", "cell").agg(F.min_by(F.struct("part", "least_n", "most_n", "most_rest"), "part").alias("of"))
+    pieces = stored(cells.groupBy("token").agg(F.ceil(F.count("*") / PART).alias("pieces")).filter("pieces > 1"), "large")
+    cells = cells.join(pieces, "token", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("cell.class", F.lit("slice")), "pieces"), F.lit(0)))
+    after = lambda name: F.lead(name).over(Window.partitionBy("token", "piece").orderBy("cell"))
+    return cells.select("token", F.col("cell").alias("class"), after("cell").alias("cell"), after("of").alias("of")).filter("cell IS NOT NULL").select("token", "class", "cell", "of.*")
 
 
 def _links_between(sets: DataFrame, classes: DataFrame, percent: int, some: int | None) -> DataFrame:
-    """Links ``a``, ``b`` between classes. ``some`` limits the queries of a class per column and the columns of a set."""
+    """Links ``a``, ``b`` between classes.
+
+    ``some`` limits the queries of a class per column and the columns of a set, and a class then asks only the next class of a column.
+    """
     sizes = classes.groupBy("class").agg(F.count("*").alias("size"))
     member = _salted(classes.join(sizes, "class"), ["class"], MEMBERS)
     member = stored(member.select("key", F.struct("size", "class").alias("class"), "part"), "members")
@@ -337,7 +333,8 @@ def _links_between(sets: DataFrame, classes: DataFrame, percent: int, some: int
     matrix = cells.groupBy("token", F.col("class").alias("cell"), "part").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest"))
     # A link has common >= percent / (100 + percent) of both sizes, none of it before the first common column.
     fits = F.expr(f"class < cell AND {percent} * n <= 100 * most_n AND {percent} * least_n <= 100 * n AND {100 + percent} * least(rest, most_rest) >= {percent} * (n + least_n)")
-    asked = cells.select("token", "rest", "key", "n", "class").join(matrix, "token").filter(fits)
+    asking = cells.select("token", "rest", "key", "n", "class")
+    asked = (asking.join(matrix, "token") if some is None else asking.join(_neighbours_in_columns(matrix), ["token", "class"])).filter(fits)
     asked = stored(asked.select("key", F.col("class.class").alias("class"), F.col("cell.class").alias("cell"), "part").distinct(), "queries")
     # Many queries of a cell are cut into pieces, each with all members of the cell.
     pieces = stored(asked.groupBy("cell", "part").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("pieces")), "parts")
@@ -347,14 +344,13 @@ def _links_between(sets: DataFrame, classes: DataFrame, percent: int, some: int
         "key", F.lit(None).cast("long").alias("class"), "cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"),
     )
     wanted = stored(queries.union(held), "opened")
-    near = F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted
-    return sets.select("key", "n", "tokens").join(near, "key").groupBy("cell", "part", "piece").applyInArrow(_opened(percent), "a long, b long")
+    return sets.select("key", "n", "tokens").join(wanted, "key").groupBy("cell", "part", "piece").applyInArrow(_opened(percent), "a long, b long")
 
 
-def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """``classes`` with the smallest class that links reach."""
-    found = components(links).select(F.col("id").alias("class"), "component")
-    return stored(classes.join(found, "class", "left").select("key", F.coalesce("component", "class").alias("class")), "joined")
+def _joined(classes: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """``classes`` with the smallest class that links reach, and how many classes that makes less."""
+    found = stored(components(links).select(F.col("id").alias("class"), "component").filter("class <> component"), "found")
+    return stored(classes.join(found, "class", "left").select("key", F.coalesce("component", "class").alias("class")), "joined"), found.count()
 
 
 def _chains(copies: DataFrame, classes: DataFrame) -> DataFrame:
@@ -363,47 +359,85 @@ def _chains(copies: DataFrame, classes: DataFrame) -> DataFrame:
     Most copies hang on one key that is no copy, which needs no edge; left are those of several keys and those with
     copies of their own.
     """
-    several = copies.filter(F.size("copy_of") > 1).select(F.col("copy_of")[0].alias("a"), F.explode("copy_of").alias("b"))
-    targets = copies.select(F.explode("copy_of").alias("key")).distinct()
-    between = copies.join(targets, "key", "left_semi").select(F.col("key").alias("a"), F.col("copy_of")[0].alias("b"))
-    edges = stored(several.union(between).distinct(), "chains")
+    copies = copies.distinct()
+    several = copies.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    targets = copies.select(F.col("copy_of").alias("key")).distinct()
+    edges = copies.join(several.union(targets).distinct(), "key", "left_semi").select(F.col("key").alias("a"), F.col("copy_of").alias("b"))
+    edges = stored(edges, "chains")
     ends = edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct()
     return components(edges.union(classes.join(ends, "key", "left_semi").select("key", "class")))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links, of every row."""
-    slim = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    total = B.text_bytes(slim)
-    buckets, groups = B.parts(docs, total, B.BUCKET_BYTES // 2), B.parts(docs, total, B.GROUP_BYTES)
+def _rooted(slim: DataFrame, width: int, percent: int) -> DataFrame:
+    """``key``, ``id``, ``n`` and ``root`` of every ``id``, ``text``, ``key`` row; rows of a component have one root. Null ids have none."""
+    buckets = B.parts(slim, B.text_bytes(slim), B.BUCKET_BYTES)
     answers = (
-        slim.mapInArrow(_sets_to_buckets(width, buckets, groups), "bucket long, blob binary")
-        .groupBy("bucket").applyInArrow(_bucket_answers(buckets, groups), "group long, blob binary")
+        slim.mapInArrow(_hashes_to_buckets(width, buckets), "bucket long, block long, blob binary")
+        .groupBy("bucket").applyInArrow(_bucket_answers, "block long, bucket long, blob binary")
     )
-    shipped = slim.mapInArrow(_rows_to_groups(groups), "group long, blob binary")
-    rows = stored(shipped.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_candidates(width, percent), SETS), "sets")
+    kept = slim.mapInArrow(_blocks_kept, "block long, blob binary")
+    rows = stored(kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_candidates(width, percent, buckets), SETS), "sets")
 
     sets = rows.filter("tokens IS NOT NULL").select("key", "n", "tokens", "least")
     classes = _classes(sets, percent)
-    for some in (FIRST, None):
-        classes = _joined(classes, _links_between(sets, classes, percent, some))
-
-    # From rows to copies in their block, to classes and along chains of copies; a class is named by its smallest id.
+    for _ in range(ROUNDS):
+        before = classes.select("class").distinct().count()
+        classes, less = _joined(classes, _links_between(sets, classes, percent, FIRST))
+        if less < 0.05 * before:
+            break
+    classes, _ = _joined(classes, _links_between(sets, classes, percent, None))
+
+    # From rows to copies in their block, to classes and along chains of copies.
     chains = _chains(rows.filter("copy_of IS NOT NULL").select("key", "copy_of"), classes)
-    placed = rows.select("id", "n", F.coalesce(F.col("copy_of")[0], "key").alias("key")).join(classes, "key", "left")
-    placed = placed.select("id", "n", F.coalesce("class", "key").alias("class"))
-    placed = placed.join(chains.withColumnRenamed("id", "class"), "class", "left").select("id", "n", F.coalesce("component", "class").alias("root"))
-    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    return placed.join(least, "root").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
-    )
+    placed = rows.select("key", "id", "n", F.coalesce("copy_of", "key").alias("of"))
+    placed = answered(placed, classes.withColumnRenamed("key", "of"), "of", "id")
+    placed = stored(placed.select("key", "id", "n", F.coalesce("class", "of").alias("of")), "placed")
+    placed = answered(placed, chains.withColumnRenamed("id", "of"), "of", "id")
+    return stored(placed.select("key", "id", "n", F.coalesce("component", "of").alias("root")), "rooted")
+
+
+def _row_key(id: Column, text: Column) -> Column:
+    return F.xxhash64(id, text).alias("key")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links, of every row."""
+    slim = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).select("id", "text", _row_key(F.col("id"), F.col("text")))
+    rooted = _rooted(slim, width, percent)
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    found = answered(rooted, least, "root", "id").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    alone = slim.filter("id IS NULL").mapInArrow(_set_sizes(width), "doc_id long, n_shingles long, component_id long")
+    return found.union(alone)
+
+
+def _set_sizes(width: int):
+    def run(batches):
+        for block in B.blocks(batches, size=BLOCK_BYTES):
+            _, first = shingle_sets(block.column("text"), width)
+            nothing = pa.nulls(block.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, pa.array(np.diff(first)), nothing], names=["doc_id", "n_shingles", "component_id"])
+
+    return run
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of every component the document with the smallest id stays.
+    """One row of ``docs`` of every component, with all its columns: that with the smallest id, of those the one whose text has the smallest hash.
 
-    Rows with a null id stay. Rows that are repeated under one id stay or go together.
+    Rows count, not ids: another text under the same id is a document of its own. A null id comes after all others. Of
+    rows that agree in id and text one stays.
     """
-    found = near_duplicates(docs, width, percent, id, text)
-    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("`" + id.replace("`", "``") + "`") == F.col("_gone"), "left_anti")
+    column = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    given = F.coalesce(column(id).cast("long"), F.lit(LAST))
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), given.alias("id"), column(text).alias("text")).select("row", "id", "text", _row_key(F.col("id"), F.col("text")))
+    rooted = _rooted(rows.select("id", "text", "key"), width, percent)
+    times = rooted.groupBy("root", "id", "key").agg(F.count("*").alias("times"))
+    first = rooted.groupBy("root").agg(F.min(F.struct("id", "key")).alias("first"))
+    marked = answered(stored(times, "times"), first, "root", "key").select("id", "key", (F.struct("id", "key") != F.col("first")).alias("gone"), "times")
+    # A row can be in the table under one root only, since equal rows have one key.
+    marked = stored(marked.filter("gone OR times > 1").select("id", "key", "gone"), "marked")
+    found = rows.join(marked, ["id", "key"], "left")
+    kept = found.filter("gone IS NULL").select("row.*")
+    if marked.filter("NOT gone").isEmpty():
+        return kept
+    again = found.filter("NOT gone").groupBy("id", "key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return kept.union(again.select("row.*"))

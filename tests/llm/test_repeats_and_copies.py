@@ -96,9 +96,38 @@ def test_rows_repeated_in_several_blocks_chain_their_copies(spark):
 
 def test_one_of_each_and_empty_table(spark):
     text = " ".join(f"p{i}" for i in range(50))
-    docs = spark.createDataFrame([(5, text, 1), (3, text + " q", 2), (9, "other words", 3), (None, text, 4)], "doc_id long, text string, _gone int").withColumnRenamed("_gone", "gone")
-    assert sorted((r.doc_id or 0, r.gone) for r in jaccard.one_of_each(docs).collect()) == [(0, 4), (3, 2), (9, 3)]
+    docs = spark.createDataFrame([(5, text, 1), (3, text + " q", 2), (9, "other words", 3), (None, text, 4), (None, "alone", 5), (None, None, 6), (7, None, 7)], "doc_id long, text string, key int").withColumnRenamed("key", "root")
+    assert sorted((r.doc_id or 0, r.root) for r in jaccard.one_of_each(docs).collect()) == [(0, 5), (0, 6), (3, 2), (7, 7), (9, 3)]
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+    assert jaccard.one_of_each(docs.limit(0)).columns == ["doc_id", "text", "root"]
+
+
+def test_one_of_each_keeps_one_row_of_every_text(spark):
+    words = [f"v{i}" for i in range(200)]
+    one, two = " ".join(words[:60]), " ".join(words[100:160])
+    # Row 5 has a copy of an earlier text and a text of its own; row 9 is there twice, in one block and in two.
+    rows = [(3, one), (5, one), (5, two), (7, two + " more"), (9, "same words here"), (9, "same words here"), (8, "x y z"), (8, "x y z")]
+    docs = in_blocks(spark, [rows[:5], rows[5:7], rows[7:]]).withColumn("source", F.lit("a"))
+    kept = sorted((r.doc_id, r.text, r.source) for r in jaccard.one_of_each(docs).collect())
+    assert kept == [(3, one, "a"), (5, two, "a"), (8, "x y z", "a"), (9, "same words here", "a")]
+
+
+def test_one_large_group_of_near_copies_becomes_few_classes(spark, monkeypatch):
+    for name, value in (("PART", 8), ("MEMBERS", 4), ("QUERIES", 4), ("HOT", 6)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(components, "SHARED", 10)
+    rnd = __import__("random").Random(3)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for _ in range(rnd.randint(0, 2)):
+            copy[rnd.randrange(100)] = f"c{rnd.randrange(50)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {i: found for (i, _), found in zip(rows, brute.near_components(rows), strict=True)}
+    assert jaccard.one_of_each(docs).count() == len({c for _, c in got.values()})
 
 
 def test_components_of_paths_and_stars(spark):
