@@ -329,6 +329,8 @@ def _links_between(sets: DataFrame, classes: DataFrame, percent: int, some: int
         place = F.row_number().over(Window.partitionBy("token", "class").orderBy("key"))
         cells = cells.withColumn("place", place).filter(F.col("place") <= some).drop("place")
     spread = stored(cells.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("token"), "columns")
+    if spread.isEmpty():
+        return classes.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
     cells = stored(cells.join(spread, "token", "left_semi"), "cells")
     matrix = cells.groupBy("token", F.col("class").alias("cell"), "part").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest"))
     # A link has common >= percent / (100 + percent) of both sizes, none of it before the first common column.

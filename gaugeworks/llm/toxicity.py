@@ -4,7 +4,8 @@ The features of a text are densities of a lexicon, how close its entries stand t
 rates of capitals, punctuation and obfuscation. Lexicon entries are words and word beginnings that
 are far more frequent in toxic texts; at most ``LEXICON`` are learned, together with the trees, from about
 ``SAMPLE`` texts per label. Digits and signs between letters are read as the letters they stand for.
-A third of the sample is kept from the trees and calibrates their probability.
+Their probability is calibrated on texts that neither lexicon nor trees saw: each half of the sample is judged by a
+lexicon and trees of the other half, and one isotonic curve is fitted to both.
 
 Defined cases: a null or empty text has features of 0 and the score that the trees give those; a null
 id is carried; repeated rows are scored each; an empty table gives an empty result. Fitting needs both
@@ -13,6 +14,7 @@ labels. Other columns play no part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -23,7 +25,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gaugeworks.llm import blocks as B
 from gaugeworks.llm.components import stored
@@ -31,10 +32,13 @@ from gaugeworks.llm.sampling import bounded
 
 SAMPLE = 3000
 LEXICON = 2000
-# An entry is in this many toxic texts at least, and this many times as often in toxic texts.
-LEAST_TEXTS = 3
+# An entry is in this many and this share of the toxic texts at least, and this many times as often in toxic texts.
+LEAST_TEXTS = 4
+LEAST_SHARE = 0.01
 LEAST_RATIO = 8.0
 NEAR = 5
+# Features take many arrays as long as the text, so blocks are smaller than elsewhere.
+BLOCK_BYTES = 1 << 20
 BEGINNINGS = (4, 5, 6)
 SECOND_PERSON = "you your yours yourself u du dich dir dein deine ihr euch euer tu te toi ton ta vous votre vos tú ti tus usted ustedes vosotros".split()
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "u"}
@@ -131,7 +135,7 @@ def _features(lexicon: list[tuple[int, float]]):
         joined = np.frombuffer(b"".join(people), np.uint8)
         ends = np.cumsum([len(p) for p in people])
         second = np.sort(B.word_hashes(joined, np.concatenate(([0], ends[:-1])), ends))
-        for block in B.blocks(batches):
+        for block in B.blocks(batches, size=BLOCK_BYTES):
             t = _tokens(block.column("text"))
             count, n = block.num_rows, len(t.starts)
             weight = np.zeros(n)
@@ -183,29 +187,45 @@ def _features(lexicon: list[tuple[int, float]]):
     return run
 
 
-def fit(docs: DataFrame, label: str = "label", text: str = "text", id: str = "doc_id", sample: int = SAMPLE, trees: int = 20, depth: int = 4) -> Model:
-    """Fit on about ``sample`` texts of each label 0 and 1; rows with another or no label are left out."""
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(label).cast("int").alias("label"), F.col(text).alias("text")).filter("label IN (0, 1)")
-    chosen = stored(bounded(rows, "label", "id", sample), "labelled")
-    sizes = dict(chosen.groupBy("label").count().collect())
+def _learned(texts: DataFrame, trees: int, depth: int) -> tuple[list, Any]:
+    """The lexicon (hash, entry, weight) of the texts and trees over their features; None with one label only."""
+    sizes = dict(texts.groupBy("label").count().collect())
     if set(sizes) != {0, 1}:
-        raise ValueError("both labels are needed")
+        return [], None
     rate = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("other") + 0.5) / (sizes[0] + 1))
+    least = max(LEAST_TEXTS, LEAST_SHARE * sizes[1])
     found = (
-        chosen.mapInArrow(_texts_with, "hash long, entry string, toxic long, other long").groupBy("hash")
+        texts.mapInArrow(_texts_with, "hash long, entry string, toxic long, other long").groupBy("hash")
         .agg(F.min("entry").alias("entry"), F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        .withColumn("weight", rate).filter((F.col("toxic") >= LEAST_TEXTS) & (F.col("weight") >= float(np.log(LEAST_RATIO))))
-        .orderBy((F.col("weight") * F.col("toxic")).desc(), "hash").limit(LEXICON).collect()
+        .withColumn("weight", rate).filter((F.col("toxic") >= least) & (F.col("weight") >= float(np.log(LEAST_RATIO))))
+        .orderBy((F.col("weight") * F.col("toxic")).desc(), "hash").limit(LEXICON).select("hash", "entry", "weight").collect()
     )
-    lexicon = [(r.hash, r.weight) for r in found]
-    values = stored(chosen.mapInArrow(_features(lexicon), "id long, label int, values array<double>"), "features")
-    values = values.coalesce(4).withColumn("features", array_to_vector("values")).withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(3)) == 0)
-    kept = values.filter("NOT held")
-    kept = kept if kept.select("label").distinct().count() == 2 else values
-    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=1).fit(kept)
-    rest = model.transform(values.filter("held")).select(F.col("label").cast("double").alias("label"), vector_to_array("probability")[1].alias("margin"))
-    curve = IsotonicRegression(labelCol="label", featuresCol="margin").fit(rest) if rest.select("label").distinct().count() == 2 else None
-    return Model(lexicon, [r.entry for r in found], model, curve)
+    classifier = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=1)
+    return found, classifier.fit(_with_features(texts, found).select("label", "features"))
+
+
+def _with_features(texts: DataFrame, lexicon: list) -> DataFrame:
+    values = stored(texts.mapInArrow(_features([(r.hash, r.weight) for r in lexicon]), "id long, label int, values array<double>"), "features")
+    return values.coalesce(4).withColumn("features", array_to_vector("values"))
+
+
+def fit(docs: DataFrame, label: str = "label", text: str = "text", id: str = "doc_id", sample: int = SAMPLE, trees: int = 20, depth: int = 4) -> Model:
+    """Fit on about ``sample`` texts of each label 0 and 1; rows with another or no label are left out."""
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(label).cast("int").alias("label"), F.col(text).alias("text")).filter("label IN (0, 1)")
+    chosen = stored(bounded(rows, "label", "id", sample), "labelled")
+    lexicon, model = _learned(chosen, trees, depth)
+    if model is None:
+        raise ValueError("both labels are needed")
+    half = F.pmod(F.xxhash64("id", F.lit("held")), F.lit(2))
+    judged = None
+    for held in range(2):
+        theirs, judge = _learned(chosen.filter(half != held), trees, depth)
+        if judge is not None:
+            rest = judge.transform(_with_features(chosen.filter(half == held), theirs))
+            rest = rest.select(F.col("label").cast("double").alias("label"), vector_to_array("probability")[1].alias("margin"))
+            judged = rest if judged is None else judged.union(rest)
+    curve = IsotonicRegression(labelCol="label", featuresCol="margin").fit(judged) if judged is not None and judged.select("label").distinct().count() == 2 else None
+    return Model([(r.hash, r.weight) for r in lexicon], [r.entry for r in lexicon], model, curve)
 
 
 def _scored(rows: DataFrame, model: Model) -> DataFrame:
@@ -225,7 +245,18 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
 
 
 def accepted(docs: DataFrame, model: Model, below: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is lower than ``below``."""
-    rows = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("values", T.ArrayType(T.DoubleType()))])
-    return _scored(rows.mapInArrow(_features(model.lexicon), schema), model).filter(F.col("score") < below).select("row.*")
+    """The rows of ``docs``, with all their columns, whose score is lower than ``below``.
+
+    Only texts go to Python and only features come back; the rows wait in the JVM.
+    """
+    features = _features(model.lexicon)
+
+    @F.arrow_udf("array<double>")
+    def values(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = [b.column("values") for b in features(iter([pa.RecordBatch.from_arrays([column], names=["text"])]))]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
+
+    rows = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("values", values(F.col("row")[text]))
+    return _scored(rows, model).filter(F.col("score") < below).select("row.*")
