@@ -185,6 +185,12 @@ CAPABILITY_TEXTS = {
     "distribution_type": "Distribution analysis requires usage/circulation data.",
     "query_ready": "Ready: {} rows will be indexed for natural language queries.",
 }
+# Reasons of the kind of analysis recommended for a dataset.
+CLASSIFICATION_TEXTS = {
+    "qualitative": "Survey datasets contain text responses — best suited for sentiment and theme analysis.",
+    "quantitative": "{} datasets contain numeric metrics — best suited for correlation, trend, and distribution analysis.",
+    "neither": "Unknown dataset type.",
+}
 # Sentences of suggested descriptions.
 DESCRIPTION_TEXTS = {
     "size": "{} dataset with {} records and {} fields.",

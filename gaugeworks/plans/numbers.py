@@ -136,14 +136,6 @@ def data_dictionary(spark, sf):
     return profile.data_dictionary(table(spark, sf, "customer")).withColumn("examples", F.array_join("examples", "|"))
 
 
-@query("column_kinds", """
-    SELECT * FROM (VALUES ('doc_id', false, false, true), ('text', true, false, false), ('lang', false, true, false),
-                          ('source', false, true, false), ('n_chars', false, false, true))
-        AS v("column", is_text, is_category, is_numeric) WHERE (SELECT count(*) FROM documents) > 0""")
-def column_kinds(spark, sf):
-    return profile.column_kinds(table(spark, sf, "documents")).select("column", "is_text", "is_category", "is_numeric")
-
-
 @query("coded_missing", """
     SELECT 'p_size' AS "column", avg(CASE WHEN p_size = 7 THEN 1.0 ELSE 0.0 END) AS rate FROM part""", "rate")
 def coded_missing(spark, sf):
@@ -152,82 +144,11 @@ def coded_missing(spark, sf):
     return profile.coded_missing_rates(coded)
 
 
-@query("missing_columns", """
-    SELECT CAST(1 AS INTEGER) AS position, 'all_coded' AS "column" WHERE (SELECT count(*) FROM labels) > 0""")
-def missing_columns(spark, sf):
-    labels = table(spark, sf, "labels")
-    return profile.missing_columns(labels.select("doc_id", F.concat(F.lit("-66"), F.lit("6")).alias("all_coded"), "quality"))
-
-
 @query("top_values", "SELECT lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL ORDER BY n DESC, value LIMIT 8")
 def top_values(spark, sf):
     return profile.top_values(table(spark, sf, "documents"), "lang")
 
 
-@query("dataset_profile")
-def dataset_profile(spark, sf):
-    return profile.dataset_profile(table(spark, sf, "documents"), "survey", "documents", 1)
-
-
-def _profiles(spark, sf):
-    parts = [
-        profile.dataset_profile(table(spark, sf, name), kind, name, i)
-        for i, (name, kind) in enumerate((("documents", "survey"), ("orders", "usage"), ("events", "events")), 1)
-    ]
-    return union_all(parts)
-
-
-@query("combined_profiles", """
-    SELECT CAST(3 AS BIGINT) AS dataset_count,
-           (SELECT count(*) FROM documents) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM events) AS total_rows,
-           'events,survey,usage' AS types, true AS has_text, true AS has_numeric, true AS has_dates""")
-def combined_profiles(spark, sf):
-    combined = profile.combine_profiles(_profiles(spark, sf))
-    return combined.drop("warnings").withColumn("types", F.array_join("types", ","))
-
-
-def _capability_sql() -> str:
-    rows = lambda t: f"(SELECT count(*) FROM {t})"
-    qual_no = lambda k: f"'Dataset type is ''{k}'' — qualitative analysis requires survey/text data.'"
-    out = []
-
-    def add(name, analysis, available, reason):
-        out.append(f"SELECT '{name}' AS dataset, '{analysis}' AS analysis, {available} AS available, {reason} AS reason")
-
-    for name, kind, texts, usable, date, category, groups in (
-        ("orders", "usage", 2, 3, "o_orderdate", "o_orderstatus", "(SELECT count(DISTINCT o_orderstatus) FROM orders)"),
-        ("events", "events", 2, 3, None, "event_type", "(SELECT count(DISTINCT event_type) FROM events)"),
-    ):
-        for a in ("qualitative_sentiment", "qualitative_themes"):
-            add(name, a, "false", qual_no(kind))
-        add(name, "correlation", "true", f"'Ready: {usable} numeric columns with sufficient data.'")
-        if date:
-            add(name, "trend", "true", f"'Ready: date column ''{date}'' + {usable} numeric metric(s).'")
-        else:
-            add(name, "trend", "false", "'No date column detected — trend analysis requires time series data.'")
-        add(name, "comparative", "true", f"'Ready: can compare across ''{category}'' (' || {groups} || ' groups).'")
-        add(name, "distribution", "true", f"'Ready: {usable} numeric column(s) available.'")
-        add(name, "rag_query", "true", f"'Ready: ' || {rows(name)} || ' rows will be indexed for natural language queries.'")
-    n = rows("documents")
-    for a in ("qualitative_sentiment", "qualitative_themes"):
-        add("documents", a, "true", f"'Ready: ' || {n} || ' text responses across 3 text column(s).'")
-    add("documents", "correlation", "false", "'Correlation requires numeric usage/circulation data.'")
-    add("documents", "trend", "false", "'No date column detected — trend analysis requires time series data.'")
-    add("documents", "comparative", "false", "'Comparative analysis requires usage/circulation data.'")
-    add("documents", "distribution", "false", "'Distribution analysis requires usage/circulation data.'")
-    add("documents", "rag_query", "true", f"'Ready: ' || {n} || ' rows will be indexed for natural language queries.'")
-    return " UNION ALL ".join(out)
-
-
-@query("capability_matrix", _capability_sql())
-def capability_matrix(spark, sf):
-    parts = [
-        profile.capability_matrix(table(spark, sf, name), kind).select(F.lit(name).alias("dataset"), "*")
-        for name, kind in (("orders", "usage"), ("events", "events"), ("documents", "survey"))
-    ]
-    return union_all(parts)
-
-
 def _edge_sql() -> str:
     numeric = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     names = (*numeric, "l_returnflag", "l_linestatus", "l_shipdate")
@@ -296,12 +217,6 @@ def registry_rollup(spark, sf):
     return profile.registry_rollup(registry_frame(spark, sf))
 
 
-@query("classified_datasets", f"""
-    SELECT dataset_id, true AS qualitative, false AS quantitative, 'qualitative' AS recommended FROM ({REGISTRY_SQL})""")
-def classified_datasets(spark, sf):
-    return profile.classify_datasets(registry_frame(spark, sf)).select("dataset_id", "qualitative", "quantitative", "recommended")
-
-
 # Descriptive statistics.
 
 

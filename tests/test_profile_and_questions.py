@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.text import normalized_key, token_estimate
-from gaugeworks.operators import profile, questions
+from gaugeworks.operators import cells, profile, questions
 
 
 def test_text_profile(spark):
@@ -33,6 +33,35 @@ def test_empty_and_all_missing(spark):
     assert profile.dataset_profile(spark.createDataFrame([("x",)], "a string"), "usage").first()["warnings"][0] == "No obvious numeric metric column was detected."
 
 
+def test_registry_profiles_equal_those_of_single_tables(spark):
+    long = "positive " * 20
+    tables = [
+        (spark.createDataFrame([(1, "en", long), (2, "en", long), (None, "es", "bad")], "id int, language string, sentiment string"), 7, "a", "survey"),
+        (spark.createDataFrame([(1.5, -666.0, None), (float("nan"), 2.0, None)], "value double, other float, gone string"), 3, "b", "usage"),
+        (spark.createDataFrame([], "x string, when date"), 5, "c", "circulation"),
+        (spark.createDataFrame([([1, 2], {"k": "v"}, True)], "list array<int>, m map<string,string>, `yes.no` boolean"), 9, "d", "other"),
+        (spark.createDataFrame([("n/a", "de"), ("NA", "de")], "lang string, language string"), 11, "e", "survey"),
+    ]
+    together = cells.registry(tables)
+    got = {r.dataset_id: r for r in profile.registry_profiles(together).collect()}
+    facts = profile.data_dictionary(together.cells()).collect()
+    matrix = profile.registry_capabilities(together).collect()
+    for df, i, name, kind in tables:
+        assert got[i] == profile.dataset_profile(df, kind, name, i).first()
+        assert [tuple(r)[1:] for r in sorted(facts) if r.dataset_id == i] == sorted(tuple(r) for r in profile.data_dictionary(df).collect())
+        assert sorted(tuple(r)[2:] for r in matrix if r.dataset_id == i) == sorted(tuple(r) for r in profile.capability_matrix(df, kind).collect())
+    assert got[7].languages == ["en", "es"] and got[7].sentiment_labels == [long, "bad"]
+    # The first column with a hint holds nothing but missing values, so the next one counts.
+    assert got[11].languages == ["de"] and got[5].row_count == 0
+
+
+def test_registry_cells_are_exploded_once(spark):
+    tables = [(spark.range(5).toDF("a"), 1, "a", "usage"), (spark.range(3).selectExpr("id b", "id c"), 2, "b", "usage")]
+    plan = profile.registry_profiles(cells.registry(tables))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("variant_explode") >= 1 and "CartesianProduct" not in plan
+    assert "reason" in profile.classify_datasets(cells.registry(tables).datasets).columns
+
+
 def test_dictionary(spark):
     long = "y" * 200
     df = spark.createDataFrame([(1, 2.5, "b", long), (2, None, "a", long + "1"), (2, float("nan"), None, long)], "id int, score double, kind string, body string")
