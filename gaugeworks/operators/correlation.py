@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
+from math import isqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks import constants as K
+from gaugeworks.functions.concordance import concordance
 from gaugeworks.functions.joins import attach, union_all
 from gaugeworks.functions.tails import t_p, z_p
 from gaugeworks.functions.text import measure
 from gaugeworks.operators import ordered
 
+# At most so many times is a grid of slices cut into slices again.
+MOST_LEVELS = 4
+
 
 def _complete(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     return df.select(*by, *[measure(c).alias(c) for c in columns]).dropna(subset=list(columns))
@@ -72,16 +79,9 @@ def spearman(
     return _finish(_moments(ranked_columns(df, columns, by, per_slice), pairs, by), by, _student_p())
 
 
-def _dense(rows: DataFrame, column: str, by: Sequence[str], name: str, per_slice: int) -> DataFrame:
-    """(by, column): 0-based dense rank, number of distinct values and rows per value."""
-    distinct = ordered.value_counts(rows, column, by).withColumn("_one", F.least(F.col("n"), F.lit(1)))
-    placed = ordered.running_before(distinct, column, ["_one"], by, per_slice)
-    return placed.select(*by, column, F.col("_one_before").alias(name), F.col("_one_all").alias(f"{name}_d"), "n")
-
-
-def _ties(dense: DataFrame, by: Sequence[str], tag: str) -> DataFrame:
+def _ties(rows: DataFrame, column: str, by: Sequence[str], tag: str) -> DataFrame:
     t = F.col("n").cast("double")
-    return dense.groupBy(*by).agg(
+    return ordered.value_counts(rows, column, by).groupBy(*by).agg(
         F.sum(t).alias(f"_n{tag}"),
         F.sum(t * (t - 1)).alias(f"_t2{tag}"),
         F.sum(t * (t - 1) * (2 * t + 5)).alias(f"_tv{tag}"),
@@ -89,58 +89,72 @@ def _ties(dense: DataFrame, by: Sequence[str], tag: str) -> DataFrame:
     )
 
 
-def _kendall_pair(rows: DataFrame, a: str, b: str, by: Sequence[str], per_slice: int) -> DataFrame:
+def _cut_into_slices(points: DataFrame, axis: str, by: Sequence[str], size: int) -> DataFrame:
+    """``points`` with ``<axis>_slice``, which rises with the axis; a slice has about ``size`` points or one value.
+
+    Cut points are those of a hash sample of the points. A value that the sample holds more than once is frequent and becomes a
+    slice of its own.
+    """
+    sample = points.where(F.pmod(F.xxhash64("_x", "_y"), F.lit(size)) == 0).groupBy(*by, axis).agg(F.count(F.lit(1)).alias("_times"))
+    own = F.sort_array(F.collect_list(F.when(F.col("_times") > 1, F.col(axis)))).alias("_own")
+    cuts = sample.groupBy(*by).agg(F.sort_array(F.collect_list(axis)).alias("_cut"), own)
+    tagged = attach(points, ordered.headed(cuts), by, "left")
+    alone = F.coalesce(F.array_contains("_own", F.col(axis)), F.lit(False))
+    number = 2 * ordered.slot(F.col(axis)) + F.when(alone, 0).otherwise(1)
+    return tagged.withColumns({f"{axis}_slice": number, f"{axis}_alone": alone}).drop("_cut", "_own", "_block", "_head")
+
+
+def _counted(by: Sequence[str], groups: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
+    """Concordance of the points of every group of ``keys``, summed by ``by``."""
+
+    def count(table: pa.Table) -> pa.Table:
+        columns = [np.asarray(table.column(c)) for c in (x, y, "w")]
+        head = table.slice(0, 1).select(list(by))
+        return head.append_column("_part", pa.array([concordance(*columns)]))
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in groups.select(*by).dtypes)
+    found = groups.groupBy(*keys).applyInArrow(count, f"{kinds}{', ' if kinds else ''}_part double")
+    return found.groupBy(*by).agg(F.sum("_part").alias("_part"))
+
+
+def _levels(rows: DataFrame, size: int) -> tuple[int, int]:
+    """How often points are cut into slices, and of how many points, until the grid of slices is small.
+
+    Taken from the optimizer's estimate of the bytes, so it needs no job; the result does not depend on it.
+    """
+    points = min(int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // 16, 10**13)
+    size = max(size, 3 * isqrt(points))
+    levels, left = 0, points
+    while left > size and levels < MOST_LEVELS:
+        levels, left = levels + 1, min(left, (left // size + 1) ** 2)
+    return levels, size
+
+
+def _kendall_pair(rows: DataFrame, a: str, b: str, by: Sequence[str], size: int) -> DataFrame:
     """Concordant minus discordant pairs without forming a pair.
 
-    Two rows with different y ranks differ in a highest bit. At each bit level, rows that
-    share the bits above it form a block, and the rows of the block with a 0 at the level
-    lie below those with a 1. So the pairs are counted level by level as running counts of
-    zeros before ones (and ones before zeros) in the order of x. The x order is cut into
-    about sqrt(D) runs of as many distinct values, so neither window grows beyond that.
+    Points are cut into slices of x and of y. Pairs inside a slice of x are counted there by merging; pairs of two slices of x but
+    one of y inside that; all others are the pairs of the coarse grid of slices, whose cells are points again. Frequent values are
+    slices of their own, inside which no pair counts along that axis.
     """
-    points = rows.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("w"))
-    x_rank, y_rank = _dense(rows, a, by, "_x", per_slice), _dense(rows, b, by, "_y", per_slice)
-    points = attach(points, x_rank.drop("n"), [*by, a])
-    points = attach(points, y_rank.drop("n"), [*by, b])
-    top_bit = F.greatest(F.ceil(F.log2(F.col("_y_d").cast("double"))) - 1, F.lit(0)).cast("int")
-    run = F.floor(F.col("_x") / F.ceil(F.sqrt(F.col("_x_d").cast("double"))))
-    leveled = points.select(*by, "_x", "_y", "w", run.alias("_run"), F.explode(F.sequence(F.lit(0), top_bit)).alias("_lv"))
-    # shiftright needs a constant distance, so the level enters as a power of two.
-    size = F.pow(F.lit(2.0), F.col("_lv").cast("double"))
-    upper = F.floor(F.col("_y") / (size * 2)).alias("_hi")
-    bit = (F.floor(F.col("_y") / size) % 2).alias("_bit")
-    weight = F.col("w").cast("double")
-    fine = leveled.select(*by, "_lv", upper, "_run", "_x", "w", bit).groupBy(*by, "_lv", "_hi", "_run", "_x").agg(
-        F.sum(F.when(F.col("_bit") == 0, weight).otherwise(0.0)).alias("_z"),
-        F.sum(F.when(F.col("_bit") == 1, weight).otherwise(0.0)).alias("_o"),
-    )
-    block = [*by, "_lv", "_hi"]
-    lower_runs = Window.partitionBy(*block).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = fine.groupBy(*block, "_run").agg(F.sum("_z").alias("_rz"), F.sum("_o").alias("_ro"))
-    runs = runs.select(
-        *block, "_run",
-        F.coalesce(F.sum("_rz").over(lower_runs), F.lit(0.0)).alias("_zb"),
-        F.coalesce(F.sum("_ro").over(lower_runs), F.lit(0.0)).alias("_ob"),
-    )
-    inside = Window.partitionBy(*block, "_run").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    local = fine.select(
-        "*",
-        F.coalesce(F.sum("_z").over(inside), F.lit(0.0)).alias("_zi"),
-        F.coalesce(F.sum("_o").over(inside), F.lit(0.0)).alias("_oi"),
-    )
-    both = attach(local, runs, [*block, "_run"])
-    score = both.groupBy(*by).agg(
-        F.sum(F.col("_o") * (F.col("_zb") + F.col("_zi")) - F.col("_z") * (F.col("_ob") + F.col("_oi"))).alias("_s")
-    )
-    ties = attach(_ties(x_rank, by, "x"), _ties(y_rank, by, "y"), by)
-    return attach(ties, score, by)
+    points = rows.groupBy(*by, F.col(a).alias("_x"), F.col(b).alias("_y")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    levels, size = _levels(rows, size)
+    parts = []
+    for _ in range(levels):
+        cut = _cut_into_slices(_cut_into_slices(points, "_x", by, size), "_y", by, size)
+        parts.append(_counted(by, cut.where("NOT _x_alone"), "_x", "_y", [*by, "_x_slice"]))
+        parts.append(_counted(by, cut.where("NOT _y_alone"), "_x_slice", "_y", [*by, "_y_slice"]))
+        points = cut.groupBy(*by, F.col("_x_slice").alias("_x"), F.col("_y_slice").alias("_y")).agg(F.sum("w").alias("w"))
+    parts.append(_counted(by, points, "_x", "_y", by) if by else _counted(by, points.withColumn("_all", F.lit(0)), "_x", "_y", ["_all"]))
+    score = union_all(parts).groupBy(*by).agg(F.sum("_part").alias("_s"))
+    return attach(attach(_ties(rows, a, by, "x"), _ties(rows, b, by, "y"), by), score, by)
 
 
 def kendall(
     df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), per_slice: int = ordered.PER_SLICE
 ) -> DataFrame:
     """tau-b with the normal approximation of its p-value."""
-    rows = _complete(df, columns, by)
+    rows = _complete(df, columns, by).withColumns({c: F.col(c) + F.lit(0.0) for c in columns})
     parts = []
     for a, b in combinations(columns, 2):
         part = _kendall_pair(rows, a, b, by, per_slice)

@@ -34,12 +34,16 @@ def _cuts(counts: DataFrame, key: str, by: Sequence[str], sums: Sequence[str], p
     # The first test is always true for counts and weights. Reading the sums here keeps this branch's
     # shuffle equal to that of the other branches, so that Spark reuses it.
     chosen = counts.where(F.least(F.lit(0), *[F.col(m) for m in sums]) >= 0).where(F.pmod(F.xxhash64(key), F.lit(per_slice)) == 0)
-    cuts = chosen.groupBy(*by).agg(F.sort_array(F.collect_list(key)).alias("_cut"))
+    return headed(chosen.groupBy(*by).agg(F.sort_array(F.collect_list(key)).alias("_cut")))
+
+
+def headed(cuts: DataFrame) -> DataFrame:
+    """Sorted cut points ``_cut`` with the heads of their blocks, for ``slot``."""
     cuts = cuts.withColumn("_block", F.greatest(F.ceil(F.sqrt(F.size("_cut").cast("double"))), F.lit(1)).cast("int"))
     return cuts.withColumn("_head", F.filter("_cut", lambda c, i: i % F.col("_block") == 0))
 
 
-def _slot(key: Column) -> Column:
+def slot(key: Column) -> Column:
     """Number of cut points up to the key: first among the heads of blocks, then inside the block."""
     head = F.size(F.filter("_head", lambda c: c <= key))
     block = F.slice("_cut", (head - 1) * F.col("_block") + 1, F.col("_block"))
@@ -52,7 +56,7 @@ def sliced(
 ) -> DataFrame:
     """Adds ``_slice``: slices follow the order of the key, which is distinct within each group."""
     tagged = attach(counts, _cuts(counts, key, by, sums, per_slice), by, "left")
-    return tagged.withColumn("_slice", _slot(F.col(key))).drop("_cut", "_head", "_block")
+    return tagged.withColumn("_slice", slot(F.col(key))).drop("_cut", "_head", "_block")
 
 
 def running_before(

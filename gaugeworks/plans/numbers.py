@@ -480,19 +480,29 @@ def corr_spearman(spark, sf):
     return correlation.spearman(table(spark, sf, "lineitem"), LINE_NUMBERS[:3])
 
 
-_TAU = """
-    SELECT 'c_nationkey' AS variable1, 'c_acctbal' AS variable2, any_value(n) AS n, sum(s) / sqrt(sum(CAST(x <> 0 AS INTEGER)) * 1.0 * sum(CAST(y <> 0 AS INTEGER))) AS correlation
-    FROM (SELECT sign(a.c_nationkey - b.c_nationkey) AS x, sign(a.c_acctbal - b.c_acctbal) AS y, x * y AS s, (SELECT count(*) FROM customer) AS n
-          FROM customer a, customer b)"""
-
-
-@query("corr_kendall", _TAU, "correlation")
+def _tau_sql(source: str, x: str, y: str) -> str:
+    """Kendall from counts by (x, y): below each point the counts of smaller y are summed over smaller and larger x."""
+    ties = lambda c, what: f"(SELECT sum({what}) FROM (SELECT count(*)::DOUBLE AS t FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY {c}))"
+    return f"""
+        WITH cells AS (SELECT {x} AS x, {y} AS y, count(*)::DOUBLE AS c FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY ALL),
+        grid AS (SELECT x, y, coalesce(c, 0) AS c FROM (SELECT DISTINCT x FROM cells) CROSS JOIN (SELECT DISTINCT y FROM cells) LEFT JOIN cells USING (x, y)),
+        below AS (SELECT x, y, c, sum(c) OVER (PARTITION BY x ORDER BY y) - c AS b FROM grid),
+        sides AS (SELECT c, sum(b) OVER (PARTITION BY y ORDER BY x) - b AS less, sum(b) OVER (PARTITION BY y ORDER BY x DESC) - b AS more FROM below),
+        facts AS (
+            SELECT (SELECT sum(c) FROM cells) AS n, (SELECT sum(c * (less - more)) FROM sides) AS s, {ties(x, "t * (t - 1)")} AS tx, {ties(y, "t * (t - 1)")} AS ty,
+                {ties(x, "t * (t - 1) * (2 * t + 5)")} AS vx, {ties(y, "t * (t - 1) * (2 * t + 5)")} AS vy, {ties(x, "t * (t - 1) * (t - 2)")} AS ux, {ties(y, "t * (t - 1) * (t - 2)")} AS uy),
+        scores AS (
+            SELECT *, 2 * s / sqrt((n * (n - 1) - tx) * (n * (n - 1) - ty)) AS tau,
+                s / sqrt((n * (n - 1) * (2 * n + 5) - vx - vy) / 18 + tx * ty / (2 * n * (n - 1)) + ux * uy / (9 * n * (n - 1) * (n - 2))) AS z FROM facts)
+        SELECT '{x}' AS variable1, '{y}' AS variable2, n::BIGINT AS n, tau AS correlation, {z_p_sql("z")} AS p_value, {z_p_sql("z")} < 0.05 AS significant, 'ok' AS status FROM scores"""
+
+
+@query("corr_kendall", _tau_sql("customer", "c_nationkey", "c_acctbal"), "correlation p_value")
 def corr_kendall(spark, sf):
-    pairs = correlation.kendall(table(spark, sf, "customer"), ("c_nationkey", "c_acctbal"))
-    return pairs.select("variable1", "variable2", "n", "correlation")
+    return correlation.kendall(table(spark, sf, "customer"), ("c_nationkey", "c_acctbal"))
 
 
-@query("corr_kendall_lineitem")
+@query("corr_kendall_lineitem", _tau_sql("lineitem", "l_quantity", "l_extendedprice"), "correlation p_value")
 def corr_kendall_lineitem(spark, sf):
     return correlation.kendall(table(spark, sf, "lineitem"), ("l_quantity", "l_extendedprice"))
 

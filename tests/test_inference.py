@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.concordance import concordance
 from gaugeworks.operators import compare, correlation, findings, shape, trend
 
 
@@ -46,6 +47,27 @@ def test_rank_correlations(numbers):
     assert tau["correlation"] == pytest.approx(tau_b(frame["x"].to_numpy(), frame["y"].to_numpy()))
 
 
+def test_kendall_over_levels_of_slices(spark):
+    rnd = np.random.default_rng(5)
+    x, y = rnd.integers(0, 40, 900).astype(float), rnd.normal(size=900).round(1)
+    x[:300], y[200:500], x[0], x[1] = 7.0, -0.5, 0.0, -0.0
+    frame = pd.DataFrame({"x": x, "y": y, "g": np.where(rnd.random(900) < 0.8, "hot", None)})
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "x double, y double, g string").repartition(5)
+    for size in (7, 60, 100_000):
+        assert correlation.kendall(df, ["x", "y"], per_slice=size).first()["correlation"] == pytest.approx(tau_b(x, y))
+    for r in correlation.kendall(df, ["x", "y"], ["g"], per_slice=9).collect():
+        part = frame[frame["g"].isna() if r["g"] is None else frame["g"] == r["g"]]
+        assert r["correlation"] == pytest.approx(tau_b(part["x"].to_numpy(), part["y"].to_numpy()))
+    assert correlation._levels(df, 7)[0] >= 1
+
+
+def test_concordance_equals_pairs():
+    rnd = np.random.default_rng(2)
+    for n in (0, 1, 2, 5, 40, 70):
+        x, y, w = rnd.integers(0, 9, n), rnd.integers(0, 11, n), rnd.integers(1, 4, n)
+        assert concordance(x, y, w) == sum(w[i] * w[j] * np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(n) for j in range(i))
+
+
 def test_kendall_by_group_equals_single_runs(numbers):
     frame, df = numbers
     rows = correlation.kendall(df, ["x", "y"], ["g"], per_slice=16).collect()
