@@ -6,6 +6,8 @@ is late unless it is out of order by more than the delay.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,10 +49,11 @@ def collect_available(df: DataFrame, label: str) -> DataFrame:
 def intake(
     stream: DataFrame, target: str, ledger: str, keys: tuple[str, ...], order: tuple[str, ...], checkpoint: str
 ) -> StreamingQuery:
-    """Drop-folder intake: each key is appended once, across batches and restarts.
+    """Drop-folder intake: each key is appended once, across batches, restarts and checkpoints.
 
-    Every batch owns a folder ``batch=<id>`` of the target, so a batch that is run again after
-    a failure overwrites its own rows. Keys are checked against the other batches.
+    A batch owns the folder ``run=<id>/batch=<n>`` of the target. The run is the id that Spark keeps in the checkpoint: a
+    batch that is run again after a failure overwrites its own rows, while a new checkpoint is a new run, which
+    leaves the rows of others alone. Keys are checked against all other batches of all runs.
     """
     from gaugeworks.sources.ledger import new_rows
 
@@ -59,16 +62,19 @@ def intake(
 
     def append(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        run = json.loads(session.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        own = f"run={run}/batch={batch_id}"
         try:
-            seen = session.read.schema(f"{key_schema}, batch long").parquet(ledger).where(F.col("batch") < batch_id)
+            seen = session.read.schema(f"{key_schema}, run string, batch long").parquet(ledger)
+            seen = seen.where((F.col("run") != run) | (F.col("batch") < batch_id))
         except Exception as error:  # the first batch finds no ledger folder
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            seen = session.createDataFrame([], f"{key_schema}, batch long")
+            seen = session.createDataFrame([], key_schema)
         fresh = new_rows(batch, seen, list(keys), list(order))
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        written = session.read.schema(fresh.schema).parquet(f"{target}/batch={batch_id}")
-        written.select(*keys).write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{target}/{own}")
+        written = session.read.schema(fresh.schema).parquet(f"{target}/{own}")
+        written.select(*keys).write.mode("overwrite").parquet(f"{ledger}/{own}")
 
     return (
         stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -104,14 +104,17 @@ def test_intake_is_exactly_once_across_runs(spark, tmp_path):
     schema = "k string, v long"
     spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], schema).coalesce(1).write.parquet(str(folder))
 
-    def run():
+    def run(checkpoint="checkpoint"):
         stream = monitors.file_stream(spark, str(folder), spark.createDataFrame([], schema).schema, max_files=1)
-        monitors.intake(stream, f"{base}/rows", f"{base}/keys", ("k",), ("v",), f"{base}/checkpoint").awaitTermination()
+        monitors.intake(stream, f"{base}/rows", f"{base}/keys", ("k",), ("v",), f"{base}/{checkpoint}").awaitTermination()
         return sorted((r["k"], r["v"]) for r in spark.read.parquet(f"{base}/rows").collect())
 
     assert run() == [("a", 1), ("b", 3)]
     spark.createDataFrame([("b", 9), ("c", 4)], schema).coalesce(1).write.mode("append").parquet(str(folder))
     assert run() == [("a", 1), ("b", 3), ("c", 4)] and run() == [("a", 1), ("b", 3), ("c", 4)]
+    # A new checkpoint starts again at batch 0, sees all files and must neither lose nor repeat rows.
+    spark.createDataFrame([("d", 5)], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    assert run("another") == [("a", 1), ("b", 3), ("c", 4), ("d", 5)] and run() == [("a", 1), ("b", 3), ("c", 4), ("d", 5)]
 
 
 def test_stream_redaction_and_dedup(spark, tmp_path):

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.coerce import looks_like_period, to_day
 from gaugeworks.operators import normalize
 from gaugeworks.sources import diff, intake, ledger
-from gaugeworks.sources.store import Store
+from gaugeworks.sources import store as store_module
+from gaugeworks.sources.store import Load, Store
 
 
 def write(folder, name, text):
@@ -143,6 +144,38 @@ def test_store_life_cycle(spark, tmp_path):
     assert store.add_dataset(df, "Visits", "usage", "h1") == first and store.facts(first).count() == 2
 
 
+def test_row_ids_do_not_depend_on_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "COPIES", 3)
+    rows = [(f"2024-01-{i % 9 + 1:02d}", "visits", float(i % 5), None) for i in range(60)] + [("2024-02-01", "x", 1.0, "c")] * 20
+    df = spark.createDataFrame(rows, "date string, metric_name string, metric_value double, category string")
+    ids = []
+    for parts in (2, 3):
+        store = Store(spark, str(tmp_path / f"s{parts}"))
+        facts = store.facts(store.add_dataset(df.repartition(parts), "n", "usage", "h"))
+        ids.append(sorted((r["id"], str(r["date"]), r["metric_value"]) for r in facts.collect()))
+    assert ids[0] == ids[1] and len({i for i, _, _ in ids[0]}) == 80
+
+
+def test_many_datasets_are_loaded_at_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    usage = spark.createDataFrame([("2024-01-01", "visits", 10.0)] * 3, "date string, metric_name string, metric_value double")
+    text = spark.createDataFrame([("2024-01-01", "How?", "Fine")], "response_date string, question string, response_text string")
+    first = store.add_dataset(usage, "old", "usage", "h0", as_of=datetime(2024, 1, 1))
+    loads = [Load(usage, f"u{i}", "usage", f"h{i}") for i in range(1, 4)] + [Load(text, "s", "survey", "hs", {"title": "T", "keywords": ["k"]}), Load(usage.limit(0), "none", "usage", "he"), Load(usage, "old", "usage", "h0")]
+    ids = store.add_datasets(loads, datetime(2024, 1, 2))
+    assert len(set(ids)) == 6 and ids[-1] == first
+    rows = {r["dataset_id"]: r for r in store.catalog().collect()}
+    assert {i: rows[i]["row_count"] for i in ids} == dict(zip(ids, [3, 3, 3, 1, 0, 3], strict=True))
+    assert rows[first]["upload_date"] == datetime(2024, 1, 1) and rows[ids[3]]["title"] == "T" and rows[ids[0]]["column_names"] == usage.columns
+    assert store.completed_result("store_dataset", ledger.operation_key("store_dataset", "h1", "u1", "usage")) == {"dataset_id": ids[0], "idempotency_reused": True}
+    again = {r["name"]: r["is_new"] for r in store.load(
+        spark.createDataFrame([("u1", "usage", "h1"), ("v", "usage", "hv")], "name string, dataset_type string, file_hash string"),
+        usage.withColumns({"name": F.lit("v"), "dataset_type": F.lit("usage"), "file_hash": F.lit("hv")}).withColumn("date", F.to_date("date")),
+    ).collect()}
+    assert again == {"u1": False, "v": True} and store.table("datasets").count() == 7
+    assert store.table("usage_statistics").count() == 15 and store.delete_dataset(ids[1]) and store.table("datasets").count() == 6
+
+
 def test_half_written_load_is_repeated_not_doubled(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     df = spark.createDataFrame([("2024-01-01", "visits", 10.0)], "date string, metric_name string, metric_value double")
