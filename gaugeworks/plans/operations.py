@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from gaugeworks.operators import activity, describe, report
 from gaugeworks.plans.numbers import REGISTRY_SQL, registry_frame
 from gaugeworks.plans.registry import query, table
+from gaugeworks.plans.texts import PII_TOTALS_SQL
 from gaugeworks.sources import diff, intake, ledger
 from gaugeworks.sources.store import Store, list_analyses
 from gaugeworks.session import scratch_path
-from gaugeworks.streaming import monitors
+from gaugeworks.streaming import attempts, monitors
 
 
 def _events(spark, sf):
@@ -252,6 +253,23 @@ def stream_attempts(spark, sf):
     return monitors.collect_available(windows, "attempts")
 
 
+@query("stream_exact_attempts", _attempts_sql(21600, 5))
+def stream_exact_attempts(spark, sf):
+    with attempts.state_store(spark):
+        return monitors.collect_available(attempts.exact_attempts(_event_stream(spark, sf), seconds=21600), "exact-attempts")
+
+
+@query("stream_log_stats", f"""
+    SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, json_extract_string(context, '$.operation') AS operation, count(*) AS calls,
+           avg(CAST(json_extract_string(context, '$.duration_ms') AS DOUBLE)) AS avg_ms, max(CAST(json_extract_string(context, '$.duration_ms') AS DOUBLE)) AS max_ms,
+           0::BIGINT AS errors FROM ({LOGS_SQL}) GROUP BY ALL""", "avg_ms max_ms")
+def stream_log_stats(spark, sf):
+    events = _event_stream(spark, sf)
+    k = F.get_json_object("props", "$.k")
+    context = F.concat(F.lit('{"operation":"'), F.col("event_type"), F.lit('","duration_ms":'), k, F.lit("}"))
+    return monitors.collect_available(monitors.live_operation_stats(events.select("ts", context.alias("context"))), "log-stats")
+
+
 @query("stream_sessions", """
     SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS n_events FROM (
         SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
@@ -270,13 +288,13 @@ def stream_dedup(spark, sf):
     return kept.groupBy("idempotency_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_redaction", "SELECT kind, CAST(total AS BIGINT) AS total FROM (" + "SELECT 'email' AS kind, sum(len(regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b'))) AS total FROM documents) WHERE kind = 'email'")
+@query("stream_redaction", PII_TOTALS_SQL)
 def stream_redaction(spark, sf):
     docs = table(spark, sf, "documents")
     stream = monitors.file_stream(spark, sf, docs.schema, glob="documents.parquet")
-    out = monitors.collect_available(monitors.redacted_events(stream, "text"), "redaction")
-    totals = out.agg(F.sum("n_email").alias("total"))
-    return totals.select(F.lit("email").alias("kind"), "total")
+    base = scratch_path(spark, "redaction")
+    monitors.redaction_running_totals(stream, "text", f"{base}/totals", f"{base}/checkpoint").awaitTermination()
+    return monitors.latest_totals(spark, f"{base}/totals")
 
 
 @query("stream_intake", """

@@ -55,8 +55,13 @@ def pii_flag(spark, sf):
     return flagged.select("doc_id", "has_pii", F.array_join("pii_kinds", ",").alias("pii_kinds"))
 
 
-@query("pii_totals", f"SELECT kind, CAST(total AS BIGINT) AS total FROM (UNPIVOT (SELECT sum(n_email) AS email, sum(n_phone) AS phone, sum(n_ssn) AS ssn, sum(n_address) AS address "
-       f"FROM ({_redact_sql('documents', 'doc_id', 'text')})) ON email, phone, ssn, address INTO NAME kind VALUE total)")
+PII_TOTALS_SQL = (
+    f"SELECT kind, CAST(total AS BIGINT) AS total FROM (UNPIVOT (SELECT sum(n_email) AS email, sum(n_phone) AS phone, sum(n_ssn) AS ssn, sum(n_address) AS address "
+    f"FROM ({_redact_sql('documents', 'doc_id', 'text')})) ON email, phone, ssn, address INTO NAME kind VALUE total)"
+)
+
+
+@query("pii_totals", PII_TOTALS_SQL)
 def pii_totals(spark, sf):
     return pii.redaction_totals(_docs(spark, sf), "text")
 

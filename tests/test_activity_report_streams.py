@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import activity, report
+from gaugeworks.streaming import attempts as exact
 from gaugeworks.streaming import monitors
 
 START = datetime(2024, 1, 1)
@@ -124,8 +125,21 @@ def test_stream_redaction_and_dedup(spark, tmp_path):
     stream = monitors.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
     kept = monitors.collect_available(monitors.deduplicated_log(stream), "dedup")
     assert kept.count() == 3 and kept.where("idempotency_key is null").count() == 2
-    monitors.redaction_running_totals(stream, "text", "totals", str(tmp_path / "cp")).awaitTermination()
-    assert {r["kind"]: r["total"] for r in spark.table("totals").collect()} == {"email": 3, "phone": 0, "ssn": 0, "address": 0}
+    for more in ([], [(5, START, None, "z@y.org")]):
+        spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        monitors.redaction_running_totals(stream, "text", str(tmp_path / "totals"), str(tmp_path / "cp")).awaitTermination()
+        got = {r["kind"]: r["total"] for r in monitors.latest_totals(spark, str(tmp_path / "totals")).collect()}
+        assert got == {"email": 3 + len(more), "phone": 0, "ssn": 0, "address": 0}
+
+
+def test_exact_attempts_equal_the_batch_report(spark, event_folder):
+    folder, batch = event_folder
+    stream = monitors.file_stream(spark, folder, batch.schema, max_files=10)
+    closed = monitors.finished(lambda extra: stream.unionByName(monitors.file_stream(spark, extra, batch.schema)), batch, "ts")
+    for seconds, limit in ((60, 2), (3600, 3)):
+        with exact.state_store(spark):
+            got = monitors.collect_available(exact.exact_attempts(closed, seconds=seconds, limit=limit), "exact")
+        same(got, activity.repeated_attempts(batch, seconds=seconds, limit=limit).withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 QUICK = (
