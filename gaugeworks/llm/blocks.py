@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
@@ -24,8 +24,22 @@ GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
 
 
+_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4000")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets rows with texts travel to Python in batches of 8 MB, unless the session says otherwise.
+
+    A batch exists several times at once: in the JVM, on the way and in Python.
+    """
+    for key, (usual, small) in _BATCH.items():
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, small)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts; one aggregate, which only decides how finely work is cut."""
+    small_batches(docs.sparkSession)
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 

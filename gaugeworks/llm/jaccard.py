@@ -48,6 +48,8 @@ FIRST = 3
 # At most so many rounds of leaders, and of links to the next class, come before the full pass.
 ROUNDS = 6
 LAST = (1 << 63) - 1
+# Up to this many keys, 8 MB, are broadcast.
+SENT_KEYS = 1_000_000
 # Blocks are smaller than elsewhere, since sets take more room than words.
 BLOCK_BYTES = 2 << 20
 
@@ -246,13 +248,15 @@ def _prefixes(percent: int, some: int | None):
 
     def run(batches):
         for batch in batches:
-            prefix = []
-            for n, blob in zip(batch.column("n").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                tokens = np.frombuffer(blob, np.int64)
-                first = tokens[: len(tokens) - -(-percent * n // 100) + 1][:some]
-                prefix.append([{"token": t, "rest": len(tokens) - i} for i, t in enumerate(first.tolist())])
-            kind = pa.list_(pa.struct([("token", pa.int64()), ("rest", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(prefix, kind)], names=["key", "n", "prefix"])
+            first, rest = [], []
+            for n, blob in zip(batch.column("n").to_pylist(), batch.column("tokens"), strict=True):
+                tokens = np.frombuffer(blob.as_buffer(), np.int64)
+                first.append(tokens[: max(0, len(tokens) - -(-percent * n // 100) + 1)][:some])
+                rest.append(len(tokens) - np.arange(len(first[-1])))
+            ends = np.concatenate(([0], np.cumsum([len(f) for f in first]))).astype(np.int32)
+            flat = [np.concatenate(part) if part else np.zeros(0, np.int64) for part in (first, rest)]
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(f) for f in flat], names=["token", "rest"]))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), prefix], names=["key", "n", "prefix"])
 
     return run
 
@@ -346,7 +350,11 @@ def _links_between(sets: DataFrame, classes: DataFrame, percent: int, some: int
         "key", F.lit(None).cast("long").alias("class"), "cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"),
     )
     wanted = stored(queries.union(held), "opened")
-    return sets.select("key", "n", "tokens").join(wanted, "key").groupBy("cell", "part", "piece").applyInArrow(_opened(percent), "a long, b long")
+    # Most sets are in no opened group. Their keys are sent to the sets up to a size, so that only sets in groups are shuffled.
+    keys = stored(wanted.select("key").distinct(), "wanted")
+    rows = sets.select("key", "n", "tokens")
+    rows = rows.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= SENT_KEYS else rows
+    return rows.join(wanted, "key").groupBy("cell", "part", "piece").applyInArrow(_opened(percent), "a long, b long")
 
 
 def _joined(classes: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:

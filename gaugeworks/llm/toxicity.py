@@ -239,6 +239,7 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``score`` (calibrated), ``margin`` (of the trees) and the ``values`` of ``FEATURES`` of every row."""
+    B.small_batches(docs.sparkSession)
     slim = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = slim.mapInArrow(_features(model.lexicon), "id long, values array<double>")
     return _scored(rows, model).select("id", "score", "margin", "values")
@@ -249,6 +250,7 @@ def accepted(docs: DataFrame, model: Model, below: float = 0.5, text: str = "tex
 
     Only texts go to Python and only features come back; the rows wait in the JVM.
     """
+    B.small_batches(docs.sparkSession)
     features = _features(model.lexicon)
 
     @F.arrow_udf("array<double>")
