@@ -9,7 +9,8 @@ ranked by exact inner products in double precision.
 The number of directions grows with the logarithm of the number of vectors. ``fit`` measures on about
 ``SAMPLE`` queries, whose true neighbours one pass over all vectors finds, how many buckets a query must
 visit for ``RECALL``; with too many, it takes a direction less. Every vector is in the index. A query that met
-fewer than ``k`` others, though there are more, is compared with all vectors.
+fewer than ``k`` others, though there are more, visits ``WIDER`` times as many buckets, and is compared with all
+vectors if that is not enough. That last step costs as many products as such queries times vectors.
 
 Equal vectors are one entry with their ``k + 1`` smallest ids, which is all that a result can show of them.
 Buckets with many members or queries are cut into parts, members times queries, so none is dropped.
@@ -22,7 +23,7 @@ to the smaller id; a repeated row counts once; an empty table gives an empty res
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ OCCUPANCY = 256
 RECALL = 0.96
 SAMPLE = 100
 MOST_PROBES = 512
+WIDER = 8
 PART = 4096
 
 
@@ -106,8 +108,8 @@ def _members(index: Index):
                 places = index.places(_matrix(batch.column("vector")), False)
                 for table in range(len(places)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(batch.num_rows, table, np.int32)), pa.array(_codes(np.floor(places[table]).astype(np.int64))), batch.column("rep"), batch.column("vector")],
-                        names=["table", "bucket", "rep", "vector"],
+                        [pa.array(np.full(batch.num_rows, table, np.int32)), pa.array(_codes(np.floor(places[table]).astype(np.int64))), batch.column("least"), batch.column("rep"), batch.column("vector")],
+                        names=["table", "bucket", "least", "rep", "vector"],
                     )
 
     return run
@@ -132,8 +134,8 @@ def _probes(index: Index):
     return run
 
 
-def _nearest(queries: np.ndarray, members: np.ndarray, reps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` largest inner products of every query and the members they belong to."""
+def _nearest(queries: np.ndarray, members: np.ndarray, least: np.ndarray, reps: np.ndarray, k: int) -> tuple[np.ndarray, tuple]:
+    """The ``k`` largest inner products of every query, ties by smallest id, and the members they belong to."""
     scores = queries @ members.T
     if scores.shape[1] > k:
         # All that tie with the k-th stay in play.
@@ -141,31 +143,32 @@ def _nearest(queries: np.ndarray, members: np.ndarray, reps: np.ndarray, k: int)
         rows, columns = np.nonzero(scores >= kth[:, None])
     else:
         rows, columns = np.nonzero(np.ones(scores.shape, bool))
-    values, names = scores[rows, columns], reps[columns]
-    order = np.lexsort((names, -values, rows))
-    rows, values, names = rows[order], values[order], names[order]
+    values, ids, names = scores[rows, columns], least[columns], reps[columns]
+    order = np.lexsort((names, ids, -values, rows))
+    rows, values, ids, names = rows[order], values[order], ids[order], names[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(queries)))[rows]
     keep = place < k
-    return np.bincount(rows[keep], minlength=len(queries)), np.stack((values[keep], names[keep].view(np.float64)))
+    return np.bincount(rows[keep], minlength=len(queries)), (values[keep], ids[keep], names[keep])
 
 
-NEAR = "query long, near array<struct<worse:double,rep:long>>"
+NEAR = "query long, near array<struct<worse:double,least:long,rep:long>>"
 
 
-def _near_column(counts: np.ndarray, found: np.ndarray) -> pa.Array:
+def _near_column(counts: np.ndarray, found: tuple) -> pa.Array:
     offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-    pairs = pa.StructArray.from_arrays([pa.array(-found[0]), pa.array(found[1].view(np.int64))], names=["worse", "rep"])
-    return pa.ListArray.from_arrays(offsets, pairs)
+    values, ids, names = found
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(-values), pa.array(ids), pa.array(names)], names=["worse", "least", "rep"]))
 
 
 def _visited(k: int):
     def run(key, queries, members):
         if not len(queries) or not len(members):
-            return pa.table({"query": pa.array([], pa.int64()), "near": _near_column(np.zeros(0, np.int64), np.zeros((2, 0)))})
-        x, y, reps = _matrix(queries.column("vector")), _matrix(members.column("vector")), np.asarray(members.column("rep").combine_chunks())
+            return pa.table({"query": pa.array([], pa.int64()), "near": _near_column(np.zeros(0, np.int64), (np.zeros(0), *[np.zeros(0, np.int64)] * 2))})
+        x, y = _matrix(queries.column("vector")), _matrix(members.column("vector"))
+        least, reps = (np.asarray(members.column(c).combine_chunks()) for c in ("least", "rep"))
         out = []
         for start in range(0, len(x), 512):
-            counts, found = _nearest(x[start:start + 512], y, reps, k)
+            counts, found = _nearest(x[start:start + 512], y, least, reps, k)
             out.append(pa.table({"query": queries.column("rep").slice(start, 512), "near": _near_column(counts, found)}))
         return pa.concat_tables(out)
 
@@ -197,7 +200,7 @@ def fit(vectors: DataFrame, k: int, seed: int = 7) -> Index:
     x = np.array(sample.vector.tolist(), float)
     names = sample.rep.to_numpy(np.int64)
     top = Window.partitionBy("query").orderBy(F.desc("score"))
-    true = vectors.mapInArrow(_true_neighbours(names, x, k), "query long, score double, vector array<float>").withColumn("place", F.row_number().over(top)).filter(F.col("place") <= k).toPandas()
+    true = vectors.mapInArrow(_true_neighbours(names, x, k), f"query long, score double, vector {vectors.schema['vector'].dataType.simpleString()}").withColumn("place", F.row_number().over(top)).filter(F.col("place") <= k).toPandas()
     random = np.random.default_rng(seed)
     most = max(0, round(float(np.log2(max(count, 1) / OCCUPANCY) / 1.25)))
     directions = random.normal(size=(TABLES, x.shape[1] + 1, most))
@@ -233,9 +236,9 @@ def _met(asking: DataFrame, probes: DataFrame, members: DataFrame, k: int) -> Da
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("rep", F.lit("part")), F.col(n))
     left = probes.join(asking, "rep").join(sizes, ["table", "bucket"]).select("table", "bucket", own("pieces").alias("piece"), every("parts").alias("part"), "rep", "vector")
-    right = members.join(sizes, ["table", "bucket"]).select("table", "bucket", own("parts").alias("part"), every("pieces").alias("piece"), "rep", "vector")
-    right = right.select(*[F.col(c).alias(f"m_{c}") for c in ("table", "bucket", "part", "piece")], F.col("rep").alias("rep"), F.col("vector").alias("vector"))
-    right = right.select("m_table", "m_bucket", "m_part", "m_piece", *[F.col(c).alias(c) for c in ("rep", "vector")])
+    right = members.join(sizes, ["table", "bucket"]).select("table", "bucket", own("parts").alias("part"), every("pieces").alias("piece"), "least", "rep", "vector")
+    # Columns of their own, since queries and members can come from one table.
+    right = right.select(*[F.col(c).alias(f"m_{c}") for c in ("table", "bucket", "part", "piece")], *[F.col(c).alias(c) for c in ("least", "rep", "vector")])
     visited = left.groupBy("table", "bucket", "part", "piece").cogroup(right.groupBy("m_table", "m_bucket", "m_part", "m_piece")).applyInArrow(_visited(k + 1), NEAR)
     # At most k + 1 candidates of each visited bucket part meet here. An entry is found once per table at most.
     return visited.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, TABLES * (k + 1)).alias("near"))
@@ -253,8 +256,10 @@ def _listed(met: DataFrame, classes: DataFrame, queries: DataFrame, k: int) -> D
 
 def search(rows: DataFrame, is_query: Column, k: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the ``k`` nearest found of every query row."""
+    # Single precision only where it was given, so that scores are those of the original vectors.
+    kind = "array<float>" if rows.select(vector).dtypes[0][1] == "array<float>" else "array<double>"
     sound = (
-        rows.withColumn("_query", F.coalesce(is_query, F.lit(False))).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"), F.col("_query").alias("query"))
+        rows.withColumn("_query", F.coalesce(is_query, F.lit(False))).select(F.col(id).cast("long").alias("id"), F.col(vector).cast(kind).alias("vector"), F.col("_query").alias("query"))
         .filter("id IS NOT NULL AND vector IS NOT NULL")
         .filter(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))))
         .filter(F.exists("vector", lambda v: v != 0))
@@ -265,27 +270,35 @@ def search(rows: DataFrame, is_query: Column, k: int, id: str = "vec_id", vector
     smallest = Window.partitionBy("vector").orderBy("id")
     classes = (
         sound.select("id", "vector").withColumn("place", F.dense_rank().over(smallest)).filter(F.col("place") <= k + 1)
-        .groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("rep", F.xxhash64("vector"))
+        .groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumns({"rep": F.xxhash64("vector"), "least": F.get("ids", F.lit(0))})
     )
     classes = stored(classes, "classes")
-    vectors = classes.select("rep", "vector")
+    vectors = classes.select("least", "rep", "vector")
     queries = stored(sound.filter("query").select(F.col("id").alias("query_id"), F.xxhash64("vector").alias("query")).distinct(), "queries")
     if not lengths:
         return queries.select("query_id", F.lit(1).alias("rank"), F.col("query").alias("vec_id"), F.lit(0.0).alias("score"))
     index = fit(vectors, k)
 
-    members = stored(vectors.mapInArrow(_members(index), "table int, bucket long, rep long, vector array<float>"), "members")
-    asking = vectors.join(queries.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi")
-    probes = stored(asking.mapInArrow(_probes(index), "table int, bucket long, rep long").join(members.select("table", "bucket").distinct(), ["table", "bucket"], "left_semi"), "probes")
-    answers = stored(_listed(_met(asking, probes, members, k), classes, queries, k), "answers")
+    members = stored(vectors.mapInArrow(_members(index), f"table int, bucket long, least long, rep long, vector {kind}"), "members")
+    held = members.select("table", "bucket").distinct()
     # What a query can find at least; classes of more than k + 1 ids count as k + 1.
     least = min(k, classes.agg(F.sum(F.size("ids"))).first()[0] - 1)
     found = F.coalesce(F.size("list"), F.lit(0))
-    short = stored(answers.filter(found < least).select("query_id", "query"), "short")
-    if not short.isEmpty():
-        asking = vectors.join(short.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi")
+    answers, left = None, queries
+    # Queries that met too few visit more buckets, and those that still did are compared with all vectors.
+    for probes in sorted({index.probes, min(WIDER * index.probes, MOST_PROBES)}):
+        asking = vectors.join(left.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").drop("least")
+        asked = asking.mapInArrow(_probes(replace(index, probes=probes)), "table int, bucket long, rep long").join(held, ["table", "bucket"], "left_semi")
+        listed = stored(_listed(_met(asking, stored(asked, "probes"), members, k), classes, left, k), "answers")
+        done = listed.filter(found >= least)
+        answers = done if answers is None else answers.union(done)
+        left = stored(listed.filter(found < least).select("query_id", "query"), "short")
+        if left.isEmpty():
+            break
+    else:
+        asking = vectors.join(left.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").drop("least")
         blocks = -(-2 * index.count // PART)
-        members = vectors.select(F.lit(0).alias("table"), F.pmod(F.xxhash64("rep", F.lit("block")), F.lit(blocks)).cast("long").alias("bucket"), "rep", "vector")
+        members = vectors.select(F.lit(0).alias("table"), F.pmod(F.xxhash64("rep", F.lit("block")), F.lit(blocks)).cast("long").alias("bucket"), "least", "rep", "vector")
         probes = asking.select(F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bucket"), "rep")
-        answers = answers.filter(found >= least).union(_listed(_met(asking, probes, members, k), classes, short, k))
+        answers = answers.union(_listed(_met(asking, probes, members, k), classes, left, k))
     return answers.select("query_id", F.posexplode("list").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

@@ -215,3 +215,20 @@ def test_odd_keys_and_settings(spark):
     for shards, slots, into in (([], 211, "to"), (["a", "a"], 211, "to"), (["a"], 212, "to"), (["a", "b", "c"], 211, "to"), (["a"], 211, "slot")):
         with pytest.raises(ValueError):
             sharding.place(df, "k.y", shards, slots, into)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_ties_between_different_vectors_go_to_the_smaller_id(spark, kind):
+    rnd = random.Random(9)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [0.5, round(rnd.uniform(-3, 3), 6), round(rnd.uniform(-3, 3), 6)]) for i in range(1, 300)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(4)
+    got = neighbours.search(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 0.5) for i in range(1, 6)]
+
+
+def test_scores_of_double_vectors_keep_their_precision(spark):
+    rows = [(0, [1.0, 1e-9]), (1, [1.0 + 1e-12, 3.0]), (2, [1.0, 2.0]), (3, [1e39, 0.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 3).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [3, 1, 2]
+    assert got[1].score == 1.0 + 1e-12 + 3e-9 and got[0].score == 1e39
