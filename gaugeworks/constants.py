@@ -214,3 +214,12 @@ EVIDENCE_TEXTS = {
     "Low": "Retrieved source rows were only loosely matched.",
     "broad": " Broad or metadata-style questions often score lower with vector retrieval.",
 }
+
+# Questions made from passages, by dataset type and the column that fills them (none: as it is); the first that fits counts.
+QUESTION_TEMPLATES = (
+    ("survey", "question", "What do respondents say about {}?"),
+    ("survey", None, "What are the main themes in survey responses?"),
+    ("circulation", "category", "What are the circulation patterns for {} patrons?"),
+    ("circulation", "metric_name", "What are the trends for {}?"),
+    (None, "metric_name", "What are the usage statistics for {}?"),
+)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks import constants as K
 from gaugeworks.functions.joins import union_all
+from gaugeworks.functions.text import filled
 
 
 def mark_hits(retrieved: DataFrame, relevant: DataFrame, question_key: str = "question_id", passage_key: str = "passage_id") -> DataFrame:
@@ -58,18 +59,18 @@ def synthetic_questions(passages: DataFrame, n: int = 10, seed: int = 42) -> Dat
 
     The sample is the n smallest seeded hashes, so it repeats, and only n rows per task travel.
     """
-    question = (
-        F.when((F.col("dataset_type") == "survey") & (F.col("question") != ""),
-               F.concat(F.lit("What do respondents say about "), F.lower("question"), F.lit("?")))
-        .when(F.col("dataset_type") == "survey", "What are the main themes in survey responses?")
-        .when((F.col("dataset_type") == "circulation") & (F.coalesce("category", F.lit("")) != ""),
-              F.concat(F.lit("What are the circulation patterns for "), F.col("category"), F.lit(" patrons?")))
-        .when(F.col("dataset_type") == "circulation", F.concat(F.lit("What are the trends for "), F.col("metric_name"), F.lit("?")))
-        .otherwise(F.concat(F.lit("What are the usage statistics for "), F.col("metric_name"), F.lit("?")))
-    )
     rows = passages if "category" in passages.columns else passages.withColumn("category", F.lit(""))
-    sampled = rows.orderBy(F.xxhash64("passage_id", F.lit(seed)), "passage_id").limit(n)
-    return sampled.select(question.alias("question"), "passage_id")
+    cases = []
+    for kind, column, template in K.QUESTION_TEMPLATES:
+        told = F.lit(template) if column is None else filled(template, F.lower(column) if column == "question" else F.col(column))
+        fits = F.lit(True) if kind is None else F.col("dataset_type") == kind
+        # The last template of a type needs no value.
+        if column in ("question", "category"):
+            fits = fits & (F.coalesce(column, F.lit("")) != "")
+        cases.append(F.when(fits, told))
+    place = F.md5(F.concat(F.col("passage_id"), F.lit(f":{seed}")))
+    sampled = rows.orderBy(place, "passage_id").limit(n)
+    return sampled.select(F.coalesce(*cases).alias("question"), "passage_id")
 
 
 def history(runs: list[DataFrame] | DataFrame, limit: int = 10) -> DataFrame:

@@ -60,7 +60,7 @@ def metric_passages(df: DataFrame, dataset_type: str = "usage") -> DataFrame:
     return df.select(
         passage_id("dataset_id", "id").alias("passage_id"), "dataset_id", F.lit(dataset_type).alias("dataset_type"),
         F.col("id").cast("string").alias("source_row_id"), day.alias("date"), F.lit("").alias("question"),
-        name.alias("metric_name"), F.concat(text, F.when(has_category, tail).otherwise("")).alias("text"),
+        name.alias("metric_name"), F.coalesce("category", F.lit("")).alias("category"), F.concat(text, F.when(has_category, tail).otherwise("")).alias("text"),
     )
 
 

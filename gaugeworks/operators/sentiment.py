@@ -104,16 +104,16 @@ Scorer = Callable[[Sequence[str]], np.ndarray]
 
 
 def model_sentiment(df: DataFrame, key: str, text: str, load: Callable[[], Scorer], batch: int = 32) -> DataFrame:
-    """(key, category, score, confidence) from a model that gives label probabilities per text.
+    """(key, category, score, confidence, failed) from a model that gives label probabilities per text.
 
-    ``load`` runs once per task and returns the scorer. A batch that fails becomes neutral.
+    ``load`` runs once per task and returns the scorer. A batch that fails becomes neutral, and ``failed`` says so.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load()
         for frame in frames:
-            labels, scores, confidences = [], [], []
+            labels, scores, confidences, failed = [], [], [], []
             texts = frame[text].fillna("").tolist()
             for start in range(0, len(texts), batch):
                 part = texts[start:start + batch]
@@ -123,18 +123,20 @@ def model_sentiment(df: DataFrame, key: str, text: str, load: Callable[[], Score
                     labels += [LABELS[i] for i in best]
                     scores += [LABEL_SCORES[i] for i in best]
                     confidences += list(chances[np.arange(len(part)), best] * 100)
+                    failed += [False] * len(part)
                 except Exception:
                     labels += ["neutral"] * len(part)
                     scores += [0.0] * len(part)
                     confidences += [0.0] * len(part)
-            yield pd.DataFrame({key: frame[key], "category": labels, "score": scores, "confidence": confidences})
+                    failed += [True] * len(part)
+            yield pd.DataFrame({key: frame[key], "category": labels, "score": scores, "confidence": confidences, "failed": failed})
 
-    return df.select(key, text).mapInPandas(score, f"`{key}` {kind}, category string, score double, confidence double")
+    return df.select(key, text).mapInPandas(score, f"`{key}` {kind}, category string, score double, confidence double, failed boolean")
 
 
 def mean_confidence(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     table = sentiment_distribution(scored, "category", by)
-    return attach(table, scored.groupBy(*by).agg(F.avg("confidence").alias("average_confidence")), by)
+    return attach(table, scored.groupBy(*by).agg(F.avg("confidence").alias("average_confidence"), F.count_if("failed").alias("failed")), by)
 
 
 def dataset_sentiment(df: DataFrame, text: str, by: Sequence[str] = (), scored: DataFrame | None = None) -> DataFrame:

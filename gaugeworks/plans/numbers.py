@@ -407,7 +407,23 @@ def forecast(spark, sf):
     return trend.forecast(_events(spark, sf), "ts", "value", ["event_type"]).drop("lower", "upper")
 
 
-@query("forecast_interval")
+# The t quantile by bisection on the two-sided tail.
+_T_QUANTILE = f"""
+    WITH RECURSIVE cut AS (
+        SELECT event_type, n - 2 AS df, 0.0::DOUBLE AS low, 20.0::DOUBLE AS high, 0 AS i FROM ({FIT})
+        UNION ALL
+        SELECT event_type, df, CASE WHEN p > 0.05 THEN mid ELSE low END, CASE WHEN p > 0.05 THEN high ELSE mid END, i + 1
+        FROM (SELECT *, {t_p_sql("mid", "df")} AS p FROM (SELECT *, (low + high) / 2 AS mid FROM cut WHERE i < 45)))
+    SELECT event_type, (low + high) / 2 AS t FROM cut WHERE i = 45"""
+
+
+@query("forecast_interval", f"""
+    SELECT event_type, step, forecast, forecast - half AS lower, forecast + half AS upper, residual_error FROM (
+        SELECT *, t * residual_error * sqrt(1 + 1.0 / n + (x0 - (n - 1) / 2.0) * (x0 - (n - 1) / 2.0) / (n * (n * n - 1) / 12.0)) AS half FROM (
+            SELECT event_type, CAST(k.step AS INTEGER) AS step, n, n - 1 + k.step AS x0, intercept + slope * (n - 1 + k.step) AS forecast, t,
+                   sqrt((syy - slope * slope * n * (n * n - 1) / 12.0) / (n - 2)) AS residual_error
+            FROM ({FIT}) JOIN ({_T_QUANTILE}) USING (event_type) CROSS JOIN (SELECT unnest(range(1, 8)) AS step) k))""",
+    "forecast lower upper residual_error", forecast=5, lower=5, upper=5, residual_error=5)
 def forecast_interval(spark, sf):
     return trend.forecast(_events(spark, sf), "ts", "value", ["event_type"])
 
@@ -691,7 +707,19 @@ def outliers_z(spark, sf):
     return shape.z_outliers(orders, "v", "o_orderkey")
 
 
-@query("normality_ks")
+def _phi_sql(z: str) -> str:
+    tail = f"({z_p_sql(z)}) / 2"
+    return f"(CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+@query("normality_ks", f"""
+    SELECT n, statistic, CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * x * x))))) END AS p_value
+    FROM (SELECT *, statistic * sqrt(n) AS x FROM (
+        SELECT any_value(n) AS n, max(greatest(upto * 1.0 / n - phi, phi - (upto - c) * 1.0 / n)) AS statistic FROM (
+            SELECT *, {_phi_sql("z")} AS phi FROM (
+                SELECT c, sum(c) OVER (ORDER BY v) AS upto, (SELECT count(c_acctbal) FROM customer) AS n,
+                       (v - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_samp(c_acctbal) FROM customer) AS z
+                FROM (SELECT c_acctbal AS v, count(*) AS c FROM customer WHERE c_acctbal IS NOT NULL GROUP BY 1)))))""", "statistic p_value")
 def normality_ks(spark, sf):
     return shape.ks_normality(table(spark, sf, "customer"), "c_acctbal")
 

@@ -224,7 +224,15 @@ def _vowel_model():
     return score
 
 
-@query("model_sentiment")
+VOWELS_SQL = """
+    SELECT doc_id, abs(share - 0.25) AS a, 0.05 AS b, abs(share - 0.4) AS c FROM (
+        SELECT doc_id, length(regexp_replace(lower(coalesce(text, '')), '[^aeiou]', '', 'g')) / greatest(length(coalesce(text, '')), 1) AS share FROM documents)"""
+
+
+@query("model_sentiment", f"""
+    SELECT count(*) AS total, count(*) AS processed, 0::BIGINT AS skipped, avg((best = 3)::INTEGER) AS positive, avg((best = 2)::INTEGER) AS neutral, avg((best = 1)::INTEGER) AS negative,
+        avg(100 * greatest(a, b, c) / (a + b + c)) AS average_confidence, 0::BIGINT AS failed
+    FROM (SELECT *, CASE WHEN a >= b AND a >= c THEN 1 WHEN b >= c THEN 2 ELSE 3 END AS best FROM ({VOWELS_SQL}))""", "positive neutral negative average_confidence")
 def model_sentiment(spark, sf):
     scored = sentiment.model_sentiment(_docs(spark, sf), "doc_id", "text", _vowel_model)
     return sentiment.mean_confidence(scored)
@@ -237,6 +245,16 @@ def _themes(spark, sf):
     return themes.extract_themes(_scored(spark, sf).select("doc_id", "text", "category"), "doc_id", "text", "category")
 
 
+@query("theme_cover", """
+    SELECT count(*) AS texts, 5::BIGINT AS themes, true AS numbered, true AS keyed FROM documents WHERE text IS NOT NULL AND text <> ''""")
+def theme_cover(spark, sf):
+    """What holds of any themes: they cover every text once, are numbered by size, and have keywords."""
+    found = _themes(spark, sf).table
+    return found.agg(
+        F.sum("frequency").alias("texts"), F.count(F.lit(1)).alias("themes"), F.bool_and(F.col("theme_id").between(1, 5)).alias("numbered"), F.bool_and(F.size("keywords") > 0).alias("keyed"),
+    )
+
+
 @query("themes")
 def theme_table(spark, sf):
     return themes.export_table(_themes(spark, sf).table)
@@ -291,7 +309,8 @@ def passages_circulation(spark, sf):
     return retrieval.metric_passages(_metric_rows(spark, sf), "circulation").select("passage_id", "text")
 
 
-@query("embedded_passages")
+@query("embedded_passages", r"""
+    SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') THEN 1.0 ELSE 0.0 END AS norm FROM documents""", "norm")
 def embedded_passages(spark, sf):
     embedded, _ = retrieval.hashed_embedding(_docs(spark, sf))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -453,7 +472,9 @@ def judged_metrics(spark, sf):
     return evaluation.question_metrics(evaluation.relevant_counts(pairs), marked)
 
 
-@query("synthetic_questions")
+@query("synthetic_questions", """
+    SELECT 'What are the usage statistics for ' || event_type || '?' AS question, 'ds2_row' || event_id AS passage_id
+    FROM events ORDER BY md5('ds2_row' || event_id || ':42'), 2 LIMIT 10""")
 def synthetic_questions(spark, sf):
     rows = retrieval.metric_passages(_metric_rows(spark, sf))
     return evaluation.synthetic_questions(rows, 10)
