@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks import constants as K
 from gaugeworks.functions import pii
 from gaugeworks.functions.text import normalized_key
-from gaugeworks.operators import describe, evaluation, questions, retrieval, sentiment, themes
+from gaugeworks.operators import describe, evaluation, quantized, questions, retrieval, sentiment, themes
 from gaugeworks.plans.numbers import REGISTRY_SQL, registry_frame
 from gaugeworks.plans.registry import query, table
 
@@ -366,6 +366,19 @@ def knn_blocks(spark, sf):
     return _nearest(spark, sf, question_bytes=0)
 
 
+@query("knn_quantized_recall", f"""
+    SELECT count(*) AS n_exact, true AS is_enough, 0::BIGINT AS n_wrong FROM ({NEAREST_SQL}) WHERE rank <= 5""")
+def knn_quantized_recall(spark, sf):
+    """Inverted lists of codes against the exact search: recall of 0.9 and exact distances."""
+    asked, vectors = _asked(spark, sf), _vectors(spark, sf)
+    index = quantized.fit(vectors)
+    found = quantized.nearest(asked, quantized.indexed(vectors, index), vectors, index, exclude_same_key=True)
+    exact = _nearest(spark, sf)
+    close = F.abs(F.col("f.distance") - F.col("e.distance")) < 1e-6
+    wrong = found.alias("f").join(exact.alias("e"), ["question_id", "passage_id"]).where(~close).agg(F.count(F.lit(1)).alias("n_wrong"))
+    return quantized.recall(found, exact).select("n_exact", (F.col("recall") >= 0.9).alias("is_enough")).crossJoin(F.broadcast(wrong))
+
+
 CONFIDENCE_SQL = f"""
     SELECT e.vec_id AS question_id, coalesce(avg(CASE WHEN distance IS NOT NULL THEN greatest(0, least(1, 1 - distance / 1.45)) END), 0.0) AS confidence, count(distance) AS n_passages
     FROM embeddings e LEFT JOIN (SELECT * FROM ({NEAREST_SQL}) WHERE rank <= 5) n ON n.question_id = e.vec_id GROUP BY e.vec_id"""

@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import evaluation, retrieval, sentiment, themes
+from gaugeworks.operators import evaluation, quantized, retrieval, sentiment, themes
 
 
 def test_lexicon_sentiment(spark):
@@ -92,6 +92,30 @@ def test_nearest_matches_brute_force(spark, limit, question_bytes):
         assert np.allclose([d for _, d in v], [d for _, d in want[i]], atol=1e-8)
 
 
+def test_quantised_lists_find_what_the_exact_search_finds(spark):
+    """A third of the passages are one vector, so one list is hot and is cut into chunks."""
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(12, 8))
+    p = middles[rng.integers(0, 12, 600)] + 0.3 * rng.normal(size=(600, 8))
+    p[:200] = p[0]
+    q = np.vstack([p[0], middles[rng.integers(0, 12, 40)] + 0.3 * rng.normal(size=(40, 8))])
+    rows = lambda m: [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    qs = spark.createDataFrame([*rows(q), (99, None)], "question_id long, embedding array<double>")
+    ps = spark.createDataFrame([*rows(p), (9999, None)], "passage_id long, embedding array<double>").repartition(3)
+    index = quantized.fit(ps, parts=4)
+    codes = quantized.indexed(ps, index)
+    assert codes.count() == 600 and 1 <= index.visits <= len(index.centres)
+    exact = retrieval.nearest(qs, ps, 5, None)
+    found = quantized.nearest(qs, codes, ps, index, 5, None, rerank=250, chunk_rows=30, block_rows=9)
+    row = quantized.recall(found, exact).first()
+    assert row["n_exact"] == 205 and row["recall"] >= 0.9
+    own = {(r["question_id"], r["passage_id"]): r["distance"] for r in found.collect()}
+    assert all(abs(d - ((q[a] - p[b]) ** 2).sum()) < 1e-8 for (a, b), d in own.items())
+    # All lists and all codes: nothing is lost.
+    whole = quantized.nearest(qs, codes, ps, index, 5, None, visits=len(index.centres), rerank=600)
+    assert quantized.recall(whole, exact).first()["recall"] == 1.0
+
+
 def test_confidence(spark):
     qs = spark.createDataFrame([(1,), (2,), (3,)], "question_id long")
     found = spark.createDataFrame([(1, 1.2), (1, 1.0), (2, None), (2, 9.0)], "question_id long, distance double")
