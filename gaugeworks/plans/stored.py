@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from gaugeworks import constants as K
 from gaugeworks.functions.joins import union_all
-from gaugeworks.operators import normalize
+from gaugeworks.operators import normalize, retrieval
 from gaugeworks.plans.registry import query, table
 from gaugeworks.session import scratch_path
-from gaugeworks.sources import intake
+from gaugeworks.sources import indexing, intake
 from gaugeworks.sources.store import Load, Store
 
 MOMENT = datetime(2024, 5, 1)
@@ -143,3 +143,46 @@ def metric_renames(spark, sf):
 @query("text_renames", "SELECT conv_id, turn, role, text AS response_text FROM conversations")
 def text_renames(spark, sf):
     return normalize.text_columns(table(spark, sf, "conversations"))
+
+
+INDEXED_SQL = """
+    SELECT 'ds' || dataset_id || '_row' || doc_id AS passage_id, dataset_id, CASE WHEN doc_id % 10 = 0 AND dataset_id % 2 = 0 THEN text || ' again' ELSE text END AS text
+    FROM (SELECT doc_id, text, CAST(substr(source, 4) AS BIGINT) AS dataset_id FROM documents WHERE text IS NOT NULL)
+    WHERE dataset_id <> 3 AND NOT (dataset_id = 5 AND doc_id % 7 = 0)"""
+
+
+def _passages(spark, sf):
+    docs = table(spark, sf, "documents").where(F.col("text").isNotNull()).withColumn("dataset_id", F.substring("source", 4, 20).cast("long"))
+    return docs.select(retrieval.passage_id("dataset_id", "doc_id").alias("passage_id"), "dataset_id", "doc_id", "text", F.lit("survey").alias("dataset_type"))
+
+
+def _two_runs(spark, sf):
+    """A first run over all documents and a second after some changed, some went and one dataset lost all."""
+    store = Store(spark, scratch_path(spark, "store"))
+    first = _passages(spark, sf)
+    _, model = retrieval.hashed_embedding(first)
+    encode = lambda df: retrieval.hashed_embedding(df, model=model)[0]
+    indexing.index_run(store, first, encode, as_of=MOMENT)
+    even = (F.col("doc_id") % 10 == 0) & (F.col("dataset_id") % 2 == 0)
+    second = first.withColumn("text", F.when(even, F.concat("text", F.lit(" again"))).otherwise(F.col("text")))
+    second = second.where((F.col("dataset_id") != 3) & ~((F.col("dataset_id") == 5) & (F.col("doc_id") % 7 == 0)))
+    return store, indexing.index_run(store, second, encode, first.select("dataset_id"), MOMENT), indexing.index_run(store, second, encode, first.select("dataset_id"), MOMENT)
+
+
+@query("indexed_passages", f"SELECT passage_id, dataset_id, md5(text) AS text_md5, regexp_matches(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS has_vector FROM ({INDEXED_SQL})")
+def indexed_passages(spark, sf):
+    store, _, _ = _two_runs(spark, sf)
+    some = F.exists("embedding", lambda x: x != 0)
+    return store.table("passages").select("passage_id", "dataset_id", F.md5("text").alias("text_md5"), some.alias("has_vector"))
+
+
+@query("indexing_run", f"""
+    WITH first AS (SELECT doc_id, CAST(substr(source, 4) AS BIGINT) AS dataset_id FROM documents WHERE text IS NOT NULL),
+    second AS (SELECT * FROM first WHERE dataset_id <> 3 AND NOT (dataset_id = 5 AND doc_id % 7 = 0))
+    SELECT dataset_id, count(s.doc_id) FILTER (s.doc_id % 10 = 0 AND dataset_id % 2 = 0) AS encoded, count(s.doc_id) FILTER (NOT (s.doc_id % 10 = 0 AND dataset_id % 2 = 0)) AS kept,
+           count(*) - count(s.doc_id) AS removed, 0::BIGINT AS encoded_again, count(s.doc_id) AS kept_again
+    FROM first f LEFT JOIN second s USING (doc_id, dataset_id) GROUP BY dataset_id""")
+def indexing_run(spark, sf):
+    _, second, third = _two_runs(spark, sf)
+    third = third.select("dataset_id", F.col("encoded").alias("encoded_again"), F.col("kept").alias("kept_again"))
+    return second.join(third, "dataset_id", "left").na.fill(0, ["encoded_again", "kept_again"])

@@ -114,11 +114,15 @@ class Store:
         fs, p = self._fs_path(path)
         return fs.exists(p)
 
-    def _folders(self, name: str, df: DataFrame) -> tuple[DataFrame, str | None]:
-        """The frame in the table's columns, with the column that its folders go by; missing columns become NULL."""
+    def shaped(self, name: str, df: DataFrame) -> DataFrame:
+        """The frame in the table's columns; missing columns become NULL."""
         fields = self.spark.createDataFrame([], SCHEMAS[name]).schema
         have = set(df.columns)
-        shaped = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+        return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+    def _folders(self, name: str, df: DataFrame) -> tuple[DataFrame, str | None]:
+        """The frame in the table's columns, with the column that its folders go by."""
+        shaped = self.shaped(name, df)
         if name in _BUCKETED:
             return shaped.withColumn("bucket", F.pmod("dataset_id", F.lit(BUCKETS)).cast("int")), "bucket"
         return shaped, "dataset_id" if name in _PARTITIONED else None
@@ -147,11 +151,11 @@ class Store:
         """Overwrites the rows of the datasets that occur in the frame and no others."""
         shaped, folder = self._folders(name, df)
         if name in _BUCKETED:
-            new = self._kept(shaped)
+            new = self.kept(shaped)
             touched = new.select("bucket").distinct()
             old = self._bucketed(name).join(F.broadcast(touched), "bucket", "left_semi").join(new.select("dataset_id").distinct(), "dataset_id", "left_anti")
             # Read and rewritten folders are the same, so what stays is written elsewhere first.
-            shaped = new.unionByName(self._kept(old))
+            shaped = new.unionByName(self.kept(old))
         self._overwrite(name, shaped, folder)
 
     def _overwrite(self, name: str, shaped: DataFrame, folder: str) -> None:
@@ -163,7 +167,8 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name] + ", bucket int")
         return self.spark.read.schema(SCHEMAS[name] + ", bucket int").parquet(self._path(name))
 
-    def _kept(self, df: DataFrame) -> DataFrame:
+    def kept(self, df: DataFrame) -> DataFrame:
+        """The frame written to scratch space and read again."""
         path = scratch_path(self.spark, "store")
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -208,7 +213,7 @@ class Store:
                 entries = entries.withColumn(field.name, F.lit(None).cast(field.dataType))
         keyed = entries.withColumn("_key", dataset_key()).withColumn("dataset_id", key_to_id_column(F.col("_key"))).dropDuplicates(["dataset_id"])
         known = self.table("datasets").select("dataset_id")
-        new = self._kept(keyed.join(known, "dataset_id", "left_anti"))
+        new = self.kept(keyed.join(known, "dataset_id", "left_anti"))
         step = lambda status, result: new.select(
             F.lit("store_dataset").alias("operation"), F.col("_key").alias("idempotency_key"), F.lit(status).alias("status"), result.alias("result_json"),
             F.lit(None).cast("string").alias("error"), moment.alias("ts"),
@@ -290,18 +295,22 @@ class Store:
         else:
             raise ValueError("kind must be csv or json")
 
+    def drop_folder(self, name: str, dataset_id: int) -> None:
+        """Removes a dataset's folder of a table that is partitioned by dataset."""
+        fs, p = self._fs_path(f"{self._path(name)}/dataset_id={dataset_id}")
+        if fs.exists(p):
+            fs.delete(p, True)
+
     def delete_dataset(self, dataset_id: int) -> bool:
         """Drops the dataset's folders and its rows in its buckets; passages go first, the registry last."""
         if self._of("datasets", dataset_id).isEmpty():
             return False
         for table in ["passages"] + [t for t in _PARTITIONED if t != "passages"]:
-            fs, p = self._fs_path(f"{self._path(table)}/dataset_id={dataset_id}")
-            if fs.exists(p):
-                fs.delete(p, True)
+            self.drop_folder(table, dataset_id)
         for table in [t for t in _BUCKETED if t != "datasets"] + ["datasets"]:
             bucket = dataset_id % BUCKETS
             rows = self._bucketed(table).where(F.col("bucket") == bucket)
-            kept = self._kept(rows.where(F.col("dataset_id") != dataset_id))
+            kept = self.kept(rows.where(F.col("dataset_id") != dataset_id))
             if kept.isEmpty():
                 # Nothing is left to overwrite the folder with.
                 fs, p = self._fs_path(f"{self._path(table)}/bucket={bucket}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.coerce import looks_like_period, to_day
 from gaugeworks.operators import normalize
-from gaugeworks.sources import diff, intake, ledger
+from gaugeworks.sources import diff, indexing, intake, ledger
 from gaugeworks.sources import store as store_module
 from gaugeworks.sources.store import Load, Store
 
@@ -176,6 +176,29 @@ def test_many_datasets_are_loaded_at_once(spark, tmp_path):
     assert store.table("usage_statistics").count() == 15 and store.delete_dataset(ids[1]) and store.table("datasets").count() == 6
 
 
+def test_a_second_indexing_run_encodes_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    usage = spark.createDataFrame([("2024-01-01", "visits", 10.0)], "date string, metric_name string, metric_value double")
+    a, b = store.add_datasets([Load(usage, "a", "usage", "ha"), Load(usage, "b", "usage", "hb")])
+    rows = [(f"p{i}", a, f"text {i}") for i in range(6)] + [("q", b, "other"), ("q", b, "other")]
+    passages = spark.createDataFrame(rows, "passage_id string, dataset_id long, text string")
+    encoded = []
+
+    def encode(df):
+        encoded.append(sorted(r["passage_id"] for r in df.collect()))
+        return df.withColumn("embedding", F.array(F.char_length("text").cast("float")))
+
+    both = spark.createDataFrame([(a,), (b,)], "dataset_id long")
+    run = lambda df: {r["dataset_id"]: tuple(r)[1:] for r in indexing.index_run(store, df, encode, both).collect()}
+    assert run(passages) == {a: (6, 0, 0), b: (1, 0, 0)} and run(passages) == {a: (0, 6, 0), b: (0, 1, 0)}
+    changed = passages.where("dataset_id = %d and passage_id <> 'p0'" % a).withColumn("text", F.when(F.col("passage_id") == "p1", "longer text").otherwise(F.col("text")))
+    assert run(changed) == {a: (1, 4, 1), b: (0, 0, 1)}
+    assert encoded == [["p0", "p1", "p2", "p3", "p4", "p5", "q"], [], ["p1"]]
+    got = {r["passage_id"]: r["embedding"] for r in store.table("passages").collect()}
+    assert got == {"p1": [11.0], "p2": [6.0], "p3": [6.0], "p4": [6.0], "p5": [6.0]}
+    assert {r["dataset_id"]: r["indexing_status"] for r in store.table("datasets").collect()} == {a: "completed", b: "pending"}
+
+
 def test_half_written_load_is_repeated_not_doubled(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     df = spark.createDataFrame([("2024-01-01", "visits", 10.0)], "date string, metric_name string, metric_value double")
