@@ -9,30 +9,34 @@ from gaugeworks.llm import bpe, decontaminate, jaccard, substrings, toxicity
 from gaugeworks.llm.queries import labelled, word_tokenizer
 from gaugeworks.session import scratch_path
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _as_given(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, those beyond the five of the table included, in their order."""
+    return found.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity model, fitted on the labelled ones, rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(labelled(docs, labels, "toxic", toxicity.SAMPLE))
-    return toxicity.accepted(docs, model).select(*COLUMNS)
+    return _as_given(toxicity.accepted(docs, model), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of every group of near copies."""
-    return jaccard.one_of_each(docs).select(*COLUMNS)
+    return _as_given(jaccard.one_of_each(docs), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts words that repeat a window of an earlier document; every document stays."""
     cut = substrings.drop_repeats(docs)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return _as_given(cut.withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    return _as_given(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
