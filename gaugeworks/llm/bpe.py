@@ -225,14 +225,23 @@ def encode(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with a column ``decoded`` from a column of packed ids; null ids decode to null.
 
-    A column of that name is replaced. Ids outside the vocabulary are an error.
+    Distinct id sequences become rows of position and id, which are joined with the vocabulary's id-to-piece table, broadcast as
+    it has a fixed size, and put together by position. A column of that name is replaced. Ids outside the vocabulary are left out.
     """
     with open(tokenizer, encoding="utf-8") as file:
-        rules_of = _once(file.read())
-
-    @F.pandas_udf("string")
-    def joined(packed):
-        pieces = rules_of().pieces()
-        return packed.map(lambda raw: None if raw is None else "".join(pieces.take(pa.array(np.frombuffer(raw, "<u4"))).to_pylist())[:-1])
-
-    return encoded.withColumn("decoded", joined(F.col(ids)))
+        rules = WordEncoder(file.read())
+    spark = encoded.sparkSession
+    pieces = F.broadcast(spark.createDataFrame([(i, rules.piece(i) or "") for i in range(rules.size)], "_id long, _piece string"))
+    packed = F.col("`" + ids.replace("`", "``") + "`")
+    key = F.sha2(packed, 256)
+    distinct = encoded.where(packed.isNotNull()).groupBy(key.alias("_key")).agg(F.first(packed).alias("_ids"))
+    # Four bytes an id, the lowest first.
+    byte = lambda at: F.hex(F.substring("_ids", at, F.lit(1)))
+    number = lambda i: F.conv(F.concat(*[byte(i * 4 + F.lit(b)) for b in (4, 3, 2, 1)]), 16, 10).cast("long")
+    count = F.floor(F.octet_length("_ids") / 4).cast("int")
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    tokens = distinct.select("_key", F.posexplode_outer(F.transform(places, number)).alias("_at", "_id"))
+    found = tokens.join(pieces, "_id", "left").groupBy("_key").agg(F.array_sort(F.collect_list(F.when(F.col("_piece").isNotNull(), F.struct("_at", "_piece")))).alias("_all"))
+    texts = found.select("_key", F.array_join(F.transform("_all", lambda x: x["_piece"]), " ").alias("_text"))
+    names = [c for c in encoded.columns if c != "decoded"]
+    return encoded.join(texts, key == F.col("_key"), "left").select(*[F.col("`" + c.replace("`", "``") + "`") for c in names], F.col("_text").alias("decoded"))
