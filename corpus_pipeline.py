@@ -10,7 +10,6 @@ from gaugeworks.llm.queries import labelled, word_tokenizer
 from gaugeworks.session import scratch_path
 
 
-
 def _as_given(found: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, those beyond the five of the table included, in their order."""
     return found.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
