@@ -359,6 +359,9 @@ def _links_between(sets: DataFrame, classes: DataFrame, percent: int, some: int
 
 def _joined(classes: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
     """``classes`` with the smallest class that links reach, and how many classes that makes less."""
+    links = stored(links, "links")
+    if links.isEmpty():
+        return classes, 0
     found = stored(components(links).select(F.col("id").alias("class"), "component").filter("class <> component"), "found")
     return stored(classes.join(found, "class", "left").select("key", F.coalesce("component", "class").alias("class")), "joined"), found.count()
 
@@ -374,6 +377,8 @@ def _chains(copies: DataFrame, classes: DataFrame) -> DataFrame:
     targets = copies.select(F.col("copy_of").alias("key")).distinct()
     edges = copies.join(several.union(targets).distinct(), "key", "left_semi").select(F.col("key").alias("a"), F.col("copy_of").alias("b"))
     edges = stored(edges, "chains")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     ends = edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct()
     return components(edges.union(classes.join(ends, "key", "left_semi").select("key", "class")))
 
