@@ -71,6 +71,16 @@ def table_diff(spark, sf):
     return diff.table_diff(left, right.unionByName(added), ["o_orderkey"]).select("o_orderkey", "kind", "column")
 
 
+@query("table_diff_buckets", """
+    SELECT o_orderkey, 'changed' AS kind, 'o_totalprice' AS "column" FROM orders WHERE o_orderkey % 1000 = 1
+    UNION ALL SELECT NULL, 'right_column', 'added' FROM (SELECT count(*) FROM orders)""")
+def table_diff_buckets(spark, sf):
+    left = table(spark, sf, "orders")
+    price = F.col("o_totalprice") + F.when(F.col("o_orderkey") % 1000 == 1, 2.0).otherwise(0.0)
+    right = left.withColumn("o_totalprice", price).withColumn("added", F.lit(1))
+    return diff.table_diff(left, right, ["o_orderkey"], buckets=4096).select("o_orderkey", "kind", "column")
+
+
 @query("listed_analyses", """
     SELECT o_orderkey AS analysis_id, o_custkey AS dataset_id, 'trend' AS analysis_type, o_orderpriority = '1-URGENT' AS has_interpretation,
            false AS has_insights, true AS has_recommendations FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25""")

@@ -230,6 +230,19 @@ def test_table_diff(spark):
     assert diff.tables_equivalent(numbers, texts, ["k"])
 
 
+def test_columns_on_one_side_and_buckets(spark):
+    left = spark.createDataFrame([(1, 2, 3), (2, 2, 3)], "k int, a int, b int")
+    right = spark.createDataFrame([(1, 2), (2, 5)], "k int, a long")
+    for buckets in (None, 4):
+        got = {tuple(r) for r in diff.table_diff(left, right, ["k"], buckets=buckets).collect()}
+        assert got == {(2, "changed", "a", "2", "5"), (None, "left_column", "b", None, None)}
+    many = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 0.5).alias("v"), F.when(F.col("id") % 7 != 0, F.col("id").cast("string")).alias("t"))
+    other = many.where("k <> 5").withColumn("v", F.when(F.col("k") == 77, 1.25).when(F.col("k") == 78, F.col("v") + 1e-12).otherwise(F.col("v"))).withColumn("t", F.coalesce("t", F.lit("")))
+    got = sorted((r["k"], r["kind"]) for r in diff.table_diff(many, other, ["k"], buckets=64).collect())
+    assert got == [(5, "left_only"), (77, "changed")]
+    assert diff.differing_buckets(many, other, ["k"], ["v", "t"], 64).count() <= 3
+
+
 ROWS = st.lists(st.tuples(st.sampled_from(["2024-01-01", "2024-12-31"]), st.text(alphabet="abc \",;é\n", min_size=1, max_size=12), st.integers(0, 10000)), min_size=1, max_size=12)
 
 
