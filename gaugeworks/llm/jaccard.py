@@ -48,6 +48,7 @@ FIRST = 3
 # At most so many rounds of leaders, and of links to the next class, come before the full pass.
 ROUNDS = 6
 LAST = (1 << 63) - 1
+CODE_BITS = 28
 # Up to this many keys, 8 MB, are broadcast.
 SENT_KEYS = 1_000_000
 # Blocks are smaller than elsewhere, since sets take more room than words.
@@ -108,9 +109,12 @@ def _block_sets(block: pa.RecordBatch, width: int):
 
 
 def _by_bucket(distinct: np.ndarray, buckets: int):
-    """Of every bucket: its number, the places of its hashes in order of their codes, and the codes (32 bits)."""
+    """Of every bucket: its number, the places of its hashes in order of their codes, and the codes.
+
+    A bucket has about two million hashes, whatever the input, so ``CODE_BITS`` let one in a hundred meet a foreign one.
+    """
     mixed = B.mix(distinct, 0x2545F4914F6CDD1D)
-    codes = (mixed >> np.uint64(32)).astype(np.uint32)
+    codes = (mixed >> np.uint64(64 - CODE_BITS)).astype(np.uint32)
     order = np.argsort(codes, kind="stable")
     for number, part in B.split((mixed[order] % np.uint64(buckets)).astype(np.int64)):
         yield number, order[part], codes[order[part]]
@@ -295,6 +299,8 @@ def _classes(sets: DataFrame, percent: int) -> DataFrame:
     lead = lambda rows, salt: _salted(rows, ["least"], PART, salt).groupBy("least", "part").applyInArrow(_leaders(percent), "key long, leader long")
     classes = stored(lead(sets, 0).select("key", F.col("leader").alias("class")), "classes")
     large = stored(sets.groupBy("least").agg(F.count("*").alias("n")).filter(F.col("n") > PART).select("least"), "cut")
+    if large.isEmpty():
+        return classes
     heads = stored(sets.join(large, "least", "left_semi").join(classes.filter("key = class").select("key"), "key", "left_semi").dropDuplicates(["key"]), "leaders")
     count = heads.count()
     for salt in range(1, ROUNDS):
