@@ -724,7 +724,49 @@ def normality_ks(spark, sf):
     return shape.ks_normality(table(spark, sf, "customer"), "c_acctbal")
 
 
-@query("normality")
+# A rational approximation of the normal quantile, to nine digits.
+_TAIL = ((-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+         (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0))
+_MIDDLE = ((-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+           (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0))
+
+
+def _polynomial(coefficients, x: str) -> str:
+    out = str(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"(({out}) * ({x}) + ({c}))"
+    return out
+
+
+def _quantile_sql(p: str) -> str:
+    ratio = lambda pair, x: f"({_polynomial(pair[0], x)}) / ({_polynomial(pair[1], x)})"
+    half, low = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    middle = f"{half} * {ratio(_MIDDLE, f'{half} * {half}')}"
+    return f"(CASE WHEN least({p}, 1 - {p}) < 0.02425 THEN sign(0.5 - {p}) * {ratio(_TAIL, low)} ELSE {middle} END)"
+
+
+def _shapiro_sql(source: str, value: str, group: str) -> str:
+    """Shapiro-Wilk by Royston's approximation, for groups of 12 to 5000 values."""
+    last = _polynomial((-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, "m1 / sqrt(mm)"), "1 / sqrt(n)")
+    second = _polynomial((-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, "m2 / sqrt(mm)"), "1 / sqrt(n)")
+    centre, spread = _polynomial((0.0038915, -0.083751, -0.31082, -1.5861), "ln(n)"), f"exp({_polynomial((0.0030302, -0.082676, -0.4803), 'ln(n)')})"
+    return f"""
+        WITH placed AS (
+            SELECT {group} AS g, {value}::DOUBLE AS x, row_number() OVER (PARTITION BY {group} ORDER BY {value}) AS i, count(*) OVER (PARTITION BY {group}) AS n
+            FROM {source} WHERE {value} IS NOT NULL),
+        scored AS (SELECT *, {_quantile_sql("((i - 0.375) / (n + 0.25))")} AS m FROM placed),
+        sums AS (SELECT g, any_value(n) AS n, sum(m * m) AS mm, max(m) FILTER (i = n) AS m1, max(m) FILTER (i = n - 1) AS m2, var_pop(x) * any_value(n) AS ss FROM scored GROUP BY g),
+        ends AS (SELECT *, {last} AS a1, {second} AS a2 FROM sums),
+        whole AS (SELECT *, (mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) AS phi FROM ends),
+        tests AS (
+            SELECT g, any_value(w.n) AS n, pow(sum(x * CASE WHEN i = w.n THEN a1 WHEN i = 1 THEN -a1 WHEN i = w.n - 1 THEN a2 WHEN i = 2 THEN -a2 ELSE m / sqrt(phi) END), 2) / any_value(ss) AS w
+            FROM scored JOIN whole w USING (g) GROUP BY g),
+        judged AS (SELECT *, (ln(1 - w) - {centre}) / {spread} AS z FROM tests)
+        SELECT g AS {group}, n, w AS statistic, CASE WHEN z > 0 THEN {z_p_sql("z")} / 2 ELSE 1 - {z_p_sql("z")} / 2 END AS p_value FROM judged"""
+
+
+@query("normality", f"""
+    SELECT *, 'Shapiro-Wilk' AS test_name, p_value > 0.05 AS is_normal FROM ({_shapiro_sql("orders", "o_totalprice", "o_orderpriority")})""", "statistic p_value")
 def normality(spark, sf):
     return shape.normality(table(spark, sf, "orders"), "o_totalprice", ("o_orderpriority",))
 
@@ -735,8 +777,9 @@ def recommended_correlation(spark, sf):
     return shape.recommend_correlation(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
 
 
-@query("recommended_comparison", """
-    SELECT count(DISTINCT o_orderpriority) AS n_groups, false AS all_normal, 'kruskal-wallis' AS recommended_test FROM orders""")
+@query("recommended_comparison", f"""
+    SELECT count(*) AS n_groups, bool_and(p_value > 0.05) AS all_normal, CASE WHEN bool_and(p_value > 0.05) THEN 'anova' ELSE 'kruskal-wallis' END AS recommended_test
+    FROM ({_shapiro_sql("orders", "o_totalprice", "o_orderpriority")})""")
 def recommended_comparison(spark, sf):
     return shape.recommend_comparison(table(spark, sf, "orders"), "o_totalprice", "o_orderpriority")
 
