@@ -209,6 +209,7 @@ PATTERN_TEXTS = {
     "skewed": "Non-normal distribution detected",
 }
 EVIDENCE_TEXTS = {
+    "profile": "Answered from dataset profiles, not vector retrieval.",
     "High": "Retrieved source rows closely matched the question.",
     "Medium": "Retrieved source rows were relevant but not tightly matched.",
     "Low": "Retrieved source rows were only loosely matched.",
@@ -223,3 +224,29 @@ QUESTION_TEMPLATES = (
     ("circulation", "metric_name", "What are the trends for {}?"),
     (None, "metric_name", "What are the usage statistics for {}?"),
 )
+
+# Name hints of the columns of canonical rows, in the order in which a column's role is tried.
+SURVEY_ROLES = (
+    ("response_date", ("date", "time")),
+    ("question", ("question", "prompt", "item")),
+    ("response_text", ("response", "answer", "feedback", "comment", "text")),
+)
+USAGE_ROLES = (
+    ("date", ("date", "time", "period")),
+    ("metric_name", ("metric", "name", "measure", "indicator")),
+    ("metric_value", ("value", "count", "total", "number", "visits", "sessions")),
+    ("category", ("category", "type", "group")),
+)
+CIRCULATION_ROLES = (
+    ("checkout_date", ("date", "time")),
+    ("material_type", ("material", "type", "format", "item", "resource")),
+    ("patron_type", ("patron", "user", "borrower", "member", "category")),
+)
+# Name hints for renaming text files, and for the metric and title of a wide period report.
+TEXT_RENAMES = (
+    ("response_text", ("response", "answer", "feedback", "comment", "text", "question"), ()),
+    ("response_date", ("date", "time", "timestamp"), ()),
+    ("question", ("question", "prompt", "topic", "category"), ("response_text",)),
+)
+PERIOD_METRIC_HINTS = ("metric", "measure", "type")
+PERIOD_TITLE_HINTS = ("title", "database", "platform", "resource")

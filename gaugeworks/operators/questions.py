@@ -66,12 +66,17 @@ def evidence_label(confidence: Column, citations: Column, intent_col: Column | N
     return label if intent_col is None else F.when(intent_col.isin(*K.PROFILE_INTENTS), "High").otherwise(label)
 
 
-def assess_evidence(df: DataFrame, confidence: str = "confidence", citations: str = "citations", question: str = "question") -> DataFrame:
-    """Adds label, score and reason for answered questions that carry their intent."""
+def assess_evidence(df: DataFrame, confidence: str = "confidence", citations: str = "citations", question: str = "question", has_profiles: Column | bool = True) -> DataFrame:
+    """Adds label, score and reason for answered questions that carry their intent.
+
+    ``has_profiles`` tells whether any dataset was profiled; an answer from profiles has no evidence without one.
+    """
+    known = has_profiles if isinstance(has_profiles, Column) else F.lit(has_profiles)
     profiled = F.col("intent").isin(*K.PROFILE_INTENTS)
     label = evidence_label(F.col(confidence), F.col(citations), F.col("intent"))
+    label = F.when(profiled & ~known, "Low").otherwise(label)
     reason = (
-        F.when(profiled, "Answered from dataset profiles, not vector retrieval.")
+        F.when(profiled, K.EVIDENCE_TEXTS["profile"])
         .when(label == "High", K.EVIDENCE_TEXTS["High"])
         .when(label == "Medium", K.EVIDENCE_TEXTS["Medium"])
         .otherwise(K.EVIDENCE_TEXTS["Low"])
@@ -82,7 +87,7 @@ def assess_evidence(df: DataFrame, confidence: str = "confidence", citations: st
         K.EVIDENCE_TEXTS["broad"],
     ).otherwise("")
     return df.select(
-        "*", label.alias("label"), F.when(profiled, F.lit(1.0)).otherwise(F.col(confidence)).alias("score"),
+        "*", label.alias("label"), F.when(profiled, known.cast("double")).otherwise(F.col(confidence)).alias("score"),
         F.concat(reason, hint).alias("reason"),
     )
 

@@ -127,6 +127,8 @@ def test_values_are_tested_beyond_their_heads(spark):
 def test_evidence(spark):
     df = spark.createDataFrame([(0.7, 3, "retrieval", "q"), (0.7, 2, "retrieval", "overview"), (0.1, 5, "retrieval", "q"), (0.0, 0, "data_quality", "q")], "confidence double, citations int, intent string, question string")
     rows = questions.assess_evidence(df).collect()
+    bare = questions.assess_evidence(df, has_profiles=False).collect()
+    assert (bare[3]["label"], bare[3]["score"]) == ("Low", 0.0) and bare[0]["label"] == "High"
     assert [r["label"] for r in rows] == ["High", "Medium", "Low", "High"] and rows[3]["score"] == 1.0 and "Broad" in rows[1]["reason"]
 
 
