@@ -242,7 +242,7 @@ def report_full(spark, sf):
 
 def _event_stream(spark, sf):
     events = _events(spark, sf)
-    stream = monitors.file_stream(spark, sf, events.schema, glob="events.parquet")
+    stream = monitors.table_stream(spark, f"{sf}/events.parquet", events.schema)
     return monitors.finished(
         lambda folder: stream.unionByName(monitors.file_stream(spark, folder, events.schema)), events, "ts"
     )
@@ -291,7 +291,7 @@ def stream_sessions(spark, sf):
 @query("stream_dedup", f"SELECT idempotency_key, count(*) AS n FROM (SELECT DISTINCT ON (coalesce(idempotency_key, 'row:' || id)) * FROM ({KEYED_SQL})) GROUP BY ALL")
 def stream_dedup(spark, sf):
     events = _events(spark, sf)
-    stream = monitors.file_stream(spark, sf, events.schema, glob="events.parquet")
+    stream = monitors.table_stream(spark, f"{sf}/events.parquet", events.schema)
     key = F.when(F.col("event_type") != "view", F.concat_ws(":", "event_type", F.col("user_id").cast("string")))
     log = stream.select(F.col("event_id").alias("id"), "ts", key.alias("idempotency_key"))
     kept = monitors.collect_available(monitors.deduplicated_log(log, delay="60 days"), "dedup")
@@ -301,7 +301,7 @@ def stream_dedup(spark, sf):
 @query("stream_redaction", PII_TOTALS_SQL)
 def stream_redaction(spark, sf):
     docs = table(spark, sf, "documents")
-    stream = monitors.file_stream(spark, sf, docs.schema, glob="documents.parquet")
+    stream = monitors.table_stream(spark, f"{sf}/documents.parquet", docs.schema)
     base = scratch_path(spark, "redaction")
     monitors.redaction_running_totals(stream, "text", f"{base}/totals", f"{base}/checkpoint").awaitTermination()
     return monitors.latest_totals(spark, f"{base}/totals")
@@ -311,7 +311,7 @@ def stream_redaction(spark, sf):
     SELECT lang, count(*) AS n FROM (SELECT text, min(lang) AS lang FROM (SELECT text, arg_min(lang, doc_id) AS lang FROM documents GROUP BY text) GROUP BY text) GROUP BY lang""")
 def stream_intake(spark, sf):
     docs = table(spark, sf, "documents")
-    stream = monitors.file_stream(spark, sf, docs.schema, glob="documents.parquet").withColumn("content_key", F.sha2("text", 256))
+    stream = monitors.table_stream(spark, f"{sf}/documents.parquet", docs.schema).withColumn("content_key", F.sha2("text", 256))
     base = scratch_path(spark, "intake")
     monitors.intake(stream, f"{base}/rows", f"{base}/keys", ("content_key",), ("doc_id",), f"{base}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))

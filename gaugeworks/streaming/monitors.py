@@ -32,6 +32,15 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str
     return reader.load(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of part files.
+
+    The name is given as a pattern that only it meets, since Spark takes a path without a pattern for a folder.
+    """
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return file_stream(spark, f"{folder}/{{{name}}}", schema)
+
+
 def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Processes everything that is there into a Parquet folder and stops."""
     query = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)

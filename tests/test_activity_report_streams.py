@@ -132,6 +132,21 @@ def test_stream_redaction_and_dedup(spark, tmp_path):
         assert got == {"email": 3 + len(more), "phone": 0, "ssn": 0, "address": 0}
 
 
+def test_stream_queries_read_tables_that_are_folders(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    docs = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "a@b.com", "en", "src1", 7), (2, "a@b.com", "de", "src1", 7), (3, "c@d.org x", "de", "src2", 9), (4, "plain", "fr", "src2", 5)]
+    spark.createDataFrame(rows, docs).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    events = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    rows = [(i, START + timedelta(minutes=i), 1, "view", 1.0, "{}") for i in range(3)]
+    spark.createDataFrame(rows, events).repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    run = lambda name: entry.queries()[name](spark, str(tmp_path))
+    assert sorted((r["lang"], r["n"]) for r in run("stream_intake").collect()) == [("de", 1), ("en", 1), ("fr", 1)]
+    assert {r["kind"]: r["total"] for r in run("stream_redaction").collect()} == {"email": 3, "phone": 0, "ssn": 0, "address": 0}
+    assert [r["calls"] for r in run("stream_op_stats").collect()] == [3]
+
+
 def test_exact_attempts_equal_the_batch_report(spark, event_folder):
     folder, batch = event_folder
     stream = monitors.file_stream(spark, folder, batch.schema, max_files=10)
