@@ -157,6 +157,23 @@ def test_exact_attempts_equal_the_batch_report(spark, event_folder):
         same(got, activity.repeated_attempts(batch, seconds=seconds, limit=limit).withColumn("ts", F.col("ts").cast("timestamp")))
 
 
+def test_state_of_exact_attempts_does_not_grow_with_users(spark, tmp_path):
+    """Ids beyond 2^53 stay exact beside a null one."""
+    schema = "event_id long, ts timestamp, user_id long"
+    rows = [(i, START, i) for i in range(3000)] + [(2**53 + 1, START, 7), (None, START, 7), (1, START, None), (2, START, None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    closed = monitors.finished(lambda folder: monitors.file_stream(spark, str(tmp_path / "in"), batch.schema).unionByName(monitors.file_stream(spark, folder, batch.schema)), batch, "ts")
+    found = exact.exact_attempts(closed, seconds=60, limit=2)
+    with exact.state_store(spark):
+        query = found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) < 1000
+    got = spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect()
+    want = [(7, 7, 3), (7, 2**53 + 1, 3), (7, None, 3), (None, 1, 2), (None, 2, 2)]
+    assert sorted(str((r["user_id"], r["event_id"], r["attempts"])) for r in got) == sorted(map(str, want))
+
+
 QUICK = (
     "usage_stats", "circulation_rows", "data_dictionary", "group_stats", "trend_fit", "acf", "corr_pearson", "anova", "shape", "pii_redact",
     "intent_classify", "lexicon_sentiment", "knn_top5", "retrieval_metrics", "table_diff", "op_stats", "rate_limit", "latest_n_per_user",
