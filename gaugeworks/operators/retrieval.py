@@ -21,7 +21,11 @@ from gaugeworks.functions.text import token_estimate, words
 QUESTION_BYTES = 64 * 1024 * 1024
 PIVOTS = 64
 CHUNK_ROWS = 50_000
-BLOCK_ROWS = 5_000
+BLOCK_ROWS = 50_000
+# Blocks of questions are made smaller, down to this, until every core has one.
+LEAST_BLOCK_ROWS = 2_000
+# Pairs of vectors that are worth a task of their own.
+TASK_PAIRS = 1_000_000_000
 # Distances are compared after rounding, so that equal ones are ordered by id.
 DISTANCE_DIGITS = 9
 
@@ -115,16 +119,119 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _keep_best(best_d, best_i, d, ids, k):
-    """Merges distances of new passages (questions x rows) into the k best per question."""
-    all_d = d if best_d is None else np.concatenate([best_d, d], axis=1)
-    rows = np.broadcast_to(ids, d.shape)
-    all_i = rows if best_i is None else np.concatenate([best_i, rows], axis=1)
-    if all_d.shape[1] > k:
-        # Everything up to the k-th distance stays until ties are settled by id.
-        order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-        return np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-    return all_d, all_i
+class Nearest:
+    """The k nearest passages of some questions, from passages that come in parts.
+
+    A product of single-precision matrices, widened by a bound of its rounding error, tells which pairs can be within the limit and
+    the k-th distance so far; only those get a distance in double precision. Nothing is lost, and nothing larger than ``STEP`` by ``MOST`` is held.
+    """
+
+    STEP, FIRST, MOST, SLICE = 256, 256, 4096, 32_768
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, limit: float | None, exclude_same: bool = False):
+        self.ids, self.vectors, self.k, self.exclude_same = ids, vectors, k, exclude_same
+        self.limit = math.inf if limit is None else limit
+        self.distance = np.full((len(ids), k), math.inf)
+        self.held = np.zeros((len(ids), k), bool)
+        self.keys = None
+        self.waiting, self.waits = [], 0
+        self.squares = (vectors * vectors).sum(1)
+        # Beyond single precision every pair gets its distance.
+        self.safe = bool(np.isfinite(self.squares).all() and self.squares.max(initial=0.0) < 1e30)
+        self.slack = (vectors.shape[1] + 8) * 2.0**-23
+        if self.safe:
+            self.left = np.column_stack([vectors, np.ones(len(ids)), self.slack * np.sqrt(self.squares)]).astype(np.float32)
+
+    def reach(self, asked: np.ndarray) -> np.ndarray:
+        """The largest distance that still matters for each of these questions."""
+        return np.where(self.held[asked, -1], np.minimum(self.distance[asked, -1], self.limit), self.limit)
+
+    def add(self, keys: np.ndarray, rows: np.ndarray, which: np.ndarray | None = None) -> None:
+        """Takes passages into account, for the questions at the positions ``which`` or for all."""
+        if not len(rows) or not len(self.ids):
+            return
+        keys, rows = _without_spare_copies(keys, rows, self.k)
+        if self.keys is None:
+            self.keys = np.zeros(self.distance.shape, keys.dtype)
+        elif self.keys.dtype != keys.dtype:
+            self.keys = self.keys.astype(np.result_type(self.keys, keys))
+        squares = (rows * rows).sum(1)
+        safe = self.safe and bool(np.isfinite(squares).all() and squares.max() < 1e30)
+        right = np.column_stack([rows, (self.slack - 1) * squares / 2, np.sqrt(squares)]).astype(np.float32) if safe else None
+        which = np.arange(len(self.ids)) if which is None else which
+        for start in range(0, len(which), self.STEP):
+            asked = which[start:start + self.STEP]
+            left = self.left[asked] if safe else None
+            at, size = 0, self.MOST if self.held[asked, -1].all() else self.FIRST
+            while at < len(rows):
+                end = min(at + size, len(rows))
+                if safe:
+                    least = (self.squares[asked] - self.reach(asked) - 1e-9) / 2
+                    r, c = np.divmod(np.flatnonzero(left @ right[at:end].T >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None]), end - at)
+                else:
+                    r, c = np.divmod(np.arange(len(asked) * (end - at)), end - at)
+                self._take(asked[r], keys, rows, at + c)
+                # Sorting costs what is held, so a few that are near wait until they are worth it.
+                if self.waits > self.distance.size // 2 or not self.held[asked, -1].all():
+                    self._settle()
+                # The k-th distance gets smaller with every part, so parts can grow.
+                at, size = end, min(2 * size, self.MOST)
+
+    def _take(self, r: np.ndarray, keys: np.ndarray, rows: np.ndarray, c: np.ndarray) -> None:
+        if self.exclude_same:
+            other = keys[c] != self.ids[r]
+            r, c = r[other], c[other]
+        if not len(r):
+            return
+        d = np.empty(len(r))
+        for i in range(0, len(r), self.SLICE):
+            apart = self.vectors[r[i:i + self.SLICE]] - rows[c[i:i + self.SLICE]]
+            d[i:i + self.SLICE] = np.einsum("ij,ij->i", apart, apart)
+        d = np.round(d, DISTANCE_DIGITS)
+        near = ~(d > self.reach(r))
+        self.waiting.append((r[near], d[near], keys[c[near]]))
+        self.waits += len(self.waiting[-1][0])
+
+    def _settle(self) -> None:
+        if not self.waits:
+            return
+        r, d, ids = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.waits = [], 0
+        touched = np.unique(r)
+        has = self.held[touched]
+        r = np.concatenate([np.repeat(touched, self.k)[has.ravel()], r])
+        d = np.concatenate([self.distance[touched][has], d])
+        ids = np.concatenate([self.keys[touched][has], ids])
+        order = np.lexsort((ids, d, r))
+        r, d, ids = r[order], d[order], ids[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r, "left")
+        kept = place < self.k
+        r, place = r[kept], place[kept]
+        self.distance[r, place], self.keys[r, place], self.held[r, place] = d[kept], ids[kept], True
+
+    def found(self) -> pd.DataFrame:
+        """``_q``, ``_p`` and ``distance`` within the limit."""
+        self._settle()
+        if self.keys is None:
+            return pd.DataFrame({"_q": self.ids[:0], "_p": [], "distance": pd.Series([], dtype=float)})
+        shown = self.held if self.limit == math.inf else self.held & (self.distance <= self.limit)
+        return pd.DataFrame({"_q": np.repeat(self.ids, self.k)[shown.ravel()], "_p": self.keys[shown], "distance": self.distance[shown]})
+
+
+def _without_spare_copies(keys: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal vectors, those with the k + 1 smallest keys: no other is among the k nearest of any question, itself left out."""
+    if not rows.shape[1]:
+        return keys, rows
+    plain = np.ascontiguousarray(rows)
+    _, group, sizes = np.unique(plain.view(np.dtype((np.void, plain.shape[1] * plain.itemsize))).ravel(), return_inverse=True, return_counts=True)
+    if sizes.max() <= k + 1:
+        return keys, rows
+    many = np.flatnonzero(sizes[group] > k + 1)
+    copies = pd.DataFrame({"group": group[many], "key": keys[many]})
+    many = many[(copies.groupby("group")["key"].rank("dense", na_option="top") > k + 1).to_numpy()]
+    kept = np.ones(len(keys), bool)
+    kept[many] = False
+    return keys[kept], rows[kept]
 
 
 def nearest(
@@ -137,15 +244,15 @@ def nearest(
 
     Passages farther than ``limit`` are dropped. Each task reduces its passages to k rows per
     question before anything is shuffled. Question vectors are held by every task only when
-    they fit in ``question_bytes``; otherwise both sides are joined block by block.
+    they fit in ``question_bytes``; otherwise both sides are joined block by block. The pairs are
+    quadratic in number; see ``Nearest`` for what a pair costs.
     """
     q = questions.select(F.col(question_key).alias("_q"), F.col(vector).alias("_qv")).where(F.col("_qv").isNotNull())
     p = passages.select(F.col(passage_key).alias("_p"), F.col(vector).alias("_pv")).where(F.col("_pv").isNotNull())
     size = q.agg(F.count(F.lit(1)), F.max(F.size("_qv"))).first()
     n, width = size[0], size[1] or 0
-    keep = k + 1 if exclude_same_key else k
     fits = n * width * 8 <= question_bytes
-    found = _by_task(q, p, keep, limit) if fits else _by_block(q, p, keep, limit, n, chunk_rows, block_rows)
+    found = _by_task(q, p, k, limit, exclude_same_key) if fits else _by_block(q, p, k, limit, exclude_same_key, n, chunk_rows, block_rows)
     if exclude_same_key:
         found = found.where(F.col("_q") != F.col("_p"))
     order = Window.partitionBy("_q").orderBy("distance", "_p")
@@ -158,42 +265,55 @@ def _result_schema(q: DataFrame, p: DataFrame) -> str:
     return f"_q {q.schema['_q'].dataType.simpleString()}, _p {p.schema['_p'].dataType.simpleString()}, distance double"
 
 
-def _emit(q_ids, best_d, best_i, limit) -> pd.DataFrame:
-    width = best_d.shape[1]
-    out = pd.DataFrame({"_q": np.repeat(q_ids, width), "_p": best_i.ravel(), "distance": best_d.ravel()})
-    return out if limit is None else out[out["distance"] <= limit]
-
-
-def _by_task(q: DataFrame, p: DataFrame, k: int, limit: float | None) -> DataFrame:
+def _by_task(q: DataFrame, p: DataFrame, k: int, limit: float | None, exclude_same: bool) -> DataFrame:
     frame = q.toPandas()
     schema = _result_schema(q, p)
+    context = q.sparkSession.sparkContext
     if frame.empty:
         return q.sparkSession.createDataFrame([], schema)
-    held = q.sparkSession.sparkContext.broadcast((frame["_q"].to_numpy(), _matrix(frame["_qv"])))
+    held = context.broadcast((frame["_q"].to_numpy(), np.stack(frame["_qv"].to_numpy())))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors = held.value
-        step = max(1, 4_000_000 // 10_000)
-        best: dict[int, tuple] = {}
+        best = Nearest(ids, vectors.astype(np.float64), k, limit, exclude_same)
         for part in frames:
-            if part.empty:
-                continue
-            rows, keys = _matrix(part["_pv"]), part["_p"].to_numpy()
-            for start in range(0, len(ids), step):
-                d = _squared(vectors[start:start + step], rows)
-                best[start] = _keep_best(*best.get(start, (None, None)), d, keys, k)
-        for start, (d, i) in best.items():
-            yield _emit(ids[start:start + step], d, i, limit)
-
-    return p.mapInPandas(search, schema)
-
-
-def _by_block(q: DataFrame, p: DataFrame, k: int, limit: float | None, n: int, chunk_rows: int, block_rows: int) -> DataFrame:
+            if not part.empty:
+                best.add(part["_p"].to_numpy(), _matrix(part["_pv"]))
+        if best.keys is not None:
+            yield best.found()
+
+    # A table of few files would be searched by few tasks.
+    tasks = min(context.defaultParallelism, len(frame) * p.count() // TASK_PAIRS)
+    return (p.repartition(tasks, "_p") if tasks > 1 else p).mapInPandas(search, schema)
+
+
+def _dealt(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first chunk and the number of chunks of every cell: small cells share a chunk of up to ``most`` rows, large ones are cut."""
+    first, count = np.zeros(len(sizes), int), np.zeros(len(sizes), int)
+    at, room = -1, 0
+    for cell in np.argsort(-sizes, kind="stable"):
+        size = int(sizes[cell])
+        if size > most:
+            count[cell] = -(-size // most)
+            first[cell], at, room = at + 1, at + int(count[cell]), 0
+        elif size:
+            if size > room:
+                at, room = at + 1, most
+            first[cell], count[cell], room = at, 1, room - size
+    return first, count
+
+
+def blocks_of(n: int, block_rows: int, parallelism: int) -> int:
+    """Blocks of at most ``block_rows`` questions, and one per core if that leaves enough in each."""
+    return max(1, math.ceil(n / block_rows), min(parallelism, n // LEAST_BLOCK_ROWS))
+
+
+def _by_block(q: DataFrame, p: DataFrame, k: int, limit: float | None, exclude_same: bool, n: int, chunk_rows: int, block_rows: int) -> DataFrame:
     """Passages go to the nearest of a few pivots; a question visits only cells within reach.
 
     With cell radius r and pivot distance d, no passage of the cell is nearer than d - r, so a
-    cell beyond the limit is skipped without losing a result. Cells are cut into chunks and
-    questions into blocks of bounded size, however uneven the cells are.
+    cell beyond the limit, or beyond the k-th distance so far, is skipped without losing a result. Cells are dealt
+    to chunks and questions to blocks of bounded size, however uneven the cells are.
     """
     sample = p.orderBy(F.xxhash64("_p"), "_p").limit(PIVOTS).toPandas()
     schema = _result_schema(q, p)
@@ -212,34 +332,37 @@ def _by_block(q: DataFrame, p: DataFrame, k: int, limit: float | None, n: int, c
     # One row per pivot.
     cells = placed.groupBy("_c.cell").agg(F.max("_c.away").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
     radius = np.full(len(pivots), -np.inf)
-    chunks = np.zeros(len(pivots), dtype=int)
+    sizes = np.zeros(len(pivots), dtype=int)
     for row in cells:
-        radius[row["cell"]], chunks[row["cell"]] = row["radius"], math.ceil(row["n"] / chunk_rows)
+        radius[row["cell"]], sizes[row["cell"]] = row["radius"], row["n"]
+    first, count = _dealt(sizes, chunk_rows)
 
     @F.pandas_udf("array<int>")
     def visits(vectors: pd.Series) -> pd.Series:
         d = np.sqrt(_squared(_matrix(vectors), pivots))
-        near = (d - radius[None, :] <= reach + 1e-6) & (chunks[None, :] > 0)
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in near])
-
-    n_blocks = max(1, math.ceil(n / block_rows))
-    chunk_of = F.array(*[F.lit(int(c)) for c in chunks])
-    left = q.withColumn("_cell", F.explode(visits("_qv"))).withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(n_blocks)))
-    left = left.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.get(chunk_of, F.col("_cell")) - 1)))
+        # A distance that is no number skips nothing.
+        near = ~(d - radius[None, :] > reach + 1e-6) & (count[None, :] > 0)
+        chunks = [np.arange(f, f + c, dtype="int32") for f, c in zip(first, count, strict=True)]
+        return pd.Series([np.unique(np.concatenate([chunks[i] for i in np.flatnonzero(row)] or [chunks[0][:0]])) for row in near])
+
+    n_blocks = blocks_of(n, block_rows, q.sparkSession.sparkContext.defaultParallelism)
+    number = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("_cell"))
+    left = q.withColumn("_chunk", F.explode(visits("_qv"))).withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(n_blocks)))
     right = placed.select("_p", "_pv", F.col("_c.cell").alias("_cell"))
-    right = right.withColumn("_chunk", F.pmod(F.xxhash64("_p"), F.get(chunk_of, F.col("_cell")).cast("long")).cast("int"))
+    right = right.withColumn("_chunk", (number(first) + F.pmod(F.xxhash64("_p"), number(count).cast("long"))).cast("int"))
     right = right.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    keys = ["_cell", "_chunk", "_block"]
+    keys = ["_chunk", "_block"]
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"_q": a["_q"][:0], "_p": b["_p"][:0], "distance": pd.Series([], dtype=float)})
-        vectors, ids, keys_b, rows = _matrix(a["_qv"]), a["_q"].to_numpy(), b["_p"].to_numpy(), _matrix(b["_pv"])
-        best = (None, None)
-        for start in range(0, len(rows), 1000):
-            d = _squared(vectors, rows[start:start + 1000])
-            best = _keep_best(*best, d, keys_b[start:start + 1000], k)
-        return _emit(ids, best[0], best[1], limit)
+        best = Nearest(a["_q"].to_numpy(), _matrix(a["_qv"]), k, limit, exclude_same)
+        names, rows = b["_p"].to_numpy(), _matrix(b["_pv"])
+        everyone = np.arange(len(a))
+        for cell, own in b.groupby("_cell").indices.items():
+            away = np.sqrt(_squared(best.vectors, pivots[cell:cell + 1])[:, 0])
+            best.add(names[own], rows[own], np.flatnonzero(~(away - radius[cell] > np.sqrt(best.reach(everyone)) + 1e-6)))
+        return best.found()
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
 

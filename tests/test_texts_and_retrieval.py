@@ -92,6 +92,37 @@ def test_nearest_matches_brute_force(spark, limit, question_bytes):
         assert np.allclose([d for _, d in v], [d for _, d in want[i]], atol=1e-8)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-12, 1e9, 1e200])
+def test_few_pairs_get_a_distance_and_none_is_lost(monkeypatch, scale):
+    """Half of the rows are one vector; some are far longer than the others."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 16)) * scale
+    x[:2000], x[3990:] = x[0], x[3990:] * 1000
+    keys = rng.permutation(4000)
+    taken = []
+    take = retrieval.Nearest._take
+    monkeypatch.setattr(retrieval.Nearest, "_take", lambda self, r, *rest: (taken.append(len(r)), take(self, r, *rest)))
+    best = retrieval.Nearest(keys, x, 5, None, True)
+    for i in range(0, 4000, 1500):
+        best.add(keys[i:i + 1500], x[i:i + 1500])
+    found = best.found().sort_values(["distance", "_p"])
+    # Far below the rounding of distances all are equal, far above single precision all are computed.
+    assert scale in (1e-12, 1e200) or sum(taken) < 0.15 * 4000 * 4000
+    if scale > 1e100:
+        return
+    for i in (0, 7, 2500, 3000, 3995):
+        d = np.round(((x - x[i]) ** 2).sum(1), 9)
+        want = [(int(keys[j]), d[j]) for j in np.lexsort((keys, d)) if j != i][:5]
+        got = found[found["_q"] == keys[i]]
+        assert got["_p"].tolist() == [j for j, _ in want] and np.allclose(got["distance"], [v for _, v in want], rtol=1e-9)
+
+
+def test_small_cells_share_a_chunk_and_questions_few_blocks():
+    first, count = retrieval._dealt(np.array([0, 5, 120, 30, 20, 40]), 50)
+    assert count.tolist() == [0, 1, 3, 1, 1, 1] and first[2] == 0 and [int(f) for f in first[[5, 3, 4, 1]]] == [3, 4, 4, 5]
+    assert [retrieval.blocks_of(n, retrieval.BLOCK_ROWS, 12) for n in (100, 10_000, 100_000, 600_000)] == [1, 5, 12, 12]
+
+
 def test_quantised_lists_find_what_the_exact_search_finds(spark):
     """A third of the passages are one vector, so one list is hot and is cut into chunks."""
     rng = np.random.default_rng(4)
