@@ -11,6 +11,7 @@ from gaugeworks.functions.text import normalized_key
 from gaugeworks.operators import describe, evaluation, quantized, questions, retrieval, sentiment, themes
 from gaugeworks.plans.numbers import REGISTRY_SQL, registry_frame
 from gaugeworks.plans.registry import query, table
+from gaugeworks.session import kept
 
 P = K.PII_PATTERNS
 
@@ -372,8 +373,9 @@ def knn_quantized_recall(spark, sf):
     """Inverted lists of codes against the exact search: recall of 0.9 and exact distances."""
     asked, vectors = _asked(spark, sf), _vectors(spark, sf)
     index = quantized.fit(vectors)
-    found = quantized.nearest(asked, quantized.indexed(vectors, index), vectors, index, exclude_same_key=True)
-    exact = _nearest(spark, sf)
+    # Both are read twice, so they are written once.
+    found = kept(quantized.nearest(asked, quantized.indexed(vectors, index), vectors, index, exclude_same_key=True), "found")
+    exact = kept(_nearest(spark, sf), "exact")
     close = F.abs(F.col("f.distance") - F.col("e.distance")) < 1e-6
     wrong = found.alias("f").join(exact.alias("e"), ["question_id", "passage_id"]).where(~close).agg(F.count(F.lit(1)).alias("n_wrong"))
     return quantized.recall(found, exact).select("n_exact", (F.col("recall") >= 0.9).alias("is_enough")).crossJoin(F.broadcast(wrong))
