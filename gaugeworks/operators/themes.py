@@ -20,6 +20,10 @@ from gaugeworks.functions.pii import redacted
 from gaugeworks.functions.text import as_column
 
 
+# Restarts that hold their vectors at the same time.
+SIDE_BY_SIDE = 4
+
+
 @dataclass
 class Themes:
     """``assigned`` adds theme_id to the rows; ``table`` has one row per theme."""
@@ -63,12 +67,16 @@ def _tfidf(df: DataFrame, text: str, features: int, keep: tuple[str, ...]):
 
 
 def _best_of(vectors: DataFrame, k: int, seed: int, restarts: int) -> KMeansModel:
-    """The restart with the lowest cost; the restarts share the cached vectors and run side by side."""
+    """The restart with the lowest cost; the restarts share the cached vectors, and a few run side by side.
+
+    A cached frame would be decoded again in every round, so a restart gets a frame made from it, which it keeps as objects.
+    """
+    rows = vectors.select("features", F.lit(0).alias("_other"))
 
     def fit(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="features", predictionCol="_c").fit(vectors)
+        return KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="features", predictionCol="_c").fit(rows)
 
-    with ThreadPoolExecutor(max_workers=restarts) as pool:
+    with ThreadPoolExecutor(max_workers=min(restarts, SIDE_BY_SIDE)) as pool:
         models = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts)))
     return min(models, key=lambda model: model.summary.trainingCost)
 

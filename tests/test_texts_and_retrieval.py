@@ -227,3 +227,18 @@ def test_synthetic_questions_repeat(spark):
     a, b = evaluation.synthetic_questions(rows, 5).collect(), evaluation.synthetic_questions(rows.repartition(4), 5).collect()
     assert sorted(a) == sorted(b) and a[0]["question"] == "What do respondents say about opening hours?"
     assert evaluation.synthetic_questions(rows, 5, seed=1).collect() != a
+
+
+def test_restarts_do_not_decode_the_cached_vectors_in_every_round(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.linalg import Vectors
+
+    from gaugeworks.operators import themes
+
+    vectors = spark.createDataFrame([(Vectors.dense(float(i % 3), float(i // 30)),) for i in range(60)], ["features"]).persist()
+    levels, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, df, *rest: (levels.append(df.storageLevel.useMemory), fit(self, df, *rest))[1])
+    best = themes._best_of(vectors, 3, 7, 3)
+    costs = [fit(KMeans(k=3, seed=7 + i, maxIter=300, tol=1e-4), vectors).summary.trainingCost for i in range(3)]
+    vectors.unpersist()
+    assert levels == [False] * 3 and best.summary.trainingCost == min(costs)
