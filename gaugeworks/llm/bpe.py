@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm import blocks as B
 
+# Words of a block that are held as Python strings.
+HELD_WORDS = 50_000
 ENCODED = "id long, n_tokens long, ids binary, decoded string"
 
 
@@ -56,20 +58,20 @@ class WordEncoder:
         steps = (rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         if rules["decoder"] or rules["post_processor"] or rules["model"]["type"] != "BPE" or [s.get("type") for s in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"]:
             raise ValueError("this tokenizer file needs rules that are not supported")
-        whole = Tokenizer.from_str(content)
-        self.normalise = whole.normalizer.normalize_str
+        # One vocabulary a task: the words' tokenizer is the file's without its first two steps.
+        self.word = Tokenizer.from_str(content)
+        self.normalise = self.word.normalizer.normalize_str
         self.split = pre_tokenizers.Split(Regex(steps[0]["pattern"]["Regex"]), "removed", invert=True).pre_tokenize_str
         pattern = steps[0]["pattern"]["Regex"]
         for name, letters in (("\\p{L}", _latin_class("L")), ("\\p{N}", _latin_class("N")), ("\\s", _SPACES)):
             pattern = pattern.replace(name, letters)
         self.find = re.compile(pattern).findall
-        self.special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+        self.special = {t.content: i for i, t in self.word.get_added_tokens_decoder().items()}
         self.specials = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.word = Tokenizer.from_str(content)
+        self.size = self.word.get_vocab_size()
+        self.piece = self.word.id_to_token
         self.word.normalizer = None
         self.word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.size = whole.get_vocab_size()
-        self.piece = whole.id_to_token
 
     def _plain(self, text: str) -> list[str]:
         try:
@@ -90,11 +92,12 @@ class WordEncoder:
     def ids(self, words: list[str]) -> pa.Array:
         """Lists of ids of distinct words."""
         kind = pa.uint16() if self.size <= 1 << 16 else pa.uint32()
-        found: list[list[int]] = []
+        found = [pa.array([], pa.list_(kind))]
         for at in range(0, len(words), 20_000):
             part = words[at:at + 20_000]
-            found += [[self.special[w]] if w in self.special else e.ids for w, e in zip(part, self.word.encode_batch_fast(part, add_special_tokens=False), strict=True)]
-        return pa.array(found, pa.list_(kind))
+            ids = [[self.special[w]] if w in self.special else e.ids for w, e in zip(part, self.word.encode_batch_fast(part, add_special_tokens=False), strict=True)]
+            found.append(pa.array(ids, pa.list_(kind)))
+        return pa.concat_arrays(found)
 
     def pieces(self) -> pa.Array:
         """Every id's piece and a space."""
@@ -115,11 +118,16 @@ def _once(content: str):
 
 def _distinct(rules: WordEncoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words of a block as places in its list of distinct words, where each text's begin, and that list."""
-    found, first = [], [0]
+    found, first, parts = [], [0], []
     for text in texts:
-        found += rules.words(text)
-        first.append(len(found))
-    table = pa.array(found, pa.large_string()).dictionary_encode()
+        words = rules.words(text)
+        first.append(first[-1] + len(words))
+        found += words
+        # Words as Python strings take many times their letters.
+        if len(found) > HELD_WORDS:
+            parts.append(pa.array(found, pa.large_string()))
+            found = []
+    table = pa.concat_arrays([*parts, pa.array(found, pa.large_string())]).dictionary_encode()
     return np.asarray(table.indices), np.array(first), table.dictionary
 
 

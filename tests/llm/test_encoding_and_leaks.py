@@ -140,3 +140,25 @@ def test_leak_query_finds_every_whole_item(spark):
     docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     whole = {(d.doc_id, i.item_id) for d in docs for i in items if decontaminate.normal(i.text) in decontaminate.normal(d.text)}
     assert whole <= found
+
+
+def test_words_of_a_block_are_not_held_as_strings(monkeypatch):
+    """Cut or whole, a block has the same words; its strings take a fraction of what they did."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    from gaugeworks.llm import bpe
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        rules = bpe.WordEncoder(file.read())
+    texts = ["", *[" ".join(f"w{(i * j) % 977}" for j in range(400)) for i in range(1500)]]
+    got, peaks = [], []
+    for most in (10**9, bpe.HELD_WORDS):
+        monkeypatch.setattr(bpe, "HELD_WORDS", most)
+        tracemalloc.start()
+        places, first, words = bpe._distinct(rules, texts)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        got.append((places.tolist(), first.tolist(), words.to_pylist()))
+    assert got[0] == got[1] and peaks[1] < peaks[0] / 3
