@@ -252,3 +252,15 @@ def test_round_trip(spark, tmp_path_factory, rows):
     df = spark.createDataFrame([(d, t.strip() or "x", float(v)) for d, t, v in rows], "date string, metric_name string, metric_value double")
     assert diff.tables_equivalent(df, df)
     assert diff.round_trips(df, str(tmp_path_factory.mktemp("rt") / "csv"))
+
+
+def test_a_comparison_carries_the_rows_to_be_encoded_and_no_others(spark):
+    from gaugeworks.sources import indexing
+
+    schema = "passage_id string, dataset_id long, text string"
+    new = spark.createDataFrame([("a", 1, "same"), ("b", 1, "now"), ("c", 1, "first"), (None, 1, "nameless")], schema)
+    old = spark.createDataFrame([("a", 1, "same"), ("b", 1, "then"), ("d", 1, "gone"), ("z", 2, "not asked")], schema)
+    found = indexing.changes(new, old, spark.createDataFrame([(1,)], "dataset_id long"), carried=True).collect()
+    assert {(r["passage_id"], r["kind"], r["row"] and r["row"]["text"]) for r in found} == {
+        ("a", "same", None), ("b", "changed", "now"), ("c", "new", "first"), ("d", "removed", None), (None, "new", None),
+    }

@@ -242,3 +242,17 @@ def test_restarts_do_not_decode_the_cached_vectors_in_every_round(spark, monkeyp
     costs = [fit(KMeans(k=3, seed=7 + i, maxIter=300, tol=1e-4), vectors).summary.trainingCost for i in range(3)]
     vectors.unpersist()
     assert levels == [False] * 3 and best.summary.trainingCost == min(costs)
+
+
+def test_codes_are_scanned_as_the_vectors_they_stand_for_and_lists_share_chunks(spark):
+    x = np.random.default_rng(8).normal(size=(300, 8))
+    ps = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "passage_id long, embedding array<double>")
+    index = quantized.fit(ps, parts=4)
+    own = index.lists(x)[:, 0]
+    codes = index.codes(x, own)
+    for i in (0, 150, 299):
+        rest = (x[i] - index.centres[own[i]]).reshape(4, 2)
+        apart = sum(((rest[p] - index.words[p][codes[i, p]]) ** 2).sum() for p in range(4))
+        assert np.isclose(((x[i] - index.decoded(own[i], codes[i:i + 1])[0]) ** 2).sum(), apart)
+    first, cut = quantized._dealt(np.bincount(own, minlength=len(index.centres)), 1000)
+    assert len(index.centres) > 1 and set(first) == {0} and cut.max() == 1
