@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks import constants as K
@@ -18,12 +18,14 @@ from gaugeworks.functions.pii import redacted
 from gaugeworks.functions.text import token_estimate, words
 
 # Question vectors up to this many bytes are held by every task; more are joined block by block.
-QUESTION_BYTES = 64 * 1024 * 1024
+QUESTION_BYTES = 8 * 1024 * 1024
 PIVOTS = 64
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 100_000
 BLOCK_ROWS = 50_000
 # Blocks of questions are made smaller, down to this, until every core has one.
 LEAST_BLOCK_ROWS = 2_000
+# Up to this many groups of a block and a chunk get a task each; of more, some meet in a task, which evens out.
+MOST_DEALT = 4096
 # Pairs of vectors that are worth a task of their own.
 TASK_PAIRS = 1_000_000_000
 # Distances are compared after rounding, so that equal ones are ordered by id.
@@ -124,9 +126,10 @@ class Nearest:
 
     A product of single-precision matrices, widened by a bound of its rounding error, tells which pairs can be within the limit and
     the k-th distance so far; only those get a distance in double precision. Nothing is lost, and nothing larger than ``STEP`` by ``MOST`` is held.
+    Each ``STEP`` questions sort what they found as soon as that is worth it, so that their k-th distances tighten at once.
     """
 
-    STEP, FIRST, MOST, SLICE = 256, 256, 4096, 32_768
+    STEP, FIRST, MOST, SLICE = 512, 256, 2048, 32_768
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, limit: float | None, exclude_same: bool = False):
         self.ids, self.vectors, self.k, self.exclude_same = ids, vectors, k, exclude_same
@@ -134,20 +137,23 @@ class Nearest:
         self.distance = np.full((len(ids), k), math.inf)
         self.held = np.zeros((len(ids), k), bool)
         self.keys = None
-        self.waiting, self.waits = [], 0
+        self.waiting = [[] for _ in range(0, len(ids), self.STEP)]
+        self.waits = [0] * len(self.waiting)
         self.squares = (vectors * vectors).sum(1)
         # Beyond single precision every pair gets its distance.
         self.safe = bool(np.isfinite(self.squares).all() and self.squares.max(initial=0.0) < 1e30)
         self.slack = (vectors.shape[1] + 8) * 2.0**-23
         if self.safe:
             self.left = np.column_stack([vectors, np.ones(len(ids)), self.slack * np.sqrt(self.squares)]).astype(np.float32)
+            # New memory for every product would cost more than comparing it.
+            self.products, self.flags = np.empty(self.STEP * self.MOST, np.float32), np.zeros(self.STEP * self.MOST, bool)
 
-    def reach(self, asked: np.ndarray) -> np.ndarray:
+    def reach(self, asked: np.ndarray | slice) -> np.ndarray:
         """The largest distance that still matters for each of these questions."""
         return np.where(self.held[asked, -1], np.minimum(self.distance[asked, -1], self.limit), self.limit)
 
     def add(self, keys: np.ndarray, rows: np.ndarray, which: np.ndarray | None = None) -> None:
-        """Takes passages into account, for the questions at the positions ``which`` or for all."""
+        """Takes passages into account, for the questions at the ascending positions ``which`` or for all."""
         if not len(rows) or not len(self.ids):
             return
         keys, rows = _without_spare_copies(keys, rows, self.k)
@@ -158,25 +164,41 @@ class Nearest:
         squares = (rows * rows).sum(1)
         safe = self.safe and bool(np.isfinite(squares).all() and squares.max() < 1e30)
         right = np.column_stack([rows, (self.slack - 1) * squares / 2, np.sqrt(squares)]).astype(np.float32) if safe else None
-        which = np.arange(len(self.ids)) if which is None else which
-        for start in range(0, len(which), self.STEP):
-            asked = which[start:start + self.STEP]
+        for block in range(len(self.waiting)):
+            start = block * self.STEP
+            asked = np.arange(start, min(start + self.STEP, len(self.ids)))
+            if which is not None:
+                asked = which[np.searchsorted(which, start):np.searchsorted(which, start + self.STEP)]
+                if not len(asked):
+                    continue
             left = self.left[asked] if safe else None
             at, size = 0, self.MOST if self.held[asked, -1].all() else self.FIRST
             while at < len(rows):
                 end = min(at + size, len(rows))
                 if safe:
                     least = (self.squares[asked] - self.reach(asked) - 1e-9) / 2
-                    r, c = np.divmod(np.flatnonzero(left @ right[at:end].T >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None]), end - at)
+                    r, c = self._possible(left, right[at:end], np.nextafter(least.astype(np.float32), np.float32(-np.inf)))
                 else:
                     r, c = np.divmod(np.arange(len(asked) * (end - at)), end - at)
                 self._take(asked[r], keys, rows, at + c)
                 # Sorting costs what is held, so a few that are near wait until they are worth it.
-                if self.waits > self.distance.size // 2 or not self.held[asked, -1].all():
-                    self._settle()
+                if self.waits[block] > len(asked) * self.k // 2:
+                    self._settle(block)
                 # The k-th distance gets smaller with every part, so parts can grow.
                 at, size = end, min(2 * size, self.MOST)
 
+    def _possible(self, left: np.ndarray, right: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose product is at least what their question asks for."""
+        count = len(left) * len(right)
+        products, flags = self.products[:count].reshape(len(left), -1), self.flags[:count].reshape(len(left), -1)
+        np.matmul(left, right.T, out=products)
+        np.greater_equal(products, least[:, None], out=flags)
+        # Few are set, so eight are looked at together.
+        self.flags[count:-(-count // 8) * 8] = False
+        eights = np.flatnonzero(self.flags[:-(-count // 8) * 8].view(np.uint64))
+        which, bit = np.nonzero(self.flags.reshape(-1, 8)[eights])
+        return np.divmod(eights[which] * 8 + bit, len(right))
+
     def _take(self, r: np.ndarray, keys: np.ndarray, rows: np.ndarray, c: np.ndarray) -> None:
         if self.exclude_same:
             other = keys[c] != self.ids[r]
@@ -189,20 +211,25 @@ class Nearest:
             d[i:i + self.SLICE] = np.einsum("ij,ij->i", apart, apart)
         d = np.round(d, DISTANCE_DIGITS)
         near = ~(d > self.reach(r))
-        self.waiting.append((r[near], d[near], keys[c[near]]))
-        self.waits += len(self.waiting[-1][0])
+        block = int(r[0]) // self.STEP
+        self.waiting[block].append((r[near], d[near], keys[c[near]]))
+        self.waits[block] += len(self.waiting[block][-1][0])
 
-    def _settle(self) -> None:
-        if not self.waits:
+    def _settle(self, block: int) -> None:
+        if not self.waits[block]:
             return
-        r, d, ids = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
-        self.waiting, self.waits = [], 0
+        start = block * self.STEP
+        r, d, ids = (np.concatenate(x) for x in zip(*self.waiting[block], strict=True))
+        self.waiting[block], self.waits[block] = [], 0
+        near = ~(d > self.reach(r))
+        r, d, ids = r[near], d[near], ids[near]
         touched = np.unique(r)
         has = self.held[touched]
         r = np.concatenate([np.repeat(touched, self.k)[has.ravel()], r])
         d = np.concatenate([self.distance[touched][has], d])
         ids = np.concatenate([self.keys[touched][has], ids])
-        order = np.lexsort((ids, d, r))
+        # Narrow integers are sorted by radix.
+        order = np.lexsort((ids, d, (r - start).astype(np.uint16)))
         r, d, ids = r[order], d[order], ids[order]
         place = np.arange(len(r)) - np.searchsorted(r, r, "left")
         kept = place < self.k
@@ -211,7 +238,8 @@ class Nearest:
 
     def found(self) -> pd.DataFrame:
         """``_q``, ``_p`` and ``distance`` within the limit."""
-        self._settle()
+        for block in range(len(self.waiting)):
+            self._settle(block)
         if self.keys is None:
             return pd.DataFrame({"_q": self.ids[:0], "_p": [], "distance": pd.Series([], dtype=float)})
         shown = self.held if self.limit == math.inf else self.held & (self.distance <= self.limit)
@@ -308,6 +336,14 @@ def blocks_of(n: int, block_rows: int, parallelism: int) -> int:
     return max(1, math.ceil(n / block_rows), min(parallelism, n // LEAST_BLOCK_ROWS))
 
 
+def _homes(spark: SparkSession, count: int) -> list[int]:
+    """Numbers that a shuffle by their hash into ``count`` partitions deals to different ones; results never depend on it."""
+    tried = spark.range(count * (20 + 2 * count.bit_length())).select("id", F.pmod(F.hash("id"), F.lit(count)).alias("place"))
+    found = {r["place"]: r["id"] for r in tried.groupBy("place").agg(F.min("id").alias("id")).collect()}
+    spare = iter(set(range(count * 64)) - set(found.values()))
+    return [found[i] if i in found else next(spare) for i in range(count)]
+
+
 def _by_block(q: DataFrame, p: DataFrame, k: int, limit: float | None, exclude_same: bool, n: int, chunk_rows: int, block_rows: int) -> DataFrame:
     """Passages go to the nearest of a few pivots; a question visits only cells within reach.
 
@@ -351,7 +387,12 @@ def _by_block(q: DataFrame, p: DataFrame, k: int, limit: float | None, exclude_s
     right = placed.select("_p", "_pv", F.col("_c.cell").alias("_cell"))
     right = right.withColumn("_chunk", (number(first) + F.pmod(F.xxhash64("_p"), number(count).cast("long"))).cast("int"))
     right = right.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    keys = ["_chunk", "_block"]
+    keys, groups = ["_chunk", "_block"], int((first + count).max()) * n_blocks
+    if groups <= MOST_DEALT:
+        # The work of a group is large, so no task gets two while another has none.
+        home = F.get(F.array(*[F.lit(i).cast("long") for i in _homes(q.sparkSession, groups)]), (F.col("_chunk") * n_blocks + F.col("_block")).cast("int"))
+        keys = ["_home"]
+        left, right = (side.withColumn("_home", home).repartition(groups, "_home") for side in (left, right))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:

@@ -117,6 +117,38 @@ def test_few_pairs_get_a_distance_and_none_is_lost(monkeypatch, scale):
         assert got["_p"].tolist() == [j for j, _ in want] and np.allclose(got["distance"], [v for _, v in want], rtol=1e-9)
 
 
+def test_each_block_of_questions_has_a_task_of_its_own(spark):
+    """Nine blocks over the few partitions of a test session would share some."""
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    q = rows.where("id < 60").select(F.col("id").alias("_q"), F.col("v").alias("_qv"))
+    p = rows.select(F.col("id").alias("_p"), F.col("v").alias("_pv"))
+    found = retrieval._by_block(q, p, 5, None, True, 60, 1000, 7)
+    blocks = found.select(F.spark_partition_id().alias("task"), F.pmod(F.xxhash64("_q"), F.lit(9)).alias("block")).distinct().collect()
+    assert len({r["task"] for r in blocks}) == len({r["block"] for r in blocks}) == len(blocks) > 5
+    assert len(set(retrieval._homes(spark, 100))) == 100
+
+
+@pytest.mark.parametrize("limit", [None, 9.0])
+def test_questions_in_many_steps_meet_passages_in_parts(monkeypatch, limit):
+    """Each part concerns other questions, so steps are cut unevenly and some see nothing for a while."""
+    for name, value in (("STEP", 16), ("FIRST", 4), ("MOST", 11)):
+        monkeypatch.setattr(retrieval.Nearest, name, value)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(200, 6)), 1)
+    x[50:90] = x[50]
+    best = retrieval.Nearest(np.arange(200), x, 5, limit, True)
+    middle = np.arange(0, 200, 3)
+    for part in np.array_split(rng.permutation(200), 7):
+        best.add(part, x[part], middle)
+        best.add(part, x[part], np.setdiff1d(np.arange(200), middle))
+    found = best.found().sort_values(["_q", "distance", "_p"])
+    for i in range(200):
+        d = np.round(((x - x[i]) ** 2).sum(1), 9)
+        want = [int(j) for j in np.lexsort((np.arange(200), d)) if j != i and (limit is None or d[j] <= limit)][:5]
+        assert found[found["_q"] == i]["_p"].tolist() == want
+
+
 def test_small_cells_share_a_chunk_and_questions_few_blocks():
     first, count = retrieval._dealt(np.array([0, 5, 120, 30, 20, 40]), 50)
     assert count.tolist() == [0, 1, 3, 1, 1, 1] and first[2] == 0 and [int(f) for f in first[[5, 3, 4, 1]]] == [3, 4, 4, 5]
