@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
+# Bytes of words whose letters are mixed at once; some 60 bytes are held for each.
+PIECE_BYTES = 256 << 10
 # Bytes of text per group of documents that meet again in one task.
 GROUP_BYTES = 8 << 20
 # Bytes of text per bucket of word windows, about 2 million windows.
@@ -116,15 +118,27 @@ def _letters() -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of every word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A hash of every word's bytes; letters are spread out for ``PIECE_BYTES`` of words at a time."""
     lengths = ends - starts
-    place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    power = _powers(0xC6A4A7935BD1E995, int(lengths.max()))
-    with np.errstate(over="ignore"):
-        value = _letters()[data[np.repeat(starts, lengths) + place]] * power[place]
-        return mix(np.add.reduceat(value, np.cumsum(lengths) - lengths), 0x5851F42D4C957F2D)
+    out = np.empty(len(lengths), np.uint64)
+    if not len(lengths):
+        return out
+    total = np.cumsum(lengths)
+    power, letters = _powers(0xC6A4A7935BD1E995, int(lengths.max())), _letters()
+    at = before = 0
+    while at < len(lengths):
+        stop = max(at + 1, int(np.searchsorted(total, before + PIECE_BYTES, "right")))
+        # A piece does not end in an empty word.
+        while stop < len(lengths) and not lengths[stop - 1]:
+            stop += 1
+        size = lengths[at:stop]
+        head = total[at:stop] - size - before
+        place = np.arange(int(total[stop - 1] - before)) - np.repeat(head, size)
+        with np.errstate(over="ignore"):
+            value = letters[data[np.repeat(starts[at:stop], size) + place]] * power[place]
+            out[at:stop] = np.add.reduceat(value, head)
+        at, before = stop, int(total[stop - 1])
+    return mix(out, 0x5851F42D4C957F2D)
 
 
 def windows(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

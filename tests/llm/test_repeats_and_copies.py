@@ -1,8 +1,10 @@
 import hashlib
 
 import brute
+import numpy as np
 from pyspark.sql import functions as F
 
+from gaugeworks.llm import blocks as B
 from gaugeworks.llm import components, jaccard, substrings
 from gaugeworks.llm.queries import QUERIES
 
@@ -136,3 +138,25 @@ def test_components_of_paths_and_stars(spark):
     want = {i: 0 for i in range(31)} | {100 + i: 100 for i in range(50)} | {299: 299, 300: 299}
     assert got == want
     assert components.components(spark.createDataFrame([], "a long, b long")).agg(F.count("*")).first()[0] == 0
+
+
+def test_word_hashes_go_piece_by_piece(monkeypatch):
+    """Cuts between pieces change no hash, and beside the words little is held at once."""
+    import tracemalloc
+
+    random = np.random.default_rng(2)
+    words = [bytes(random.integers(97, 123, int(n)).tolist()) for n in random.integers(1, 12, 300_000)]
+    words[7:9], words[2000] = [b"", b""], b"x" * 3000
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - np.array([len(w) for w in words])
+    tracemalloc.start()
+    found = B.word_hashes(data, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * len(data)
+    monkeypatch.setattr(B, "PIECE_BYTES", 1 << 40)
+    assert (found == B.word_hashes(data, starts, ends)).all()
+    for size in (1, 10, 64):
+        monkeypatch.setattr(B, "PIECE_BYTES", size)
+        assert (B.word_hashes(data, starts[:5000], ends[:5000]) == found[:5000]).all()
