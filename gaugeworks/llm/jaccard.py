@@ -247,20 +247,19 @@ def _leaders(percent: int):
 def _prefixes(percent: int, some: int | None):
     """Shingles of which a partner must hold one: as many of a set's first as may be missing, and one (at most ``some``).
 
-    Each comes with the number of shingles from it on; those that no other document holds come before all.
+    ``total`` counts the shingles from the first on; those that no other document holds come before all.
     """
 
     def run(batches):
         for batch in batches:
-            first, rest = [], []
+            first, total = [], []
             for n, blob in zip(batch.column("n").to_pylist(), batch.column("tokens"), strict=True):
                 tokens = np.frombuffer(blob.as_buffer(), np.int64)
                 first.append(tokens[: max(0, len(tokens) - -(-percent * n // 100) + 1)][:some])
-                rest.append(len(tokens) - np.arange(len(first[-1])))
+                total.append(len(tokens))
             ends = np.concatenate(([0], np.cumsum([len(f) for f in first]))).astype(np.int32)
-            flat = [np.concatenate(part) if part else np.zeros(0, np.int64) for part in (first, rest)]
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(f) for f in flat], names=["token", "rest"]))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), prefix], names=["key", "n", "prefix"])
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(total, pa.int64()), prefix], names=["key", "n", "total", "prefix"])
 
     return run
 
@@ -333,15 +332,19 @@ def _links_between(sets: DataFrame, classes: DataFrame, percent: int, some: int
     sizes = classes.groupBy("class").agg(F.count("*").alias("size"))
     member = _salted(classes.join(sizes, "class"), ["class"], MEMBERS)
     member = stored(member.select("key", F.struct("size", "class").alias("class"), "part"), "members")
-    prefixes = sets.mapInArrow(_prefixes(percent, some), "key long, n long, prefix array<struct<token:long,rest:long>>")
-    cells = prefixes.join(member, "key").select("key", "n", "class", "part", F.inline("prefix"))
+    # Only shingles are shuffled to the classes; how many follow each is told by its place.
+    prefixes = sets.mapInArrow(_prefixes(percent, some), "key long, n long, total long, prefix array<long>")
+    cells = prefixes.join(member, "key").select("key", "n", "class", "part", "total", F.posexplode("prefix").alias("at", "token"))
+    cells = cells.select("key", "n", "class", "part", "token", (F.col("total") - F.col("at")).alias("rest"))
     if some is not None:
         place = F.row_number().over(Window.partitionBy("token", "class").orderBy("key"))
         cells = cells.withColumn("place", place).filter(F.col("place") <= some).drop("place")
-    spread = stored(cells.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("token"), "columns")
-    if spread.isEmpty():
+    # Cells of a column meet once, to see whether it belongs to several classes.
+    column = Window.partitionBy("token")
+    spread = cells.withColumns({"low": F.min("class.class").over(column), "high": F.max("class.class").over(column)}).filter("low < high")
+    cells = stored(spread.drop("low", "high"), "cells")
+    if cells.isEmpty():
         return classes.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
-    cells = stored(cells.join(spread, "token", "left_semi"), "cells")
     matrix = cells.groupBy("token", F.col("class").alias("cell"), "part").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest"))
     # A link has common >= percent / (100 + percent) of both sizes, none of it before the first common column.
     fits = F.expr(f"class < cell AND {percent} * n <= 100 * most_n AND {percent} * least_n <= 100 * n AND {100 + percent} * least(rest, most_rest) >= {percent} * (n + least_n)")

@@ -160,3 +160,23 @@ def test_word_hashes_go_piece_by_piece(monkeypatch):
     for size in (1, 10, 64):
         monkeypatch.setattr(B, "PIECE_BYTES", size)
         assert (B.word_hashes(data, starts[:5000], ends[:5000]) == found[:5000]).all()
+
+
+def test_columns_of_several_classes_are_found_in_one_pass_over_the_prefixes(spark, monkeypatch):
+    tokens = lambda *parts: np.concatenate([np.arange(a, b, dtype=np.uint64) for a, b in parts]).tobytes()
+    near = [(1, 40, tokens((0, 40))), (2, 40, tokens((0, 38), (100, 102))), (3, 40, tokens((0, 20), (200, 220))), (4, 40, tokens((300, 340)))]
+    sets = spark.createDataFrame(near, "key long, n long, tokens binary")
+    plans, stored = [], jaccard.stored
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(jaccard, "stored", seen)
+    for some in (3, None):
+        plans.clear()
+        links = jaccard._links_between(sets, sets.select("key", F.col("key").alias("class")), 75, some)
+        assert {tuple(sorted(r)) for r in links.collect()} == {(1, 2)}
+        searched = [plan for plan in plans if "MapInArrow" in plan]
+        # The places of shingles are not shuffled with them.
+        assert len(searched) == 1 and "struct<token" not in searched[0]
