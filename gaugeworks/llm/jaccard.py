@@ -459,7 +459,8 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id:
     marked = answered(stored(times, "times"), first, "root", "key").select("id", "key", (F.struct("id", "key") != F.col("first")).alias("gone"), "times")
     # A row can be in the table under one root only, since equal rows have one key.
     marked = stored(marked.filter("gone OR times > 1").select("id", "key", "gone"), "marked")
-    found = rows.join(marked, ["id", "key"], "left")
+    # Few rows are marked. Up to a size they are sent to the texts, which are then not shuffled.
+    found = rows.join(F.broadcast(marked) if marked.count() <= SENT_KEYS else marked, ["id", "key"], "left")
     kept = found.filter("gone IS NULL").select("row.*")
     if marked.filter("NOT gone").isEmpty():
         return kept

@@ -180,3 +180,18 @@ def test_columns_of_several_classes_are_found_in_one_pass_over_the_prefixes(spar
         searched = [plan for plan in plans if "MapInArrow" in plan]
         # The places of shingles are not shuffled with them.
         assert len(searched) == 1 and "struct<token" not in searched[0]
+
+
+def test_one_of_each_does_not_shuffle_texts_for_few_marked_rows(spark, texts, monkeypatch):
+    docs = frame(spark, texts)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = jaccard.one_of_each(docs)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        sent = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(jaccard, "SENT_KEYS", -1)
+    assert sent == sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in jaccard.one_of_each(docs).collect())
