@@ -51,6 +51,11 @@ def parts(docs: DataFrame, total: int, unit: int) -> int:
     return max(least, -(-total // unit))
 
 
+def release() -> None:
+    """Gives memory that Arrow holds for later back, since Python workers wait for the next task, and the next stage, beside the heap."""
+    pa.default_memory_pool().release_unused()
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut into slices of about ``size`` bytes of text; null texts become empty. Only a slice is ever copied."""
     for batch in batches:
@@ -66,6 +71,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
             column = pc.fill_null(part.column(at).cast(pa.large_string()), "")
             yield pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
             start = stop
+        del column, part
+        release()
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

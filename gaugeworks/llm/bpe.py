@@ -157,6 +157,7 @@ def _words_to_buckets(rules_of, buckets: int):
 
 def _bucket_answers(rules_of):
     def run(key, table):
+        B.release()
         lists = [B.unpack(x).column("word") for x in table.column("blob")]
         coded = pa.concat_arrays(lists).dictionary_encode()
         ids = rules_of().ids(coded.dictionary.to_pylist())
@@ -177,6 +178,7 @@ def _blocks_kept(batches):
 
 def _joined(rules_of, buckets: int):
     def run(texts, answers):
+        B.release()
         rules = rules_of()
         told = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob"), strict=True))
         pieces = rules.pieces()

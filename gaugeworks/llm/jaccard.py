@@ -139,6 +139,7 @@ def _hashes_to_buckets(width: int, buckets: int):
 
 def _bucket_answers(key, table):
     """For every block which of its hashes other sets hold, as bits, and how many sets hold those."""
+    B.release()
     parts = [B.unpack_arrays(x) for x in table.column("blob").to_pylist()]
     codes = np.concatenate([np.cumsum(np.ascontiguousarray(p[0].reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32) for p in parts])
     weight = np.concatenate([p[1] for p in parts]).astype(np.int64)
@@ -170,6 +171,7 @@ def _candidates(width: int, percent: int, buckets: int):
     """The rows of a block; those that can have a partner in another set with their repeated hashes, rarest first."""
 
     def run(texts, answers):
+        B.release()
         told = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
         out = []
         for blob in texts.column("blob"):

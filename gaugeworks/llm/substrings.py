@@ -82,6 +82,7 @@ def _later(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _bucket_answers(buckets: int, groups: int):
     def run(key, table):
+        B.release()
         number = key[0].as_py()
         blobs = table.column("blob")
         if number >= buckets:
@@ -124,6 +125,7 @@ def _covered(places: np.ndarray, width: int, count: int) -> np.ndarray:
 
 def _cut(width: int, types: list[pa.DataType], names: list[str]):
     def run(rows, answers):
+        B.release()
         found = [B.unpack(x) for x in answers.column("blob")]
         places: dict[int, np.ndarray] = {}
         if found:

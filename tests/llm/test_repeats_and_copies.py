@@ -195,3 +195,12 @@ def test_one_of_each_does_not_shuffle_texts_for_few_marked_rows(spark, texts, mo
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     monkeypatch.setattr(jaccard, "SENT_KEYS", -1)
     assert sent == sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in jaccard.one_of_each(docs).collect())
+
+
+def test_blocks_give_memory_back_after_every_batch(monkeypatch):
+    import pyarrow as pa
+
+    given = []
+    monkeypatch.setattr(B, "release", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"text": ["a b", None, "c d e"]})
+    assert sum(b.num_rows for b in B.blocks(iter([batch, batch.slice(0, 0), batch]), size=3)) == 6 and len(given) == 2
